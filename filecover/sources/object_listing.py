@@ -1,0 +1,23 @@
+"""Listing through Spark's own file source, for object stores.
+
+Hidden names (leading ``.`` or ``_``) are left out by Spark there, and times are in
+milliseconds; on a mounted tree use ``listing``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators.filters import drop_metadata
+from .lsl import normalised
+
+
+def read_object_listing(spark: SparkSession, root: str) -> DataFrame:
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    prefix = root.rstrip("/") + "/"
+    raw = F.substring_index("path", prefix, -1)
+    entries = files.select(
+        raw.alias("raw"), F.col("length").alias("size"), F.col("modificationTime").cast("double").alias("mtime")
+    )
+    return drop_metadata(normalised(entries))

@@ -1,0 +1 @@
+"""Empty on purpose: a listing is a batch snapshot, so there is no stream operator to offer."""
