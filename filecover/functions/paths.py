@@ -40,7 +40,7 @@ def absolute_path(root: Column, path: Column, path_raw: Column | None = None) ->
 
 
 def wants_exif(path: Column) -> Column:
-    return path.rlike(r"(?i)[^/.][^/]*\.(" + "|".join(JPEG_SUFFIXES) + ")$")
+    return path.rlike(r"(?i)[^/.][^/]*\.(" + "|".join(JPEG_SUFFIXES) + r")\z")
 
 
 def clean_label(label: Column) -> Column:

@@ -70,19 +70,14 @@ def dest_rows(dests: list[Destination], options: AuditOptions) -> DataFrame:
                 absolute = F.concat(F.lit(dest.root.rstrip("/") + "/"), F.col("path"))
                 files = outside_root(files, absolute, options.source_root)
         keyed = match_keys(files.select("path", "size", "mtime")).where(F.col("bn").isNotNull())
-        return keyed.select(
-            F.lit(ord_).alias("ord"),
-            F.lit(dest.name).alias("dest"),
-            F.lit(dest.kind == "path").alias("live"),
-            "path", "size", "bn", "mt",
-        )
+        return keyed.select(F.lit(ord_).alias("ord"), "path", "size", "bn", "mt")
 
     return reduce(DataFrame.unionByName, [rows(i, d) for i, d in enumerate(dests)])
 
 
 def dest_keys(rows: DataFrame, options: AuditOptions) -> DataFrame:
     """One row per destination and match key: its first path."""
-    keys = ["ord", "dest", "live", "size", "bn", *(["mt"] if options.mtime_match else [])]
+    keys = ["ord", "size", "bn", *(["mt"] if options.mtime_match else [])]
     return rows.groupBy(*keys).agg(F.min("path").alias("path"))
 
 
@@ -112,8 +107,9 @@ class Audit:
         everything = dest_rows(self.dests, self.options)
         if not self.options.early_stop:
             return dest_keys(everything, self.options)
-        within = bounded.within_walk_cap(everything, self.rows, self.options.max_walk_ratio)
-        return bounded.until_covered(dest_keys(within, self.options), self.rows, self.options.reach)
+        live = [i for i, dest in enumerate(self.dests) if dest.kind == "path"]
+        within = bounded.within_walk_cap(everything, live, self.rows, self.options.max_walk_ratio)
+        return bounded.until_covered(dest_keys(within, self.options), live, self.rows, self.options.reach)
 
     @cached_property
     def _near(self) -> NearJoin:
@@ -126,8 +122,10 @@ class Audit:
     def matches(self) -> DataFrame:
         """(path, size, bn, mt, ord, dest, dest_path): one row per source file and destination
         that holds it. Among several candidates the earliest time wins, then the first path."""
-        carry = {"ord": "ord", "dest": "dest", "path": "dest_path"}
-        return self._near.first(self.keys, ["ord"], carry, "inner")
+        carry = {"ord": "ord", "path": "dest_path"}
+        found = self._near.first(self.keys, ["ord"], carry, "inner")
+        names = F.array(*[F.lit(dest.name) for dest in self.dests])
+        return found.withColumn("dest", F.get(names, F.col("ord")))
 
     @cached_property
     def missing(self) -> DataFrame:

@@ -1,6 +1,6 @@
 """The ordered, early-stopping walk over destinations, as set operations.
 
-Only fresh listings are cut (``live``); stored scans are read whole. Rows of a listing are
+Only fresh listings are cut (``live`` has their numbers); stored scans are read whole. Rows of a listing are
 visited in path order, so a position in the walk is compared by path, and only the walk cap
 needs a count.
 """
@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from .near import NearJoin
 
-SPLITS = 256
+SPLITS = 1024
+STEP = 32
 
 
 def _canonical(source: DataFrame) -> DataFrame:
@@ -20,7 +21,7 @@ def _canonical(source: DataFrame) -> DataFrame:
 
 
 def _path_ranges(live: DataFrame) -> DataFrame:
-    """(ord, lo, hi): at most SPLITS + 1 ranges of paths per destination, similar in size.
+    """(r_ord, step, lo, hi): at most SPLITS + 1 ranges of paths per destination, similar in size.
 
     The bounds are the paths with the smallest hashes: a repeatable random choice of which
     each task hands on no more than SPLITS per destination.
@@ -30,72 +31,84 @@ def _path_ranges(live: DataFrame) -> DataFrame:
         live.select("ord", "path")
         .withColumn("n", F.row_number().over(by_hash))
         .where(F.col("n") <= SPLITS)
-        .select("ord", F.col("path").alias("lo"))
+        .select(F.col("ord").alias("r_ord"), F.col("path").alias("lo"))
     )
-    bounds = bounds.union(bounds.select("ord", F.lit("").alias("lo"))).distinct()
-    by_path = Window.partitionBy("ord").orderBy("lo")
-    return bounds.withColumn("hi", F.lead("lo").over(by_path)).withColumnRenamed("ord", "r_ord")
+    bounds = bounds.union(bounds.select("r_ord", F.lit("").alias("lo"))).distinct()
+    by_path = Window.partitionBy("r_ord").orderBy("lo")
+    return bounds.select(
+        "r_ord",
+        F.floor((F.row_number().over(by_path) - 1) / STEP).alias("step"),
+        "lo",
+        F.lead("lo").over(by_path).alias("hi"),
+    )
+
 
+def _within(path: Column, ranges: DataFrame) -> Column:
+    return (path >= ranges["lo"]) & (ranges["hi"].isNull() | (path < ranges["hi"]))
 
-def _in_range(rows: DataFrame, ranges: DataFrame) -> Column:
-    path = rows["path"]
+
+def _rows_per_range(live: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Looked up in two steps, so a path meets about 2 * STEP bounds rather than all of them."""
+    coarse = ranges.groupBy(F.col("r_ord").alias("c_ord"), F.col("step").alias("c_step")).agg(
+        F.min("lo").alias("lo"), F.max_by("hi", "lo").alias("hi")
+    )
+    # Broadcasts in this module hold at most SPLITS + 1 rows per destination named by the caller.
+    stepped = live.join(
+        F.broadcast(coarse), (live["ord"] == coarse["c_ord"]) & _within(live["path"], coarse)
+    ).select("ord", "path", "c_step")
+    same = (stepped["ord"] == ranges["r_ord"]) & (stepped["c_step"] == ranges["step"])
     return (
-        (rows["ord"] == ranges["r_ord"])
-        & (path >= ranges["lo"])
-        & (ranges["hi"].isNull() | (path < ranges["hi"]))
+        stepped.join(F.broadcast(ranges), same & _within(stepped["path"], ranges))
+        .groupBy("r_ord", "lo", "hi")
+        .agg(F.count("*").alias("here"))
     )
 
 
 def nth_path(live: DataFrame, n: Column) -> DataFrame:
-    """(r_ord, last): the n-th path of each destination that has more than n.
+    """(r_ord, last): the n-th path of each destination that has so many.
 
     Paths are counted per range, so only the one range that holds the n-th path is sorted.
     """
-    ranges = _path_ranges(live)
     running = Window.partitionBy("r_ord").orderBy("lo").rowsBetween(Window.unboundedPreceding, 0)
-    # Broadcasts here hold at most SPLITS + 1 rows per destination named by the caller.
-    counted = (
-        live.join(F.broadcast(ranges), _in_range(live, ranges))
-        .groupBy("r_ord", "lo", "hi")
-        .agg(F.count("*").alias("here"))
-        .withColumn("upto", F.sum("here").over(running))
-        .withColumn("rank", n - (F.col("upto") - F.col("here")))
+    target = (
+        _rows_per_range(live, _path_ranges(live))
+        .withColumn("rank", n - (F.sum("here").over(running) - F.col("here")))
         .where((F.col("rank") > 0) & (F.col("rank") <= F.col("here")))
-        .select("r_ord", "lo", "hi", "rank")
     )
     by_path = Window.partitionBy("r_ord").orderBy("path")
     return (
-        live.join(F.broadcast(counted), _in_range(live, counted))
+        live.join(F.broadcast(target), (live["ord"] == target["r_ord"]) & _within(live["path"], target))
         .withColumn("n", F.row_number().over(by_path))
         .where(F.col("n") == F.col("rank"))
         .select("r_ord", F.col("path").alias("last"))
     )
 
 
-def within_walk_cap(rows: DataFrame, source: DataFrame, ratio: float | None) -> DataFrame:
+def within_walk_cap(rows: DataFrame, live: list[int], source: DataFrame, ratio: float | None) -> DataFrame:
     """Keep the first max(int(keys * ratio), keys + 64) rows of each fresh listing."""
-    if ratio is None:
+    if ratio is None or not live:
         return rows
     keys = F.count("*")
     cap = _canonical(source).agg(
         F.greatest((keys * F.lit(float(ratio))).cast("bigint"), keys + 64).alias("cap")
     )
-    last = nth_path(rows.where("live"), cap.scalar())
+    last = nth_path(rows.where(F.col("ord").isin(live)), cap.scalar())
     kept = rows.join(F.broadcast(last), rows["ord"] == last["r_ord"], "left")
     return kept.where(F.col("last").isNull() | (F.col("path") <= F.col("last"))).drop("r_ord", "last")
 
 
-def until_covered(keys: DataFrame, source: DataFrame, window: int | None) -> DataFrame:
+def until_covered(keys: DataFrame, live: list[int], source: DataFrame, window: int | None) -> DataFrame:
     """Drop what lies after the destination and path that complete coverage of the source."""
-    hits = NearJoin(keys, ["size", "bn"], "mt", window, by=["ord", "path"]).exists(
+    # Destination keys are already reduced, so no key or bucket holds many of them.
+    hits = NearJoin(keys, ["size", "bn"], "mt", window).exists(
         source.select("size", "bn", *(["mt"] if window is not None else [])).distinct(), "left_semi"
     )
-    first = hits.groupBy("size", "bn").agg(F.min(F.struct("ord", "live", "path")).alias("at"))
-    covered = first.agg(F.count("*").alias("covered"), F.max(F.struct("at.ord", "at.live", "at.path")).alias("end"))
+    first = hits.groupBy("size", "bn").agg(F.min(F.struct("ord", "path")).alias("at"))
+    covered = first.agg(F.count("*").alias("covered"), F.max(F.struct("at.ord", "at.path")).alias("end"))
     wanted = _canonical(source).agg(F.count("*").alias("wanted"))
     end = covered.where(F.col("covered") == wanted.scalar()).select("end").scalar()
     # The end is known only when every key was found; otherwise nothing is cut.
-    cut = F.col("live") & end.isNotNull() & (
+    cut = F.col("ord").isin(live) & end.isNotNull() & (
         (F.col("ord") > end["ord"]) | ((F.col("ord") == end["ord"]) & (F.col("path") > end["path"]))
     )
     return keys.where(~F.coalesce(cut, F.lit(False)))

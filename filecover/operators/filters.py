@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
+import re
 
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.paths import base_name
-
 # File names written by operating systems, never user content.
 METADATA_NAMES = (
     ".DS_Store",
@@ -34,18 +31,19 @@ SYSTEM_DIRS = (
 )
 
 
-def is_metadata_name(path: Column) -> Column:
-    name = base_name(path)
-    return name.isin(*METADATA_NAMES) | name.startswith(METADATA_PREFIX)
+def _any_of(names: tuple) -> str:
+    return "|".join(re.escape(name) for name in names)
 
 
-def in_system_dir(path: Column) -> Column:
-    fenced = F.concat(F.lit("/"), path, F.lit("/"))
-    return reduce(or_, [fenced.contains(f"/{name}/") for name in SYSTEM_DIRS])
+# A metadata file name at the end, or a system directory at any level. One pattern reads the
+# path once, also where the path is itself computed.
+METADATA_PATH = (
+    rf"(?s)(?:^|/)(?:(?:{_any_of(SYSTEM_DIRS)})(?:/.*)?|{_any_of(METADATA_NAMES)}|{re.escape(METADATA_PREFIX)}[^/]*)\z"
+)
 
 
 def drop_metadata(files: DataFrame) -> DataFrame:
-    return files.where(~is_metadata_name(F.col("path")) & ~in_system_dir(F.col("path")))
+    return files.where(~F.col("path").rlike(METADATA_PATH))
 
 
 def at_least(files: DataFrame, min_size: int) -> DataFrame:

@@ -30,22 +30,24 @@ class NearJoin:
     """``left`` rows carry ``keys`` and ``time``; ``by`` tells left rows of one key apart.
 
     With ``window=None`` time plays no part. Right tables must already be reduced to one row
-    per keys (and time, and group).
+    per keys (and time, and group). Without ``by`` the left is taken to be reduced as well.
     """
 
-    def __init__(self, left: DataFrame, keys: list[str], time: str, window: int | None, by: list[str]):
+    def __init__(
+        self, left: DataFrame, keys: list[str], time: str, window: int | None, by: list[str] | None = None
+    ):
         self.window, self.time = window, time
         self.keys = list(keys)
         if window is not None:
             self.keys.append(SLOT)
             left = left.withColumn(SLOT, _slot(F.col(time), window))
-        self.fan = fan_out(left, self.keys)
-        self.left = deal(left, self.fan, by)
+        self.fan = fan_out(left, self.keys) if by else None
+        self.left = deal(left, self.fan, by) if by else left
 
     def _spread(self, right: DataFrame) -> DataFrame:
         if self.window is not None:
             right = right.withColumn(SLOT, F.explode(_reachable_slots(F.col(self.time), self.window)))
-        return replicate(right, self.fan)
+        return right if self.fan is None else replicate(right, self.fan)
 
     def _join(self, right: DataFrame, condition: Column | None, how: str) -> DataFrame:
         on = [self.left[k] == right[f"__r{k}"] for k in self._shared()]
@@ -53,7 +55,7 @@ class NearJoin:
         return joined.drop(SLOT, SALT, *right.columns[: len(on)])
 
     def _shared(self) -> list[str]:
-        return [*self.keys, SALT]
+        return self.keys if self.fan is None else [*self.keys, SALT]
 
     def _renamed(self) -> list[Column]:
         # Fresh names keep the two sides apart when they come from one table.

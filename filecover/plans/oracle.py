@@ -187,13 +187,11 @@ select path, dest, dest_path from (
   from src s join dst d on s.size = d.size and s.bn = d.bn {near}) x where rn = 1""")
 
 
-def _walk(dests: str, capped: str, stop: bool) -> str:
+def _walk(source: str, dests: str, capped: str) -> str:
     """The bounded walk: ``dests`` has ord, dest, live, path, size, mtime, bn."""
-    cut = """
-  select k.* from kept k, state
-  where not (live and all_found and (ord > end_at.ord or (ord = end_at.ord and path > end_at.path)))"""
-    return _sql("src", f"""
-, all_dests as ({dests}),
+    return _sql("clean", f"""
+, src as (select * from clean where label = '{source}'),
+all_dests as ({dests}),
 canon as (select distinct size, bn from src),
 placed_rows as (select *, row_number() over (partition by ord order by path) as pos from all_dests),
 kept as (select * from placed_rows where not live or {capped}),
@@ -202,12 +200,13 @@ found as (select size, bn, min({{'ord': ord, 'path': path}}) as first_at from ke
           group by size, bn),
 state as (select (select count(*) from found) = (select count(*) from canon) as all_found,
                  (select max(first_at) from found) as end_at),
-walked as ({cut if stop else 'select * from kept'})
+walked as (select k.* from kept k, state where not (
+  live and all_found and (ord > end_at.ord or (ord = end_at.ord and path > end_at.path))))
 select path, dest, dest_path from (
   select s.path, d.dest, d.path as dest_path,
          row_number() over (partition by s.path, d.dest order by d.mtime, d.path) as rn
   from src s join walked d on s.size = d.size and s.bn = d.bn and abs(s.mtime - d.mtime) <= 2) x where rn = 1""").replace(
-        ")\n\n, all_dests", "),\nall_dests"
+        ")\n\n, src as", "),\nsrc as"
     )
 
 
@@ -215,9 +214,9 @@ _EARLY = """
 select case label when 'backup_a' then 0 when 'card' then 1 when 'backup_b' then 2 else 3 end as ord,
        label as dest, label <> 'mirror' as live, path, size, mtime, bn from clean"""
 _CAPPED = """
-select case label when 'backup_a' then 0 else 1 end as ord, label as dest, true as live, path, size, mtime, bn
-from clean where label in ('backup_a', 'backup_b')"""
-_CAP = "pos <= (select greatest(cast(floor(count(*) * 0.3) as bigint), count(*) + 64) from canon)"
+select case label when 'card' then 0 else 1 end as ord, label as dest, label = 'card' as live, path, size, mtime, bn
+from clean where label in ('card', 'mirror')"""
+_CAP = "pos <= (select greatest(cast(floor(count(*) * 1.5) as bigint), count(*) + 64) from canon)"
 
 _SYSTEM = "'.Spotlight-V100', '.fseventsd', '.Trashes', '.TemporaryItems', 'System Volume Information', '$RECYCLE.BIN'"
 
@@ -284,8 +283,8 @@ from (select unnest(['backup_a', 'backup_b', 'empty_drive']) as dest) n left joi
         hits="hits", src=f"src where size >= {BIG} and not regexp_matches(path, '{EXCLUDED}')")),
     "coverage": _sql("src hits", """
 select s.size, s.bn, min(h.ord) as first_ord from src s left join hits h on h.path = s.path group by all"""),
-    "audit_early_stop": _walk(_EARLY, "true", stop=True),
-    "audit_walk_cap": _walk(_CAPPED, _CAP, stop=True),
+    "audit_early_stop": _walk("card", _EARLY, "true"),
+    "audit_walk_cap": _walk("backup_a", _CAPPED, _CAP),
     "missing_by_folder": _sql("lost", _rolled("lost")),
     "matched_by_folder": _sql("src hits", _rolled("(select * from src where path in (select path from hits))")),
     "match_locations": _sql("hits", """

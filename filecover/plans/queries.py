@@ -28,13 +28,11 @@ HEAD = 64
 RUN_DEST = "/mnt/b"
 
 
-def card_audit(spark: SparkSession, d: str, kind: str = "path", names=("backup_a", "backup_b", "empty_drive"), **options) -> Audit:
-    """The card against its destinations, in the user's order."""
-    listed = v.files(spark, d)
-    dests = [
-        Destination(n, listed.where(C("label") == n), "label" if n == "empty_drive" else kind) for n in names
-    ]
-    return audit(listed.where("label = 'card'"), dests, **options)
+def card_audit(spark: SparkSession, d: str, kind: str = "path", **options) -> Audit:
+    """The card against its destinations, in the user's order; the last one holds nothing."""
+    empty = v.files(spark, d, "card").where(F.lit(False))
+    dests = [Destination(n, v.files(spark, d, n), kind) for n in ("backup_a", "backup_b")]
+    return audit(v.files(spark, d, "card"), [*dests, Destination("empty_drive", empty)], **options)
 
 
 # Sources and tables
@@ -175,15 +173,18 @@ def coverage(spark, d):
 def audit_early_stop(spark, d):
     """The second destination completes coverage, so the third, a fresh listing too, is not
     visited; the fourth is a stored scan and counts."""
-    listed = v.files(spark, d)
     kinds = {"backup_a": "path", "card": "path", "backup_b": "path", "mirror": "label"}
-    dests = [Destination(n, listed.where(C("label") == n), kind) for n, kind in kinds.items()]
-    stopped = audit(listed.where("label = 'card'"), dests, early_stop=True)
+    dests = [Destination(n, v.files(spark, d, n), kind) for n, kind in kinds.items()]
+    stopped = audit(v.files(spark, d, "card"), dests, early_stop=True)
     return stopped.matches.select("path", "dest", "dest_path")
 
 
 def audit_walk_cap(spark, d):
-    return card_audit(spark, d, early_stop=True, max_walk_ratio=0.3).matches.select("path", "dest", "dest_path")
+    """The cap is 1.5 times the source's keys, which ends the walk of the card."""
+    kinds = {"card": "path", "mirror": "label"}
+    dests = [Destination(n, v.files(spark, d, n), kind) for n, kind in kinds.items()]
+    capped = audit(v.files(spark, d, "backup_a"), dests, early_stop=True, max_walk_ratio=1.5)
+    return capped.matches.select("path", "dest", "dest_path")
 
 
 def missing_by_folder(spark, d):
@@ -212,9 +213,8 @@ def audit_json(spark, d):
 
 
 def _pairs(spark, d) -> DataFrame:
-    stored = v.exif(spark, d)
-    source = stored.where("label = 'card'").drop("label")
-    dests = stored.where("label in ('backup_a', 'backup_b')").withColumnRenamed("label", "dest")
+    source = v.exif(spark, d, "card").drop("label")
+    dests = v.exif(spark, d, "backup_a", "backup_b").withColumnRenamed("label", "dest")
     return proof.pair_evidence(card_audit(spark, d, kind="label").matches, source, dests)
 
 
@@ -238,8 +238,7 @@ def evidence_conflicts(spark, d):
 
 
 def _compared(spark, d) -> DataFrame:
-    listed = v.files(spark, d)
-    return cmp.compare(listed.where("label = 'card'"), listed.where("label = 'mirror'"), BIG)
+    return cmp.compare(v.files(spark, d, "card"), v.files(spark, d, "mirror"), BIG)
 
 
 def compare_summary(spark, d):
@@ -317,7 +316,7 @@ def _document_candidates(spark, d):
 
 
 def hash_candidates(spark, d):
-    return hashing.candidates(v.files(spark, d).where("label = 'mirror'").select("path", "size"), 1000)
+    return hashing.candidates(v.files(spark, d, "mirror").select("path", "size"), 1000)
 
 
 def hash_resume(spark, d):
@@ -390,9 +389,7 @@ def copy_plan_totals(spark, d):
 
 def copy_outcome(spark, d):
     """What the card audit found missing, against the mirror as the destination after copying."""
-    listed = v.files(spark, d)
-    planned = card_audit(spark, d).missing
-    return copying.copy_outcome(planned, listed.where("label = 'mirror'"))
+    return copying.copy_outcome(card_audit(spark, d).missing, v.files(spark, d, "mirror"))
 
 
 def copy_json(spark, d):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import lru_cache, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,8 +12,12 @@ from ..operators.dedup import unique_files
 C = F.col
 
 
+@lru_cache(maxsize=64)
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table. One small file is read by one task; its rows are then dealt to all."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores, rows.columns[0]) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def base(spark: SparkSession, d: str) -> DataFrame:
@@ -32,7 +36,8 @@ def base(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def files_raw(spark: SparkSession, d: str) -> DataFrame:
+def files_raw(spark: SparkSession, d: str, *labels: str) -> DataFrame:
+    """All scans, or those named, before repeated paths are dropped."""
     b = base(spark, d)
     off_by_one = C("size") + F.when(C("l_tax") == 0.08, 1).otherwise(0)
     parts = {
@@ -47,21 +52,17 @@ def files_raw(spark: SparkSession, d: str) -> DataFrame:
     }
     columns = ["path", "size", "mtime", "l_partkey", "l_shipdate"]
     return reduce(
-        DataFrame.unionByName, [rows.select(F.lit(k).alias("label"), *columns) for k, rows in parts.items()]
+        DataFrame.unionByName, [parts[k].select(F.lit(k).alias("label"), *columns) for k in labels or parts]
     )
 
 
-def files(spark: SparkSession, d: str) -> DataFrame:
-    return unique_files(files_raw(spark, d), ["label"])
+def files(spark: SparkSession, d: str, *labels: str) -> DataFrame:
+    return unique_files(files_raw(spark, d, *labels), ["label"])
 
 
-def scan(spark: SparkSession, d: str, label: str) -> DataFrame:
-    return files(spark, d).where(C("label") == label)
-
-
-def exif(spark: SparkSession, d: str) -> DataFrame:
+def exif(spark: SparkSession, d: str, *labels: str) -> DataFrame:
     drift = F.when((C("label") != "card") & (C("l_partkey") % 5 == 0), 10).otherwise(0)
-    kept = files(spark, d).where(F.lower("path").like("%.jpg") & (C("l_partkey") % 4 != 0))
+    kept = files(spark, d, *labels).where(F.lower("path").like("%.jpg") & (C("l_partkey") % 4 != 0))
     return kept.select(
         "label",
         "path",
@@ -153,7 +154,7 @@ def stored_hashes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lsl_lines(spark: SparkSession, d: str) -> DataFrame:
-    listed = scan(spark, d, "card").select(
+    listed = files(spark, d, "card").select(
         F.concat(
             F.lpad(C("size").cast("string"), 9, " "), F.lit(" "), C("l_shipdate").cast("string"),
             F.lit(".000000000 "), C("path"),
