@@ -43,11 +43,9 @@ def summary(wanted: DataFrame, todo: DataFrame, sample_size: int = 0) -> DataFra
 
 def latest_hashes(hashes: DataFrame) -> DataFrame:
     """The newest fingerprint per key of an append-only table."""
-    return (
-        hashes.groupBy(*HASH_KEY)
-        .agg(F.max(F.struct("hashed_at", "fingerprint")).alias("v"))
-        .select(*HASH_KEY, "v.fingerprint", "v.hashed_at")
-    )
+    rest = [c for c in hashes.columns if c not in (*HASH_KEY, "hashed_at")]
+    newest = hashes.groupBy(*HASH_KEY).agg(F.max(F.struct("hashed_at", *rest)).alias("v"))
+    return newest.select(*HASH_KEY, "v.*")
 
 
 _CONTENT = ["fingerprint", "algo", "sample_size"]

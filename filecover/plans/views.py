@@ -20,42 +20,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return rows.repartition(cores, rows.columns[0]) if rows.rdd.getNumPartitions() < cores else rows
 
 
+@lru_cache(maxsize=64)
 def base(spark: SparkSession, d: str) -> DataFrame:
-    suffix = F.when(C("l_returnflag") == "A", ".JPG").when(C("l_returnflag") == "N", ".MP4").otherwise(".ARW")
-    path = F.concat(
-        F.lit("shoot_"), F.lpad(C("l_suppkey").cast("string"), 3, "0"), F.lit("/"),
-        F.when(C("l_discount") == 0.1, "._").otherwise(""),
-        F.lit("IMG_"), F.lpad((C("l_orderkey") % 200).cast("string"), 4, "0"), F.lit("_"),
-        C("l_linenumber").cast("string"), suffix,
-    )
-    return table(spark, d, "lineitem").select(
-        path.alias("path"),
-        ((C("l_partkey") % 10).cast("bigint") * 100000 + C("l_quantity").cast("bigint")).alias("size"),
-        (F.unix_timestamp("l_shipdate") + C("l_linenumber") * 3600).alias("mtime"),
+    return table(spark, d, "lineitem").selectExpr(
+        """concat('shoot_', lpad(cast(l_suppkey as string), 3, '0'), '/', case when l_discount = 0.1 then '._' else '' end,
+                  'IMG_', lpad(cast(l_orderkey % 200 as string), 4, '0'), '_', cast(l_linenumber as string),
+                  case l_returnflag when 'A' then '.JPG' when 'N' then '.MP4' else '.ARW' end) as path""",
+        "cast(l_partkey % 10 as bigint) * 100000 + cast(l_quantity as bigint) as size",
+        "unix_timestamp(l_shipdate) + l_linenumber * 3600 as mtime",
         "l_partkey", "l_quantity", "l_linestatus", "l_tax", "l_shipdate",
     )
 
 
+# Per scan: which rows it has, and how its path, size and time follow from them.
+_OFF_BY_ONE = "size + case when l_tax = 0.08 then 1 else 0 end"
+SCANS = {
+    "card": ("l_linestatus = 'O'", "path", "size", "mtime"),
+    "backup_a": ("l_linestatus = 'O' and l_quantity <= 30", "concat('copy/', lower(path))", "size", "mtime + l_partkey % 7 - 3"),
+    "backup_b": ("l_quantity > 25", "concat('b/', path)", _OFF_BY_ONE, "mtime"),
+    "mirror": ("l_quantity < 45 and (l_linestatus = 'O' or l_tax = 0.06)", "path", _OFF_BY_ONE, "mtime"),
+}
+
+
 def files_raw(spark: SparkSession, d: str, *labels: str) -> DataFrame:
     """All scans, or those named, before repeated paths are dropped."""
-    b = base(spark, d)
-    off_by_one = C("size") + F.when(C("l_tax") == 0.08, 1).otherwise(0)
-    parts = {
-        "card": b.where("l_linestatus = 'O'"),
-        "backup_a": b.where("l_linestatus = 'O' and l_quantity <= 30").withColumns(
-            {"path": F.concat(F.lit("copy/"), F.lower("path")), "mtime": C("mtime") + C("l_partkey") % 7 - 3}
-        ),
-        "backup_b": b.where("l_quantity > 25").withColumns(
-            {"path": F.concat(F.lit("b/"), C("path")), "size": off_by_one}
-        ),
-        "mirror": b.where("l_quantity < 45 and (l_linestatus = 'O' or l_tax = 0.06)").withColumn("size", off_by_one),
-    }
-    columns = ["path", "size", "mtime", "l_partkey", "l_shipdate"]
-    return reduce(
-        DataFrame.unionByName, [parts[k].select(F.lit(k).alias("label"), *columns) for k in labels or parts]
-    )
 
+    def rows(label: str) -> DataFrame:
+        kept, path, size, mtime = SCANS[label]
+        return base(spark, d).where(kept).selectExpr(
+            f"'{label}' as label", f"{path} as path", f"{size} as size", f"{mtime} as mtime", "l_partkey", "l_shipdate"
+        )
+
+    return reduce(DataFrame.unionByName, map(rows, labels or SCANS))
 
+
+@lru_cache(maxsize=64)
 def files(spark: SparkSession, d: str, *labels: str) -> DataFrame:
     return unique_files(files_raw(spark, d, *labels), ["label"])
 

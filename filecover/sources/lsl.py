@@ -8,17 +8,17 @@ from pyspark.sql import functions as F
 from ..functions.paths import nfc
 from ..operators.filters import drop_metadata
 
-LINE = r"(?s)^\s*(\S+)\s+(\S+)\s+(\S+)\s+(\S.*)$"
-
-
 def parse_lsl(lines: DataFrame) -> DataFrame:
     """``value`` lines -> file entries. Short lines and bad sizes are skipped; a bad date is 0."""
-    part = [F.regexp_extract("value", LINE, i) for i in range(1, 5)]
-    at = F.concat_ws(" ", part[1], part[2]).try_cast("timestamp").cast("double")
-    entries = lines.select(
-        part[3].alias("raw"), part[0].try_cast("bigint").alias("size"), F.coalesce(at, F.lit(0.0)).alias("mtime")
-    ).where(F.col("size").isNotNull() & (F.col("raw") != ""))
-    return drop_metadata(normalised(entries))
+    # The fourth part is the rest of the line, blanks included.
+    split = lines.select(F.split(F.ltrim("value", F.lit(" \t")), r"\s+", 4).alias("p"))
+    at = F.concat_ws(" ", F.get("p", F.lit(1)), F.get("p", F.lit(2))).try_cast("timestamp").cast("double")
+    entries = split.select(
+        F.get("p", F.lit(3)).alias("raw"),
+        F.get("p", F.lit(0)).try_cast("bigint").alias("size"),
+        F.coalesce(at, F.lit(0.0)).alias("mtime"),
+    )
+    return drop_metadata(normalised(entries.where(F.col("size").isNotNull() & (F.col("raw") != ""))))
 
 
 def normalised(entries: DataFrame) -> DataFrame:

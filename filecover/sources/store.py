@@ -103,8 +103,7 @@ class Store:
         listed = Observation()
         counted = drop_metadata(entries).observe(listed, F.count(F.lit(1)).alias("files"))
         try:
-            rows = unique_files(counted.select("path", "size", "mtime", "path_raw"))
-            self._append("files", _stamped(rows, scan_id), FILES, "scan_id")
+            self._append_files(counted, scan_id)
             if exif is not None:
                 self._append(
                     "exif", _stamped(exif, scan_id).withColumn("extracted_at", F.lit(started)), schemas.EXIF, "scan_id"
@@ -115,6 +114,10 @@ class Store:
         self._register("scans", (*row[:5], _now(), listed.get["files"], *row[7:]), schemas.SCANS)
         return scan_id
 
+    def _append_files(self, entries: DataFrame, scan_id: int) -> None:
+        rows = unique_files(entries.select("path", "size", "mtime", "path_raw"))
+        self._append("files", _stamped(rows, scan_id), FILES, "scan_id")
+
     def save_hashes(self, rows: DataFrame, scan_id: int, algo: str, sample_size: int) -> None:
         """Append (path, size, fingerprint); readers take the newest per key."""
         stamped = _stamped(rows, scan_id).withColumns(
