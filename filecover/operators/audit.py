@@ -5,12 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass, field, replace
 from functools import cached_property, reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import base_name_lower, whole_seconds
 from ..functions.shares import percent
 from . import bounded
+from .evidence import exif_key
 from .filters import at_least, drop_metadata, exclude_matching, outside_root
 from .near import NearJoin
 
@@ -122,10 +123,23 @@ class Audit:
     def matches(self) -> DataFrame:
         """(path, size, bn, mt, ord, dest, dest_path): one row per source file and destination
         that holds it. Among several candidates the earliest time wins, then the first path."""
-        carry = {"ord": "ord", "path": "dest_path"}
-        found = self._near.first(self.keys, ["ord"], carry, "inner")
-        names = F.array(*[F.lit(dest.name) for dest in self.dests])
-        return found.withColumn("dest", F.get(names, F.col("ord")))
+        found = self._near.first(self.keys, ["ord"], {"ord": "ord", "path": "dest_path"}, "inner")
+        return found.withColumn("dest", self._dest_name())
+
+    def matches_with_exif(self, dest_exif: DataFrame) -> DataFrame:
+        """``matches`` with ``dest_key``, the capture metadata of the destination file.
+
+        ``dest_exif``: dest, path and the three fields; listings without stored metadata have
+        no rows there. It is attached before matching, where each file stands once; afterwards
+        one destination file may stand beside any number of source files.
+        """
+        exif = dest_exif.select("dest", F.col("path"), exif_key().alias("dest_key"))
+        named = self.keys.withColumn("dest", self._dest_name()).join(exif, ["dest", "path"], "left")
+        carry = {"ord": "ord", "path": "dest_path", "dest": "dest", "dest_key": "dest_key"}
+        return self._near.first(named, ["ord"], carry, "inner")
+
+    def _dest_name(self) -> Column:
+        return F.get(F.array(*[F.lit(dest.name) for dest in self.dests]), F.col("ord"))
 
     @cached_property
     def missing(self) -> DataFrame:

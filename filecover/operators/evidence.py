@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.capture import BLANKS
-from .skew import skew_join
 
 KINDS = ("strong", "weak", "conflict")
 CLOCK_TOLERANCE = 5
@@ -42,20 +41,15 @@ def combine(kind: Column) -> Column:
     )
 
 
-def pair_evidence(
-    matches: DataFrame, source_exif: DataFrame, dest_exif: DataFrame, tolerance: int = CLOCK_TOLERANCE
-) -> DataFrame:
-    """``matches`` with ``kind``. EXIF tables: path and the three fields, plus dest on the
-    destination side. Listings without stored metadata have no rows there, hence are weak."""
-    source = source_exif.select("path", F.struct(*FIELDS).alias("source_key"))
-    dest = dest_exif.select("dest", F.col("path").alias("dest_path"), F.struct(*FIELDS).alias("dest_key"))
-    # Many source files may have chosen one destination file; paths are unique in both tables.
-    paired = skew_join(matches, dest, ["dest", "dest_path"], "left", by=["path"])
-    return (
-        paired.join(source, "path", "left")
-        .withColumn("kind", classify(F.col("source_key"), F.col("dest_key"), tolerance))
-        .drop("source_key", "dest_key")
-    )
+def exif_key() -> Column:
+    return F.struct(*FIELDS)
+
+
+def pair_evidence(matches: DataFrame, source_exif: DataFrame, tolerance: int = CLOCK_TOLERANCE) -> DataFrame:
+    """Matches that carry ``dest_key`` (see ``Audit.matches_with_exif``), with their ``kind``."""
+    source = source_exif.select("path", exif_key().alias("source_key"))
+    kind = classify(F.col("source_key"), F.col("dest_key"), tolerance)
+    return matches.join(source, "path", "left").withColumn("kind", kind).drop("source_key", "dest_key")
 
 
 def evidence(pairs: DataFrame) -> DataFrame:

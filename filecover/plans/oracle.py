@@ -154,7 +154,7 @@ def _human(size: str) -> str:
     for power, unit in enumerate(("KB", "MB", "GB", "TB", "PB"), 1):
         scaled = f"{size}::double / {1024.0**power:.1f}"
         cases.append(f"when {scaled} < 1024 then concat(printf('%.1f', {scaled}), ' {unit}')")
-    return f"case {' '.join(cases)} end"
+    return f"case {' '.join(cases)} else concat(printf('%.1f', {size}::double / {1024.0**6:.1f}), ' EB') end"
 
 
 def _folders(rows: str, key: str = "path") -> str:
@@ -264,7 +264,7 @@ select l_orderkey, concat(' ', cast(l_quantity / 4 as varchar), {_UNIT}, case wh
 from lineitem""",
     "human_size": f"""
 select l_orderkey, size, {_human('size')} as text
-from (select l_orderkey, (l_partkey + l_linenumber) * cast(1000.0 ** (l_orderkey % 6) as bigint) as size from lineitem) x""",
+from (select l_orderkey, (l_partkey % 9000 + l_linenumber) * cast(1000.0 ** (l_orderkey % 6) as bigint) as size from lineitem) x""",
     "jpeg_filter": _sql("fx_files", "select label, path from fx_files where lower(path) like '%.jpg'"),
     "label_clean": _sql("fx_scans", "select id, concat(label, ' ', drive_type, 'x y') as label from fx_scans"),
     "exif_clean": _sql("fx_exif", """

@@ -106,7 +106,7 @@ def parse_size(spark, d):
 
 def human_size(spark, d):
     scale = F.pow(F.lit(1000.0), (C("l_orderkey") % 6).cast("double")).cast("bigint")
-    size = (C("l_partkey") + C("l_linenumber")) * scale
+    size = (C("l_partkey") % 9000 + C("l_linenumber")) * scale
     return v.table(spark, d, "lineitem").select("l_orderkey", size.alias("size")).withColumn(
         "text", sizes.human_size(C("size"))
     )
@@ -215,7 +215,7 @@ def audit_json(spark, d):
 def _pairs(spark, d) -> DataFrame:
     source = v.exif(spark, d, "card").drop("label")
     dests = v.exif(spark, d, "backup_a", "backup_b").withColumnRenamed("label", "dest")
-    return proof.pair_evidence(card_audit(spark, d, kind="label").matches, source, dests)
+    return proof.pair_evidence(card_audit(spark, d, kind="label").matches_with_exif(dests), source)
 
 
 def pair_evidence(spark, d):

@@ -1,4 +1,8 @@
-"""One entry point for every form a manifest comes in."""
+"""One entry point for every form a manifest comes in.
+
+An object store is read through an ``lsl`` listing of it. Spark's ``binaryFile`` source is no
+substitute: it leaves out hidden names and empty files, which an audit must not.
+"""
 
 from __future__ import annotations
 
@@ -7,16 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from ..schemas import FILE_ENTRY
 from .listing import read_listing
 from .lsl import read_lsl
-from .object_listing import read_object_listing
 
-FORMATS = ("listing", "objects", "lsl", "parquet", "csv", "json")
+FORMATS = ("listing", "lsl", "parquet", "csv", "json")
 
 
 def read_manifest(spark: SparkSession, path: str, format: str = "listing", **options) -> DataFrame:
     if format == "listing":
         return read_listing(spark, path, **options)
-    if format == "objects":
-        return read_object_listing(spark, path)
     if format == "lsl":
         return read_lsl(spark, path)
     if format == "parquet":

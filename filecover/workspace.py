@@ -114,10 +114,11 @@ class Workspace:
             raise ValueError(f"no finished scan of {label!r}")
         return row
 
-    def _files(self, target: Target, skip: str | None = None) -> DataFrame:
+    def _files(self, target: Target, name: str, skip: str | None = None) -> DataFrame:
         if target.kind == "label":
             return self.store.files(target.scan_id)
-        return read_listing(self.spark, target.root, skip_root=skip)
+        # A tree is walked once and kept: it may change, and walking is the slow part.
+        return self._kept(read_listing(self.spark, target.root, skip_root=skip), name)
 
     # Audit
 
@@ -127,19 +128,21 @@ class Workspace:
         src = self.resolve(source)
         targets = [self.resolve(ident) for ident in against]
         min_bytes = parse_size_text(min_size)
+        work = uuid.uuid4().hex
         plan = coverage.audit(
-            self._files(src),
-            [coverage.Destination(t.ident, self._files(t, skip=src.root), t.kind, t.root) for t in targets],
+            self._files(src, f"{work}/listed_source"),
+            [
+                coverage.Destination(t.ident, self._files(t, f"{work}/listed_{i}", src.root), t.kind, t.root)
+                for i, t in enumerate(targets)
+            ],
             min_size=min_bytes,
             source_root=src.root,
             **options,
         )
-        # The join is written once; every counter, list and roll-up reads it back. Source rows
-        # are written too, since a fresh listing may change between two readings.
-        token = uuid.uuid4().hex
-        matches = self._kept(plan.matches, f"{token}/matches")
-        missing = self._kept(plan.missing, f"{token}/missing")
-        rows = self._kept(plan.rows.select("path", "size"), f"{token}/source")
+        # The join is written once; every counter, list and roll-up reads it back.
+        matches = self._kept(plan.matches_with_exif(self._dest_exif(targets)), f"{work}/matches")
+        missing = self._kept(plan.missing, f"{work}/missing")
+        rows = plan.rows.select("path", "size")
         per_dest = coverage.per_dest(matches, plan.dests)
         everything = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("b")).first()
         lost = missing.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("b")).first()
@@ -162,7 +165,7 @@ class Workspace:
         )
         shown = self.spark.createDataFrame([tuple(totals.values())], ", ".join(f"{k} bigint" for k in totals))
         shown = shown.withColumn("percent", percent(F.col("matched"), F.col("total_files")))
-        pairs = proof.pair_evidence(matches, self._exif(src), self._dest_exif(targets))
+        pairs = proof.pair_evidence(matches, self._exif(src))
         return StoredAudit(run_id, rows, matches, missing, per_dest, shown, proof.evidence(pairs))
 
     def _kept(self, rows: DataFrame, name: str) -> DataFrame:

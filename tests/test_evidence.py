@@ -43,7 +43,7 @@ def test_evidence_never_moves_a_file(spark, manifest):
     fields = "taken_at bigint, camera_make string, camera_model string"
     source_exif = spark.createDataFrame([("a/1.jpg", T, "SONY", None), ("b/1.jpg", T, "GoPro", None)], f"path string, {fields}")
     dest_exif = spark.createDataFrame([("d", "x/1.jpg", T, "SONY", None)], f"dest string, path string, {fields}")
-    kinds = evidence(pair_evidence(result.matches, source_exif, dest_exif))
+    kinds = evidence(pair_evidence(result.matches_with_exif(dest_exif), source_exif))
     assert {r["path"]: r["kind"] for r in kinds.collect()} == {"a/1.jpg": "strong", "b/1.jpg": "conflict", "c.mp4": "weak"}
     assert {r["kind"]: r["files"] for r in evidence_counts(kinds).collect()} == {"strong": 1, "weak": 1, "conflict": 1}
     assert [r["path"] for r in result.missing.collect()] == ["gone.jpg"]

@@ -2,7 +2,6 @@ import os
 import struct
 
 import pytest
-from pyspark.sql import functions as F
 
 from filecover.sources.exif import read_exif
 from filecover.sources.file_hash import hash_files
@@ -62,13 +61,6 @@ def test_listing_never_enters_the_source(spark, tree, tmp_path):
     assert paths(read_listing(spark, str(tmp_path / "back"), skip_root=f"{root}/card")) == []
 
 
-def test_objects(spark, tree):
-    root = tree("r", FILES)
-    listed = read_manifest(spark, f"file:{root}", "objects")
-    assert paths(listed) == ["a/café.txt", "a/one.jpg", "top"]
-    assert listed.where("path = 'a/one.jpg'").first()["mtime"] == 1_600_000_000.0
-
-
 LISTING = """\
        12 2020-01-01 00:00:00.500000000 a/with  two blanks .jpg
 
