@@ -103,9 +103,13 @@ class Audit:
     def rows(self) -> DataFrame:
         return source_rows(self.source, self.options)
 
+    @cached_property
+    def _dest_rows(self) -> DataFrame:
+        return dest_rows(self.dests, self.options)
+
     @cached_property
     def keys(self) -> DataFrame:
-        everything = dest_rows(self.dests, self.options)
+        everything = self._dest_rows
         if not self.options.early_stop:
             return dest_keys(everything, self.options)
         live = [i for i, dest in enumerate(self.dests) if dest.kind == "path"]
@@ -117,7 +121,9 @@ class Audit:
         return NearJoin(self.rows, ["size", "bn"], "mt", self.options.reach, by=["path"])
 
     def _any_dest(self) -> DataFrame:
-        return self.keys.select("size", "bn", *(["mt"] if self.options.mtime_match else [])).distinct()
+        # One reduction is enough where the destinations need not be told apart.
+        held = self.keys if self.options.early_stop else self._dest_rows
+        return held.select("size", "bn", *(["mt"] if self.options.mtime_match else [])).distinct()
 
     @cached_property
     def matches(self) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .skew import SALT, deal, fan_out, replicate
+from .skew import SALT, Spread
 
 SLOT = "__slot"
 
@@ -41,13 +41,13 @@ class NearJoin:
         if window is not None:
             self.keys.append(SLOT)
             left = left.withColumn(SLOT, _slot(F.col(time), window))
-        self.fan = fan_out(left, self.keys) if by else None
-        self.left = deal(left, self.fan, by) if by else left
+        self.spread = Spread.of(left, self.keys, None if by else {})
+        self.left = self.spread.deal(left, by)
 
-    def _spread(self, right: DataFrame) -> DataFrame:
+    def _placed(self, right: DataFrame) -> DataFrame:
         if self.window is not None:
             right = right.withColumn(SLOT, F.explode(_reachable_slots(F.col(self.time), self.window)))
-        return right if self.fan is None else replicate(right, self.fan)
+        return self.spread.replicate(right)
 
     def _join(self, right: DataFrame, condition: Column | None, how: str) -> DataFrame:
         on = [self.left[k] == right[f"__r{k}"] for k in self._shared()]
@@ -55,7 +55,7 @@ class NearJoin:
         return joined.drop(SLOT, SALT, *right.columns[: len(on)])
 
     def _shared(self) -> list[str]:
-        return self.keys if self.fan is None else [*self.keys, SALT]
+        return self.spread.columns
 
     def _renamed(self) -> list[Column]:
         # Fresh names keep the two sides apart when they come from one table.
@@ -63,11 +63,11 @@ class NearJoin:
 
     def exists(self, right: DataFrame, how: str) -> DataFrame:
         """``how``: left_semi or left_anti."""
-        spread = self._spread(right)
+        placed = self._placed(right)
         if self.window is None:
-            return self._join(spread.select(*self._renamed()), None, how)
-        spread = spread.select(*self._renamed(), F.col(self.time).alias("__at"))
-        return self._join(spread, F.abs(self.left[self.time] - spread["__at"]) <= self.window, how)
+            return self._join(placed.select(*self._renamed()), None, how)
+        placed = placed.select(*self._renamed(), F.col(self.time).alias("__at"))
+        return self._join(placed, F.abs(self.left[self.time] - placed["__at"]) <= self.window, how)
 
     def first(self, right: DataFrame, group: list[str], carry: dict[str, str], how: str) -> DataFrame:
         """The earliest right row in reach, one per ``group``; ``carry`` renames its columns.
@@ -76,18 +76,18 @@ class NearJoin:
         its own. These spans do not overlap, so no aggregation is needed after the join.
         """
         keep = [F.col(old).alias(new) for old, new in carry.items()]
-        spread = self._spread(right)
+        placed = self._placed(right)
         if self.window is None:
-            return self._join(spread.select(*self._renamed(), *keep), None, how)
+            return self._join(placed.select(*self._renamed(), *keep), None, how)
         shared = self._shared()
         reach = F.lit(self.window)
         before = F.lag(self.time).over(Window.partitionBy(*shared, *group).orderBy(self.time))
         # One exchange serves both the window and the join.
-        spread = spread.repartition(*shared).select(
+        placed = placed.repartition(*shared).select(
             *self._renamed(),
             *keep,
             F.greatest(before + reach + 1, F.col(self.time) - reach).alias("__from"),
             (F.col(self.time) + reach).alias("__to"),
         )
-        serves = self.left[self.time].between(spread["__from"], spread["__to"])
-        return self._join(spread, serves, how).drop("__from", "__to")
+        serves = self.left[self.time].between(placed["__from"], placed["__to"])
+        return self._join(placed, serves, how).drop("__from", "__to")

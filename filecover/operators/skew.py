@@ -1,31 +1,43 @@
 """Joins whose many-side may hold very frequent keys.
 
-A frequent-items sketch finds the keys that hold more than 1/1024 of the rows (there are at
-most about a thousand of them, whatever the table size). Rows of such a key are dealt over a
-number of sub-keys in proportion to its share, and the other side, which has few rows per
-key, is copied to each sub-key. The sketch decides only how work is spread: a key it misses,
-over-counts or confuses with another gives the same result.
+A frequent-items sketch finds the keys that hold more than 1/1024 of the rows. Rows of such
+a key are dealt over a number of sub-keys in proportion to its share, and the other side,
+which has few rows per key, is copied to each sub-key. The sketch decides only how work is
+spread: a key it misses, over-counts or confuses with another gives the same result.
+
+The sketch is read before the join is planned. It is approximate and may come out otherwise
+a second time, so both sides of a join have to use one reading; and where no key is hot, as
+is usual, the join is planned without sub-keys.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PIECES = 1024
+# Also the most entries a sketch can return, whatever the table size.
 TRACKED = 2048
 SKETCH_GROUPS = 64
+MIN_PIECE = 8
 SALT = "__salt"
 
 
-def key_hash(keys: list[str]) -> Column:
-    return F.xxhash64(*keys)
+def key_hash(keys: list[str], types: list) -> Column:
+    """Equal for equal keys of both sides: a hash depends on the type, so that is given."""
+    return F.xxhash64(*[F.col(k).cast(t) for k, t in zip(keys, types)])
+
 
+def key_types(rows: DataFrame, keys: list[str]) -> list:
+    return [rows.schema[k].dataType for k in keys]
 
-def hot_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """At most one row: map from key hash to number of sub-keys."""
+
+def hot_keys(rows: DataFrame, keys: list[str]) -> dict[int, int]:
+    """Key hash -> number of sub-keys, for the hot keys. Runs one job without a row shuffle."""
     sketches = (
-        rows.select(key_hash(keys).alias("item"))
+        rows.select(key_hash(keys, key_types(rows, keys)).alias("item"))
         .groupBy(F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)).alias("g"))
         .agg(F.expr(f"approx_top_k_accumulate(item, {TRACKED})").alias("s"), F.count("*").alias("n"))
     )
@@ -33,32 +45,52 @@ def hot_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
     merged = sketches.groupBy(F.lit(1).alias("one")).agg(
         F.expr(f"approx_top_k_combine(s, {TRACKED})").alias("s"), F.sum("n").alias("n")
     )
-    frequent = F.filter(F.expr(f"approx_top_k_estimate(s, {TRACKED})"), lambda x: x["count"] * PIECES > F.col("n"))
-    return merged.select(
-        F.map_from_entries(
-            F.transform(
-                frequent,
-                lambda x: F.struct(x["item"], F.ceil(x["count"] * F.lit(float(PIECES)) / F.col("n")).cast("int")),
-            )
-        ).alias("hot")
-    )
+    estimates = F.expr(f"approx_top_k_estimate(s, {TRACKED})")
+    hot = F.filter(estimates, lambda x: x["count"] * PIECES > F.col("n"))
+    row = merged.select(hot.alias("hot"), "n").first()
+    if row is None:
+        return {}
+    pieces = {x["item"]: -(-x["count"] * PIECES // row["n"]) for x in row["hot"]}
+    # Splitting pays only where a piece is more than a handful of rows.
+    return {k: n for k, n in pieces.items() if n > 1} if row["n"] >= PIECES * MIN_PIECE else {}
+
+
+
+@dataclass(frozen=True)
+class Spread:
+    """How the rows of ``keys`` are dealt out; ``hot`` is empty where nothing has to be."""
 
+    keys: list[str]
+    types: list
+    hot: dict[int, int]
 
-def fan_out(rows: DataFrame, keys: list[str]) -> Column:
-    """Sub-keys of a row's key; usable on either side of the join."""
-    return F.coalesce(F.try_element_at(hot_keys(rows, keys).scalar(), key_hash(keys)), F.lit(1))
+    @classmethod
+    def of(cls, rows: DataFrame, keys: list[str], hot: dict[int, int] | None = None) -> Spread:
+        return cls(keys, key_types(rows, keys), hot_keys(rows, keys) if hot is None else hot)
 
+    @property
+    def columns(self) -> list[str]:
+        return [*self.keys, SALT] if self.hot else self.keys
 
-def deal(rows: DataFrame, fan: Column, by: list[str]) -> DataFrame:
-    """Give each row one sub-key. ``by`` must tell rows of one key apart, and be repeatable."""
-    return rows.withColumn(SALT, F.pmod(F.xxhash64(*by), fan.cast("bigint")).cast("int"))
+    def _pieces(self) -> Column:
+        known = F.expr("map(" + ", ".join(f"{k}L, {n}" for k, n in self.hot.items()) + ")")
+        return F.coalesce(F.try_element_at(known, key_hash(self.keys, self.types)), F.lit(1))
 
+    def deal(self, rows: DataFrame, by: list[str]) -> DataFrame:
+        """Give each row one sub-key. ``by`` must tell rows of one key apart, and be repeatable."""
+        if not self.hot:
+            return rows
+        return rows.withColumn(SALT, F.pmod(F.xxhash64(*by), self._pieces().cast("bigint")).cast("int"))
 
-def replicate(rows: DataFrame, fan: Column) -> DataFrame:
-    return rows.withColumn(SALT, F.explode(F.sequence(F.lit(0), fan - 1)))
+    def replicate(self, rows: DataFrame) -> DataFrame:
+        if not self.hot:
+            return rows
+        return rows.withColumn(SALT, F.explode(F.sequence(F.lit(0), self._pieces() - 1)))
 
 
-def skew_join(many: DataFrame, few: DataFrame, keys: list[str], how: str, by: list[str]) -> DataFrame:
+def skew_join(
+    many: DataFrame, few: DataFrame, keys: list[str], how: str, by: list[str], hot: dict[int, int] | None = None
+) -> DataFrame:
     """Equi-join; ``few`` has a small number of rows per key, ``many`` may have any number."""
-    fan = fan_out(many, keys)
-    return deal(many, fan, by).join(replicate(few, fan), [*keys, SALT], how).drop(SALT)
+    spread = Spread.of(many, keys, hot)
+    return spread.deal(many, by).join(spread.replicate(few), spread.columns, how).drop(SALT)
