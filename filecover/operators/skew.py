@@ -5,6 +5,7 @@ a key are dealt over a number of sub-keys in proportion to its share, and the ot
 which has few rows per key, is copied to each sub-key. The sketch decides only how work is
 spread: a key it misses, over-counts or confuses with another gives the same result.
 
+A side that Catalyst puts below SMALL_BYTES is not looked at: all of it is one task's work.
 The sketch is read before the join is planned. It is approximate and may come out otherwise
 a second time, so both sides of a join have to use one reading; and where no key is hot, as
 is usual, the join is planned without sub-keys.
@@ -22,6 +23,7 @@ PIECES = 1024
 TRACKED = 2048
 SKETCH_GROUPS = 64
 MIN_PIECE = 8
+SMALL_BYTES = 64 << 20
 SALT = "__salt"
 
 
@@ -34,8 +36,15 @@ def key_types(rows: DataFrame, keys: list[str]) -> list:
     return [rows.schema[k].dataType for k in keys]
 
 
+def estimated_bytes(rows: DataFrame) -> int:
+    """Catalyst's estimate; without statistics it is far above any bound."""
+    return int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def hot_keys(rows: DataFrame, keys: list[str]) -> dict[int, int]:
     """Key hash -> number of sub-keys, for the hot keys. Runs one job without a row shuffle."""
+    if estimated_bytes(rows) < SMALL_BYTES:
+        return {}
     sketches = (
         rows.select(key_hash(keys, key_types(rows, keys)).alias("item"))
         .groupBy(F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)).alias("g"))

@@ -3,11 +3,17 @@
 import pytest
 from pyspark.sql import functions as F
 
+from filecover.operators import skew
 from filecover.operators.audit import Destination, audit
 from filecover.operators.fingerprint import candidates, duplicate_pairs
 from filecover.operators.skew import SALT, Spread, hot_keys, skew_join
 
 
+@pytest.fixture(autouse=True)
+def look_at_small_tables(monkeypatch):
+    monkeypatch.setattr(skew, "SMALL_BYTES", 0)
+
+
 def hot_table(spark, n=30_000):
     """A third of the rows share one key; the others have keys of their own."""
     return spark.range(n).select(
@@ -28,6 +34,13 @@ def test_no_rows_no_hot_keys(spark):
     assert skew_join(empty, hot_table(spark).select("size").distinct(), ["size"], "inner", by=["path"]).count() == 0
 
 
+def test_small_tables_are_not_looked_at(spark, monkeypatch):
+    monkeypatch.setattr(skew, "SMALL_BYTES", 64 << 20)
+    assert hot_keys(hot_table(spark), ["size"]) == {}
+    # A table without statistics counts as large.
+    assert skew.estimated_bytes(spark.createDataFrame([(1,)], "a int").repartition(2)) > 64 << 20
+
+
 def test_even_keys_are_left_alone(spark):
     rows = hot_table(spark).where("size > 7")
     spread = Spread.of(rows, ["size"])
