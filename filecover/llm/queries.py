@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 from .byte_bpe import op8_byte_bpe
+from .language_model import op3_kneser_ney
+from .mixing import op7_mixing
 from .repetition import op1_suffix_repetition
+from .sharding import op2_feistel_shards
 from .token_files import op9_token_files
 
 QUERIES = {
     "op1_suffix_repetition": op1_suffix_repetition,
+    "op2_feistel_shards": op2_feistel_shards,
+    "op3_kneser_ney": op3_kneser_ney,
+    "op7_mixing": op7_mixing,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_token_files": op9_token_files,
 }
