@@ -5,6 +5,7 @@ from __future__ import annotations
 from .byte_bpe import op8_byte_bpe
 from .language_model import op3_kneser_ney
 from .mixing import op7_mixing
+from .near_dedup import op4_near_duplicates
 from .repetition import op1_suffix_repetition
 from .sharding import op2_feistel_shards
 from .token_files import op9_token_files
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_suffix_repetition": op1_suffix_repetition,
     "op2_feistel_shards": op2_feistel_shards,
     "op3_kneser_ney": op3_kneser_ney,
+    "op4_near_duplicates": op4_near_duplicates,
     "op7_mixing": op7_mixing,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_token_files": op9_token_files,
