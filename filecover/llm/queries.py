@@ -6,8 +6,10 @@ from .byte_bpe import op8_byte_bpe
 from .language_model import op3_kneser_ney
 from .mixing import op7_mixing
 from .near_dedup import op4_near_duplicates
+from .phrase_fingerprint import op5_phrase_fingerprints
 from .repetition import op1_suffix_repetition
 from .sharding import op2_feistel_shards
+from .suffix_dedup import op6_suffix_dedup
 from .token_files import op9_token_files
 
 QUERIES = {
@@ -15,6 +17,8 @@ QUERIES = {
     "op2_feistel_shards": op2_feistel_shards,
     "op3_kneser_ney": op3_kneser_ney,
     "op4_near_duplicates": op4_near_duplicates,
+    "op5_phrase_fingerprints": op5_phrase_fingerprints,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_mixing": op7_mixing,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_token_files": op9_token_files,
