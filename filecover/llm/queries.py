@@ -11,6 +11,7 @@ from .repetition import op1_suffix_repetition
 from .sharding import op2_feistel_shards
 from .suffix_dedup import op6_suffix_dedup
 from .token_files import op9_token_files
+from .toxicity import op10_toxicity
 
 QUERIES = {
     "op1_suffix_repetition": op1_suffix_repetition,
@@ -22,6 +23,7 @@ QUERIES = {
     "op7_mixing": op7_mixing,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_token_files": op9_token_files,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE: dict[str, str] = {}
