@@ -3,23 +3,25 @@
 1. Each text becomes its set of word shingles (64-bit hashes). Texts with equal sets are one class from
    then on: a digest of the set brings them together after a partial aggregation, so copies cost nothing.
 2. A class has `bands` x `rows` minimum hashes of 16 bits. Classes that agree on a band share a bucket.
-   First every class is paired with the least of its bucket (a star: one pair less than classes). After
-   those pairs are verified and their components known, the classes of a bucket that are still in
-   different components are paired with each other. Groups of copies fall into one component in the
-   first round, so no group is paired within itself, and no link that could join components is left out.
+   First every class is paired with the head of its bucket, the class of most copies (a star: one pair less
+   than classes), and links that verify give components. A bucket whose classes are all in one component is
+   done. What else stood in a bucket with the same head is a group: its classes are compared block by block in
+   tasks, only across components, and a task returns no more links than it takes to join them. So no
+   pair that could join components is left out, and no group's pairs become rows.
 3. A pair's signatures are compared batch by batch. With m of n hashes equal and a uniform prior, the
    similarity is Beta(m + 1, n - m + 1); a pair is dropped as soon as the posterior probability of
    reaching the threshold falls below `miss`. Survivors are verified on their full sets.
 4. Components spread by the least neighbour, with pointer jumping, in written tables.
 
 A pair at the threshold is missed by all bands with probability (1 - s^rows)^bands, 6e-7 as set.
-Texts of the pairs to verify come from a second scan that looks the classes up in mapped arrays, so only
+Texts of the classes to verify come from another scan that looks them up in mapped arrays, so only
 those texts are shuffled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 from math import comb
 
@@ -32,8 +34,9 @@ from pyspark.sql import functions as F
 from .common import Words, joined, large, mixed, slices, texts, written
 from .hash_store import write_store
 
-#: Shingles hashed at once by one function: stays in the processor's cache.
 _FIXED_SEED = 20_240_501
+#: Classes of a group compared in one block, pairs at once, and shingles at once.
+BLOCK, PAIRS_AT_ONCE, COLUMNS = 1024, 1 << 17, 2048
 
 
 def shingle_sets(text: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -155,19 +158,27 @@ def _surviving(pairs: DataFrame, classes: DataFrame, threshold: float, miss: flo
     return both.select("a", "b", "sa", "sb").mapInArrow(sift, "a long, b long")
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs whose full sets reach the threshold."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(classes.select("key", "rep"), "key")
-    store = write_store(wanted.select("key", F.coalesce("rep", F.lit(0)).alias("rep")), "wanted")
+def _texts_of(wanted: DataFrame, rows: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """(key, text) of the wanted class keys, a row each."""
+    known = wanted.distinct().join(classes.select("key", "rep"), "key")
+    store = write_store(known.select("key", F.coalesce("rep", F.lit(0)).alias("rep")), "wanted")
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             key, _ = digests(*shingle_sets(part.column("text"), width))
             there, values, _ = store.find(key)
             own = pc.fill_null(part.column("doc_id"), 0).to_numpy(zero_copy_only=False)
-            rows_ = pa.array(np.nonzero(there & (values[:, 0] == own))[0])
-            keys = pa.array(key.view(np.int64)).take(rows_)
-            yield pa.RecordBatch.from_arrays([keys, part.column("text").take(rows_)], names=["key", "text"])
+            chosen = pa.array(np.nonzero(there & (values[:, 0] == own))[0])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key.view(np.int64)).take(chosen), part.column("text").take(chosen)], names=["key", "text"]
+            )
+
+    # Repeated rows of one id and text are one.
+    return written(rows.mapInArrow(pick, "key long, text string").groupBy("key").agg(F.min("text").alias("text")), "texts")
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs whose full sets reach the threshold."""
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, column="ta"):
@@ -182,14 +193,135 @@ def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, width: int,
             kept = pa.array(np.nonzero(100 * shared >= percent * union)[0])
             yield pa.RecordBatch.from_arrays([batch.column("a").take(kept), batch.column("b").take(kept)], names=["a", "b"])
 
-    found = written(rows.mapInArrow(pick, "key long, text string"), "texts").groupBy("key").agg(F.min("text").alias("text"))
-    found = written(found, "texts")  # repeated rows of one id and text are one
+    found = _texts_of(pairs.select(F.explode(F.array("a", "b")).alias("key")), rows, classes, width)
     both = pairs.join(found.withColumnsRenamed({"key": "a", "text": "ta"}), "a").join(
         found.withColumnsRenamed({"key": "b", "text": "tb"}), "b"
     )
     return written(both.select("a", "b", "ta", "tb").mapInArrow(confirm, "a long, b long"), "links")
 
 
+@dataclass
+class Members:
+    """Classes of a group: their keys, components, blocks, signatures and sets."""
+
+    key: np.ndarray
+    root: np.ndarray
+    block: np.ndarray
+    signature: np.ndarray
+    shingles: np.ndarray
+    sizes: np.ndarray
+
+    def shared(self) -> np.ndarray:
+        """How many shingles each two sets share. Shingles of one set alone can't matter."""
+        n = len(self.key)
+        row = np.repeat(np.arange(n), self.sizes)
+        _, code, times = np.unique(self.shingles, return_inverse=True, return_counts=True)
+        matters = times[code] > 1
+        row, code = row[matters], np.unique(code[matters], return_inverse=True)[1]
+        counts = np.zeros((n, n), np.float32)
+        order = np.argsort(code, kind="stable")
+        row, code = row[order], code[order]
+        for start in range(0, int(code[-1]) + 1 if len(code) else 0, COLUMNS):
+            a, b = np.searchsorted(code, [start, start + COLUMNS])
+            held = np.zeros((n, COLUMNS), np.float32)
+            held[row[a:b], code[a:b] - start] = 1
+            counts += held @ held.T
+        return counts.astype(np.int64)
+
+    def links(self, blocks: tuple[int, int], percent: int, miss: float) -> list[tuple[int, int]]:
+        """Links that join components, between the two blocks or within the one."""
+        left, right = ((np.nonzero(self.block == b)[0]) for b in blocks)
+        lead = {int(r): int(r) for r in np.unique(self.root)}
+
+        def leader(r: int) -> int:
+            while lead[r] != r:
+                lead[r] = lead[lead[r]]
+                r = lead[r]
+            return r
+
+        found: list[tuple[int, int]] = []
+        counts = None
+        step = max(1, PAIRS_AT_ONCE // max(1, len(right)))
+        for start in range(0, len(left), step):
+            a, b = (x.ravel() for x in np.meshgrid(left[start : start + step], right, indexing="ij"))
+            current = np.array([leader(int(r)) for r in self.root])
+            apart = (current[a] != current[b]) & ((a < b) | (blocks[0] != blocks[1]))
+            a, b = a[apart], b[apart]
+            alive = plausible(self.signature[a], self.signature[b], percent / 100, miss)
+            a, b = a[alive], b[alive]
+            if not len(a):
+                continue
+            counts = self.shared() if counts is None else counts
+            linked = 100 * counts[a, b] >= percent * (self.sizes[a] + self.sizes[b] - counts[a, b])
+            for i, j in zip(a[linked].tolist(), b[linked].tolist(), strict=True):
+                x, y = leader(int(self.root[i])), leader(int(self.root[j]))
+                if x != y:
+                    lead[max(x, y)] = min(x, y)
+                    found.append((int(self.key[i]), int(self.key[j])))
+        return found
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[tuple[int, int], Members]]:
+    """Groups of rows in order of (head, i, j), with their sets."""
+    held: list[Members] = []
+    current: tuple | None = None
+
+    def merged() -> Members:
+        return Members(*(np.concatenate([getattr(m, f) for m in held]) for f in Members.__dataclass_fields__))
+
+    for part in slices(batches):
+        shingles, sizes = shingle_sets(part.column("text"), width)
+        ends = np.cumsum(sizes)
+        head, i, j, key, root, block = (
+            part.column(c).to_numpy(zero_copy_only=False) for c in ("head", "i", "j", "key", "root", "block")
+        )
+        signature = np.frombuffer(b"".join(part.column("signature").to_pylist()), np.uint16).reshape(part.num_rows, -1)
+        new = np.nonzero(np.concatenate([[True], (np.diff(head) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)]))[0]
+        for a, b in zip(new.tolist(), [*new[1:].tolist(), part.num_rows], strict=True):
+            group = (int(head[a]), int(i[a]), int(j[a]))
+            if held and group != current:
+                yield current[1:], merged()
+                held = []
+            current = group
+            held.append(
+                Members(key[a:b], root[a:b], block[a:b], signature[a:b], shingles[ends[a] - sizes[a] : ends[b - 1]], sizes[a:b])
+            )
+    if held:
+        yield current[1:], merged()
+
+
+def _group_links(
+    crowded: DataFrame, roots: DataFrame, rows: DataFrame, classes: DataFrame, width: int, percent: int, miss: float
+) -> DataFrame:
+    """Links between components among classes that share a bucket, found block by block."""
+    placed = crowded.join(roots, "key")
+    split = placed.groupBy("bucket").agg((F.min("root") != F.max("root")).alias("split")).where("split").select("bucket")
+    members = written(placed.join(split, "bucket").select("head", "key", "root").distinct(), "members")
+    found = _texts_of(members.select("key"), rows, classes, width)
+    blocks = members.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = (
+        members.join(blocks, "head")
+        .withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumn("i", F.least("block", "other"))
+        .withColumn("j", F.greatest("block", "other"))
+    )
+    full = dealt.join(found, "key").join(classes.select("key", "signature"), "key")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for blocks_, group in _grouped(batches, width):
+            if links := group.links(blocks_, percent, miss):
+                a, b = zip(*links, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    ordered = (
+        full.select("head", "i", "j", "key", "root", "block", "signature", "text")
+        .repartition("head", "i", "j")
+        .sortWithinPartitions("head", "i", "j")
+    )
+    return written(ordered.mapInArrow(compare, "a long, b long"), "links")
+
+
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(key, root): the least key that links lead to. Nodes without links are their own root.
 
@@ -233,33 +365,22 @@ def near_duplicates(
         rows.mapInArrow(classify, "doc_id long, n_shingles long, key long, check long, signature binary"), "sets"
     )
     full = own.where("n_shingles > 0")
-    classes = written(full.groupBy("key", "check").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")), "classes")
+    classes = written(full.groupBy("key", "check").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"), F.count(F.lit(1)).alias("copies")), "classes")
     size = 2 * rows_per_band
     keys = F.transform(
         F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(b, F.substring(F.col("signature"), b * size + 1, F.lit(size)))
     )
-    buckets = classes.select("key", F.explode(keys).alias("bucket"))
-    heads = buckets.groupBy("bucket").agg(F.min("key").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    crowded = written(buckets.join(heads, "bucket").select("bucket", "key", "head"), "buckets")
-    stars = written(crowded.where("key != head").select(F.col("head").alias("a"), F.col("key").alias("b")).distinct(), "stars")
+    buckets = classes.select("key", "copies", F.explode(keys).alias("bucket"))
+    heads = buckets.groupBy("bucket").agg(
+        F.max(F.struct("copies", "key")).alias("most"), F.count(F.lit(1)).alias("n")
+    ).where("n > 1").select("bucket", F.col("most.key").alias("head"))
+    crowded = written(buckets.select("bucket", "key").join(heads, "bucket"), "buckets")
+    stars = crowded.where("key != head").select(F.col("head").alias("a"), F.col("key").alias("b")).distinct()
     links = _verified(written(_surviving(stars, classes, percent / 100, miss), "pairs"), rows, classes, width, percent)
-
     nodes = classes.select("key")
     roots = written(components(nodes, links), "components")
-    placed = crowded.join(roots, "key")
-    split = placed.groupBy("bucket").agg((F.min("root") != F.max("root")).alias("split")).where("split").select("bucket")
-    apart = written(placed.join(split, "bucket").select("bucket", "key", "root"), "apart")
-    cross = (
-        apart.withColumnsRenamed({"key": "a", "root": "ra"})
-        .join(apart.withColumnsRenamed({"key": "b", "root": "rb"}), "bucket")
-        .where("ra != rb and a < b")
-        .select("a", "b")
-        .distinct()
-        .join(stars, ["a", "b"], "left_anti")
-    )
-    late = written(_surviving(cross, classes, percent / 100, miss), "pairs")
-    if not late.isEmpty():
-        more = _verified(late, rows, classes, width, percent)
+    more = _group_links(crowded, roots, rows, classes, width, percent, miss)
+    if not more.isEmpty():
         roots = written(components(nodes, links.union(more)), "components")
     least = roots.join(classes.select("key", "rep"), "key").groupBy("root").agg(F.min("rep").alias("component"))
     of_key = roots.join(least, "root").select("key", "component")
@@ -269,6 +390,15 @@ def near_duplicates(
     ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
+    """The rows of `docs`, with all their columns, that `near_duplicates` keeps; of equal rows one stays."""
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **parameters).where("kept")
+    kept = written(found.select(F.col("doc_id").alias("__near_kept")).distinct(), "kept")
+    rows = docs.join(kept, docs[id_col].cast("long").eqNullSafe(kept["__near_kept"]), "left_semi")
+    same = rows.withColumn("__near_text", F.xxhash64(text_col))
+    return same.dropDuplicates([id_col, "__near_text"]).drop("__near_text")
+
+
 def op4_near_duplicates(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return near_duplicates(docs, width=4, percent=80)
