@@ -94,6 +94,27 @@ def mix(
     )
 
 
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
+    """The mix: rows of `docs`, with all their columns, as often as they are taken.
+
+    The row at a source's cut has its first words only, the last time it is taken, so the budget is met to the word.
+    Rows are told apart by id and text; equal rows share one place in the order.
+    """
+    from pyspark.sql.types import StringType
+
+    keyed = docs.withColumn("__mix_row", F.xxhash64(docs[id_col], docs[text_col]))
+    takes = mix(keyed, id_col="__mix_row", text_col=text_col, **parameters).groupBy(F.col("doc_id").alias("__mix_row")).agg(
+        F.max("size").alias("__mix_size"), F.max("taken").alias("__mix_taken"), F.max("passes").alias("__mix_passes")
+    )
+    repeated = keyed.join(takes.where("__mix_passes > 0"), "__mix_row").withColumn("__mix_pass", F.explode(F.sequence(F.lit(1), F.col("__mix_passes"))))
+    words = F.least(F.col("__mix_size"), F.col("__mix_taken") - (F.col("__mix_pass") - 1) * F.col("__mix_size"))
+    # A text's pieces from the end of a word to the end of the next, so joining them gives the text again.
+    pieces = F.split(F.col(text_col), f"(?<=[^{SPACE}])(?=[{SPACE}])")
+    front = F.array_join(F.slice(pieces, 1, F.greatest(words, F.lit(1)).cast("int")), "")
+    text = F.when(words < F.col("__mix_size"), front).otherwise(F.col(text_col)).cast(StringType())
+    return repeated.withColumn(text_col, text).select(*docs.columns)
+
+
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")

@@ -171,6 +171,19 @@ def repetition(
     return texts(docs, id_col, text_col).mapInArrow(judge, SCHEMA)
 
 
+def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
+    """The rows of `docs`, with all their columns, whose text is kept by `repetition` with these limits."""
+    judged = {"min_words": 6, "max_covered": 0.3, "max_longest": 100} | limits
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, column=text_col):
+            own = pa.RecordBatch.from_arrays([part.column(id_col), part.column(text_col)], names=["doc_id", "text"])
+            verdict = _judged(own, judged["min_words"], judged["max_covered"], judged["max_longest"])
+            yield part.filter(verdict.column("kept"))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def op1_suffix_repetition(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return repetition(docs).drop("spans")

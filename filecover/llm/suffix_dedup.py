@@ -372,19 +372,11 @@ def _answer(batch: pa.RecordBatch, pieces: Pieces, gone: np.ndarray) -> pa.Recor
     )
 
 
-def suffix_dedup(
-    docs: DataFrame, least: int = 100, characters: bool = False, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """One row per row of `docs`: doc_id, n_bytes, n_removed, the spans that go (bytes), and the bytes that stay.
-
-    `characters`: characters of which only a part would go stay whole, so that the rest is valid UTF-8.
-    A null text is empty. Rows with the same id and text stand at the same places, so
-    neither counts as earlier; unknown ids come before all others. Texts shorter than `least` stay.
-    """
+def _looked_up(rows: DataFrame, least: int) -> tuple[HashStore, HashStore]:
+    """Anchors that repeat, and the verdicts on their runs, of rows (doc_id, text)."""
     if least < 16:
         raise ValueError("least: 16 bytes or more")
-    rows = texts(docs, id_col, text_col)
-    parts = shuffle_parts(docs.sparkSession)
+    parts = shuffle_parts(rows.sparkSession)
 
     def count(batches):
         yield from _counted_anchors(batches, least, parts)
@@ -401,7 +393,20 @@ def suffix_dedup(
         yield from _verdicts(batches, least)
 
     found = together(rows.mapInArrow(send, _PACKED)).mapInArrow(judge, "key long, check long, doc long, at long, spans binary")
-    verdicts = write_store(written(found, "verdicts"), "verdicts")
+    return anchors, write_store(written(found, "verdicts"), "verdicts")
+
+
+def suffix_dedup(
+    docs: DataFrame, least: int = 100, characters: bool = False, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """One row per row of `docs`: doc_id, n_bytes, n_removed, the spans that go (bytes), and the bytes that stay.
+
+    `characters`: characters of which only a part would go stay whole, so that the rest is valid UTF-8.
+    A null text is empty. Rows with the same id and text stand at the same places, so
+    neither counts as earlier; unknown ids come before all others. Texts shorter than `least` stay.
+    """
+    rows = texts(docs, id_col, text_col)
+    anchors, verdicts = _looked_up(rows, least)
 
     def answer(batches):
         for part in slices(batches):
@@ -411,6 +416,26 @@ def suffix_dedup(
     return rows.mapInArrow(answer, SCHEMA)
 
 
+def without_repeats(docs: DataFrame, least: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, with all their columns, without repeated strings (whole characters). Texts of which nothing stays go."""
+    anchors, verdicts = _looked_up(texts(docs, id_col, text_col), least)
+
+    def cut(batches):
+        for part in slices(batches, column=text_col):
+            own = pa.RecordBatch.from_arrays(
+                [part.column(id_col).cast(pa.int64()), part.column(text_col).cast(pa.string())], names=["doc_id", "text"]
+            )
+            pieces, gone = _marked(own, least, anchors, verdicts)
+            answer = _answer(own, pieces, whole_characters(pieces.data, gone))
+            at = part.schema.get_field_index(text_col)
+            left = pc.if_else(pc.is_valid(part.column(at)), answer.column("kept_bytes").cast(pa.string()), pa.scalar(None, pa.string()))
+            rest = part.set_column(at, part.schema.field(at), left.cast(part.schema.field(at).type))
+            emptied = pc.and_(pc.greater(answer.column("n_removed"), 0), pc.equal(answer.column("n_removed"), answer.column("n_bytes")))
+            yield rest.filter(pc.invert(emptied))
+
+    return docs.mapInArrow(cut, docs.schema)
+
+
 def op6_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = suffix_dedup(docs, 100)
