@@ -39,7 +39,7 @@ MAGIC = b"FCTOKEN1"
 BLOCK = 1 << 16
 FOOTER = 8
 #: Words a worker remembers the ids of.
-REMEMBERED = 800_000
+REMEMBERED = 1_500_000
 
 
 def to_planes(ids: np.ndarray, planes: int) -> list[bytes]:
@@ -150,6 +150,9 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        vocab = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocab.values()) + 1, bool)  # ids that end a word
+        self.closes[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
         self._forget()
 
     def _forget(self) -> None:
@@ -159,10 +162,22 @@ class WordEncoder:
         self.starts = np.zeros(1 << 16, np.int64)
         self.sizes = np.zeros(1 << 16, np.int64)
 
+    def _in_one_go(self, plain: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of letters alone, as one text: each ends at its only id that ends a word. Nothing if that doesn't hold."""
+        found = self.tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids
+        flat = np.array(found, np.uint32)
+        ends = np.nonzero(self.closes[flat])[0] + 1 if len(flat) else np.zeros(0, np.int64)
+        if len(ends) != len(plain):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        return flat, np.diff(ends, prepend=0)
+
     def _learn(self, words: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum()))
+        plain = [w for w in words if w.isalpha() and max(w) < "\u0250"]
+        words = plain + [w for w in words if not (w.isalpha() and max(w) < "\u0250")]
+        flat, sizes = self._in_one_go(plain)
+        rest = [e.ids for e in self.tokenizer.encode_batch_fast(words[len(sizes) :], add_special_tokens=False)]
+        sizes = np.concatenate([sizes, np.fromiter(map(len, rest), np.int64, len(rest))])
+        flat = np.concatenate([flat, np.fromiter((i for ids in rest for i in ids), np.uint32)])
         n = len(self.place)
         while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
