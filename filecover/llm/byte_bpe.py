@@ -16,7 +16,6 @@ import base64
 import hashlib
 import struct
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import pairwise
 
 import ahocorasick
@@ -25,7 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import slices, texts
+from .common import per_worker, slices, texts
 
 #: Pieces and neighbours a worker remembers; beyond, it forgets all and starts anew.
 REMEMBERED = 600_000
@@ -135,10 +134,9 @@ class ByteBPE:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-@lru_cache(maxsize=4)
 def encoder(path: str, pattern: str) -> ByteBPE:
     """One per worker process."""
-    return ByteBPE(path, pattern)
+    return per_worker(ByteBPE, path, pattern)
 
 
 def _mapped(docs: DataFrame, path: str, pattern: str, schema: str, columns) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -169,6 +170,20 @@ def joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return mixed(left * MIX + right)
 
 
+def per_worker(make, *args):
+    """make(*args), made once per worker process and kept.
+
+    Kept outside this package, whose code travels with each task and so is new in each.
+    """
+    held = sys.__dict__.setdefault("_filecover_held", {})
+    key = (make.__module__, make.__qualname__, *args)
+    if key not in held:
+        if len(held) > 8192:  # files of models and tables that are no longer in use
+            held.clear()
+        held[key] = make(*args)
+    return held[key]
+
+
 def crc_rest(column: str, divisor: int):
     """crc32 of an id as text, modulo a divisor; an unknown id counts as empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % divisor

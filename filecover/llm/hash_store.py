@@ -10,7 +10,6 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, read_file, shared_folder, shuffle_parts, write_file
+from .common import mixed, per_worker, read_file, shared_folder, shuffle_parts, write_file
 
 
 def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -54,9 +53,8 @@ class _Part:
         self.blob = data[at + 8 * (n + 1) :] if blob else None
 
 
-@lru_cache(maxsize=4096)
 def _part(uri: str) -> _Part:
-    return _Part(uri)
+    return per_worker(_Part, uri)
 
 
 @dataclass(frozen=True)

@@ -23,7 +23,6 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +33,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, crc_rest, joined, large, mixed, read_file, shared_folder, shuffle_parts, slices, write_file, written
+from .common import (
+    Words,
+    crc_rest,
+    joined,
+    large,
+    mixed,
+    per_worker,
+    read_file,
+    shared_folder,
+    shuffle_parts,
+    slices,
+    write_file,
+    written,
+)
 
 START = np.uint64(xxhash.xxh3_64_intdigest(b"\x00start"))
 END = np.uint64(xxhash.xxh3_64_intdigest(b"\x00end"))
@@ -221,9 +233,8 @@ def found_in(sorted_keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, n
     return at, sorted_keys[at] == wanted
 
 
-@lru_cache(maxsize=4096)
 def mapped(uri: str) -> MappedPart:
-    return MappedPart(uri)
+    return per_worker(MappedPart, uri)
 
 
 def discounts(sums: list[int]) -> tuple[float, float, float]:

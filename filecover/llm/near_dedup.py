@@ -22,7 +22,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 from math import comb
 
 import numpy as np
@@ -31,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, joined, large, mixed, slices, texts, written
+from .common import Words, joined, large, mixed, per_worker, slices, texts, written
 from .hash_store import write_store
 
 _FIXED_SEED = 20_240_501
@@ -82,7 +81,6 @@ def digests(shingles: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nda
     return out[0], out[1]
 
 
-@lru_cache(maxsize=4)
 def _functions(count: int) -> tuple[np.ndarray, np.ndarray]:
     draw = np.random.default_rng(_FIXED_SEED)
     return draw.integers(0, 1 << 63, count, np.uint64) * np.uint64(2) + np.uint64(1), draw.integers(0, 1 << 63, count, np.uint64)
@@ -94,7 +92,7 @@ def signatures(shingles: np.ndarray, sizes: np.ndarray, count: int) -> np.ndarra
     full = sizes > 0
     if full.any():
         starts = (np.cumsum(sizes) - sizes)[full]
-        for k, (factor, salt) in enumerate(zip(*_functions(count), strict=True)):
+        for k, (factor, salt) in enumerate(zip(*per_worker(_functions, count), strict=True)):
             least = np.minimum.reduceat((shingles ^ salt) * factor, starts)
             found[full, k] = (mixed(least) >> np.uint64(48)).astype(np.uint16)
     return found
@@ -114,7 +112,6 @@ def _classed(batches: Iterator[pa.RecordBatch], width: int, count: int) -> Itera
         )
 
 
-@lru_cache(maxsize=16)
 def least_matches(count: int, batch: int, threshold: float, miss: float) -> list[tuple[int, int, int]]:
     """Per batch: its first and last hash, and the fewest matches so far with which a pair goes on.
 
@@ -135,7 +132,7 @@ def plausible(left: np.ndarray, right: np.ndarray, threshold: float, miss: float
     """Which pairs of signatures (a row each) stand all batches."""
     alive = np.arange(len(left))
     matches = np.zeros(len(left), np.int64)
-    for start, end, least in least_matches(left.shape[1], batch, threshold, miss):
+    for start, end, least in per_worker(least_matches, left.shape[1], batch, threshold, miss):
         matches[alive] += (left[alive, start:end] == right[alive, start:end]).sum(axis=1)
         alive = alive[matches[alive] >= least]
     return alive

@@ -22,7 +22,6 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import vocabulary
-from .common import Words, id_bounds, large, read_file, shared_folder, shuffle_parts, slices, texts, write_file
+from .common import Words, id_bounds, large, per_worker, read_file, shared_folder, shuffle_parts, slices, texts, write_file
 
 MAGIC = b"FCTOKEN1"
 BLOCK = 1 << 16
@@ -208,10 +207,9 @@ class WordEncoder:
         return self.flat[take], per_text
 
 
-@lru_cache(maxsize=2)
 def word_encoder(path: str) -> WordEncoder:
     """One per worker process."""
-    return WordEncoder(path)
+    return per_worker(WordEncoder, path)
 
 
 @dataclass
