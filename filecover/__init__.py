@@ -4,6 +4,6 @@ import sys
 
 from pyspark import cloudpickle
 
-# Python tasks (NFC, xxh64, listing, EXIF bytes) carry their own code to the executors, so
+# Python tasks (NFC, fingerprints of files, listing, EXIF bytes) carry their own code to the executors, so
 # the package does not have to be installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

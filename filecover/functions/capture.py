@@ -14,5 +14,5 @@ def clean_text(text: Column) -> Column:
 
 
 def taken_at(text: Column) -> Column:
-    """'2026:04:28 17:21:41' in the session time zone -> epoch seconds, else NULL."""
+    """'2019:11:03 08:05:59' in the session time zone -> epoch seconds, else NULL."""
     return F.unix_timestamp(F.try_to_timestamp(F.btrim(text, F.lit(BLANKS)), F.lit("y:M:d H:m:s")))

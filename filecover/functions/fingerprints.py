@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,20 +13,10 @@ def check_algorithm(algo: str) -> None:
         raise ValueError(f"unknown algorithm: {algo}")
 
 
-def fingerprint(content: Column, algo: str = "xxh64", sample_size: int = 0) -> Column:
-    """Hex digest of the whole content, or of its first ``sample_size`` bytes."""
-    check_algorithm(algo)
-    if sample_size:
-        content = F.substring(content, 1, sample_size)
-    if algo == "md5":
-        return F.md5(content)
+def fingerprint(content: Column, sample_size: int = 0) -> Column:
+    """MD5 of the whole content, or of its first ``sample_size`` bytes, as hex.
 
-    # Spark's own xxhash64 has a fixed seed of 42, so its values cannot be compared with
-    # fingerprints made elsewhere.
-    @F.pandas_udf("string")
-    def xxh64(blobs: pd.Series) -> pd.Series:
-        import xxhash
-
-        return blobs.map(lambda b: xxhash.xxh64_hexdigest(b), na_action="ignore")
-
-    return xxh64(content)
+    A column has md5 only: Spark's xxhash64 has a fixed seed, so its values cannot be compared with
+    fingerprints made elsewhere. The job over files (``sources.file_hash``) knows both.
+    """
+    return F.md5(F.substring(content, 1, sample_size) if sample_size else content)

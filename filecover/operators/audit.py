@@ -5,23 +5,27 @@ from __future__ import annotations
 from dataclasses import dataclass, field, replace
 from functools import cached_property, reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.paths import base_name_lower, whole_seconds
+from ..functions.paths import base_name_lower, parent_folder, whole_seconds
 from ..functions.shares import percent
-from . import bounded
 from .evidence import exif_key
 from .filters import at_least, drop_metadata, exclude_matching, outside_root
-from .near import NearJoin
+from .near import held_by
+from .rollup import BUCKETS
+from .skew import bucket_of
+
+#: Names shown per folder.
+SHOWN = 5
 
 
 @dataclass(frozen=True)
 class Destination:
     """``kind`` is ``label`` (a stored scan) or ``path`` (a fresh listing).
 
-    A stored scan is taken as it is; a fresh listing is also subject to the exclude pattern,
-    to self-exclusion and to the early stop.
+    A stored scan is taken as it is; a fresh listing is also subject to the exclude pattern
+    and to self-exclusion.
     """
 
     name: str
@@ -36,10 +40,6 @@ class AuditOptions:
     window: int = 2
     min_size: int = 0
     exclude: str | None = None
-    # Exact by default. With early_stop, listings that an ordered walk would not have
-    # visited are left out, so files backed up there are reported missing.
-    early_stop: bool = False
-    max_walk_ratio: float | None = None
     source_root: str | None = None
 
     @property
@@ -84,7 +84,10 @@ def dest_keys(rows: DataFrame, options: AuditOptions) -> DataFrame:
 
 @dataclass(frozen=True)
 class Audit:
-    """Lazy results of one audit. Each is a plan; nothing runs until the caller asks."""
+    """Lazy results of one audit. Each is a plan; nothing runs until the caller asks.
+
+    All of them come from ``tagged``, which matches the source with all destinations in one pass.
+    """
 
     source: DataFrame
     dests: list[Destination]
@@ -109,40 +112,44 @@ class Audit:
 
     @cached_property
     def keys(self) -> DataFrame:
-        everything = self._dest_rows
-        if not self.options.early_stop:
-            return dest_keys(everything, self.options)
-        live = [i for i, dest in enumerate(self.dests) if dest.kind == "path"]
-        within = bounded.within_walk_cap(everything, live, self.rows, self.options.max_walk_ratio)
-        return bounded.until_covered(dest_keys(within, self.options), live, self.rows, self.options.reach)
+        return dest_keys(self._dest_rows, self.options)
+
+    def _tagged(self, keys: DataFrame, *carry: str) -> DataFrame:
+        named = keys.withColumnRenamed("path", "dest_path")
+        columns = ["dest_path", *carry]
+        return held_by(self.rows, named, len(self.dests), ["size", "bn"], "mt", self.options.reach, ["path"], columns)
 
     @cached_property
-    def _near(self) -> NearJoin:
-        return NearJoin(self.rows, ["size", "bn"], "mt", self.options.reach, by=["path"])
+    def tagged(self) -> DataFrame:
+        """(path, size, bn, mt, found): every source file once, with the destinations that hold it.
 
-    def _any_dest(self) -> DataFrame:
-        # One reduction is enough where the destinations need not be told apart.
-        held = self.keys if self.options.early_stop else self._dest_rows
-        return held.select("size", "bn", *(["mt"] if self.options.mtime_match else [])).distinct()
+        ``found``: array of (ord, dest_path). Among several candidates of a destination the earliest time
+        wins, then the first path.
+        """
+        return self._tagged(self.keys)
 
     @cached_property
     def matches(self) -> DataFrame:
-        """(path, size, bn, mt, ord, dest, dest_path): one row per source file and destination
-        that holds it. Among several candidates the earliest time wins, then the first path."""
-        found = self._near.first(self.keys, ["ord"], {"ord": "ord", "path": "dest_path"}, "inner")
-        return found.withColumn("dest", self._dest_name())
+        """(path, size, bn, mt, ord, dest, dest_path): one row per source file and destination that holds it."""
+        return self.matches_of(self.tagged)
 
-    def matches_with_exif(self, dest_exif: DataFrame) -> DataFrame:
-        """``matches`` with ``dest_key``, the capture metadata of the destination file.
+    def matches_of(self, tagged: DataFrame) -> DataFrame:
+        rows = tagged.select("path", "size", "bn", "mt", F.explode("found").alias("f")).select("path", "size", "bn", "mt", "f.*")
+        return rows.withColumn("dest", self._dest_name())
+
+    def tagged_with_exif(self, dest_exif: DataFrame) -> DataFrame:
+        """``tagged`` with ``dest_key``, the capture metadata of the destination file, in each entry.
 
         ``dest_exif``: dest, path and the three fields; listings without stored metadata have
         no rows there. It is attached before matching, where each file stands once; afterwards
         one destination file may stand beside any number of source files.
         """
         exif = dest_exif.select("dest", F.col("path"), exif_key().alias("dest_key"))
-        named = self.keys.withColumn("dest", self._dest_name()).join(exif, ["dest", "path"], "left")
-        carry = {"ord": "ord", "path": "dest_path", "dest": "dest", "dest_key": "dest_key"}
-        return self._near.first(named, ["ord"], carry, "inner")
+        named = self.keys.withColumn("dest", self._dest_name()).join(exif, ["dest", "path"], "left").drop("dest")
+        return self._tagged(named, "dest_key")
+
+    def matches_with_exif(self, dest_exif: DataFrame) -> DataFrame:
+        return self.matches_of(self.tagged_with_exif(dest_exif))
 
     def _dest_name(self) -> Column:
         return F.get(F.array(*[F.lit(dest.name) for dest in self.dests]), F.col("ord"))
@@ -150,65 +157,127 @@ class Audit:
     @cached_property
     def missing(self) -> DataFrame:
         """(path, size) of source files that no destination holds."""
-        return self._near.exists(self._any_dest(), "left_anti").select("path", "size")
+        return missing(self.tagged)
 
     @cached_property
     def status(self) -> DataFrame:
         """Every source file once, with ``matched``."""
-        found = self._any_dest().withColumn("hit", F.lit(True))
-        joined = self._near.first(found, [], {"hit": "hit"}, "left")
-        return joined.withColumn("matched", F.coalesce("hit", F.lit(False))).drop("hit")
+        return self.tagged.withColumn("matched", F.size("found") > 0).drop("found")
+
+    @cached_property
+    def folders(self) -> DataFrame:
+        return folder_counts(self.tagged, len(self.dests))
 
     @cached_property
     def totals(self) -> DataFrame:
-        return totals(self.status)
+        return totals(self.tagged)
 
     @cached_property
     def per_dest(self) -> DataFrame:
-        return per_dest(self.matches, self.dests)
+        return per_dest(self.tagged, self.dests)
 
     @cached_property
     def coverage(self) -> DataFrame:
         """Distinct (size, bn) of the source and the first destination that holds one."""
-        carry = {"ord": "ord"}
-        joined = self._near.first(self.keys, ["ord"], carry, "left")
-        return joined.groupBy("size", "bn").agg(F.min("ord").alias("first_ord"))
+        first = F.min(F.get("found", F.lit(0))["ord"])  # entries are in the user's order
+        return self.tagged.groupBy("size", "bn").agg(first.alias("first_ord"))
 
 
 def audit(source: DataFrame, dests: list[Destination], **options) -> Audit:
     return Audit(source, dests, replace(AuditOptions(), **options))
 
 
-def totals(status: DataFrame) -> DataFrame:
-    """One row of counters from a table with ``size`` and ``matched``."""
-    size, matched = F.col("size"), F.col("matched")
-    counted = status.agg(
-        F.count("*").alias("total_files"),
-        F.coalesce(F.sum(size), F.lit(0)).alias("total_bytes"),
-        F.count_if(matched).alias("matched"),
-        F.count_if(~matched).alias("missing"),
-        F.coalesce(F.sum(F.when(~matched, size)), F.lit(0)).alias("missing_bytes"),
+def missing(tagged: DataFrame) -> DataFrame:
+    return tagged.where(F.size("found") == 0).select("path", "size")
+
+
+def folder_counts(tagged: DataFrame, n_dests: int) -> DataFrame:
+    """Per folder: files, bytes, missing, missing_bytes, a first few missing names, and on0, on1, ...: files each holds.
+
+    Totals and counts per destination are sums of these rows. Names are ranked within parts of a folder.
+    """
+    held = F.transform("found", lambda f: f["ord"])
+    lost = F.size("found") == 0
+    placed = tagged.select(
+        parent_folder(F.col("path")).alias("folder"), bucket_of(F.col("path"), BUCKETS).alias("part"), "path", "size",
+        lost.alias("lost"), *[F.array_contains(held, i).cast("bigint").alias(f"on{i}") for i in range(n_dests)],
+    )
+    rank = F.row_number().over(Window.partitionBy("folder", "part").orderBy(F.desc("lost"), "path"))
+    names = F.collect_list(F.when(F.col("lost") & (F.col("rank") <= SHOWN), F.col("path")))  # SHOWN x BUCKETS at most
+    missing_bytes = F.coalesce(F.sum(F.when(F.col("lost"), F.col("size"))), F.lit(0))
+    return placed.withColumn("rank", rank).groupBy("folder").agg(
+        F.count(F.lit(1)).alias("files"),
+        F.sum("size").alias("bytes"),
+        F.count_if("lost").alias("missing"),
+        missing_bytes.alias("missing_bytes"),
+        F.slice(F.sort_array(names), 1, SHOWN).alias("sample"),
+        *[F.sum(f"on{i}").alias(f"on{i}") for i in range(n_dests)],
     )
+
+
+def missing_folders(folders: DataFrame) -> DataFrame:
+    """(folder, files, bytes, sample, more) of the folders that miss files."""
+    return folders.where("missing > 0").select(
+        "folder", F.col("missing").alias("files"), F.col("missing_bytes").alias("bytes"), "sample",
+        (F.col("missing") - F.size("sample")).alias("more"),
+    )
+
+
+def _with_percent(counted: DataFrame) -> DataFrame:
     return counted.withColumn("percent", percent(F.col("matched"), F.col("total_files")))
 
 
-def per_dest(matches: DataFrame, dests: list[Destination]) -> DataFrame:
-    """Source files found on each destination, zeros kept."""
-    listed = matches.sparkSession.createDataFrame(
-        [(i, d.name, d.kind) for i, d in enumerate(dests)], "ord int, dest string, kind string"
-    )
-    counts = matches.groupBy("ord").agg(F.count("*").alias("files"))
-    # Both sides have one row per destination the caller named.
-    return listed.join(F.broadcast(counts), "ord", "left").select(
-        "ord", "dest", "kind", F.coalesce("files", F.lit(0)).alias("matched")
+def totals(tagged: DataFrame) -> DataFrame:
+    """One row of counters."""
+    size, matched = F.col("size"), F.size("found") > 0
+    return _with_percent(
+        tagged.agg(
+            F.count("*").alias("total_files"),
+            F.coalesce(F.sum(size), F.lit(0)).alias("total_bytes"),
+            F.count_if(matched).alias("matched"),
+            F.count_if(~matched).alias("missing"),
+            F.coalesce(F.sum(F.when(~matched, size)), F.lit(0)).alias("missing_bytes"),
+        )
     )
 
 
-def locations(matches: DataFrame) -> DataFrame:
-    """Per source file the list of (dest, dest_path), in destination order."""
-    found = F.sort_array(F.collect_list(F.struct("ord", "dest", "dest_path")))
-    return matches.groupBy("path").agg(
-        F.transform(found, lambda x: F.struct(x["dest"].alias("dest"), x["dest_path"].alias("dest_path"))).alias(
-            "found"
+def totals_of_folders(folders: DataFrame) -> DataFrame:
+    """``totals`` from ``folder_counts``."""
+    zero = F.lit(0).cast("bigint")
+    sums = {c: F.coalesce(F.sum(c), zero) for c in ("files", "bytes", "missing", "missing_bytes")}
+    return _with_percent(
+        folders.agg(
+            sums["files"].alias("total_files"),
+            sums["bytes"].alias("total_bytes"),
+            (sums["files"] - sums["missing"]).alias("matched"),
+            sums["missing"].alias("missing"),
+            sums["missing_bytes"].alias("missing_bytes"),
         )
     )
+
+
+def _listed(counts: DataFrame, dests: list[Destination]) -> DataFrame:
+    """(ord, dest, kind, matched) from one row of on0, on1, ..."""
+    entries = [
+        F.struct(F.lit(i).alias("ord"), F.lit(d.name).alias("dest"), F.lit(d.kind).alias("kind"), F.coalesce(f"on{i}", F.lit(0)).alias("matched"))
+        for i, d in enumerate(dests)
+    ]
+    return counts.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
+
+
+def per_dest(tagged: DataFrame, dests: list[Destination]) -> DataFrame:
+    """Source files found on each destination, zeros kept."""
+    held = F.transform("found", lambda f: f["ord"])
+    counts = tagged.agg(*[F.count_if(F.array_contains(held, i)).alias(f"on{i}") for i in range(len(dests))])
+    return _listed(counts, dests)
+
+
+def per_dest_of_folders(folders: DataFrame, dests: list[Destination]) -> DataFrame:
+    return _listed(folders.agg(*[F.sum(f"on{i}").alias(f"on{i}") for i in range(len(dests))]), dests)
+
+
+def locations(tagged: DataFrame, dests: list[Destination]) -> DataFrame:
+    """Per source file that is held: the list of (dest, dest_path), in destination order."""
+    names = F.array(*[F.lit(d.name) for d in dests])
+    found = F.transform("found", lambda f: F.struct(F.get(names, f["ord"]).alias("dest"), f["dest_path"].alias("dest_path")))
+    return tagged.where(F.size("found") > 0).select("path", found.alias("found"))

@@ -72,11 +72,15 @@ def plan_totals(plan: DataFrame) -> DataFrame:
 
 
 def copy_outcome(plan: DataFrame, dest_files: DataFrame) -> DataFrame:
-    """``plan`` against a fresh listing of the destination: succeeded, or failed and why."""
-    there = dest_files.select("path", F.col("size").alias("dest_size"))
+    """``plan`` against fresh listings of the destinations: succeeded, or failed and why.
+
+    ``dest_files``: path and size, with ``run_id`` where the plan is of several runs, whose destinations differ;
+    without it, ``path`` is below the one destination of the plan. Other columns of the plan stay.
+    """
+    keys = [c for c in ("run_id", "path") if c in dest_files.columns]
+    there = dest_files.select(*keys, F.col("size").alias("dest_size"))
     reason = F.when(F.col("dest_size").isNull(), "not on destination").when(
         F.col("dest_size") != F.col("size"), "size differs on destination"
     )
-    return plan.join(there, "path", "left").select(
-        "path", "size", F.when(reason.isNull(), "succeeded").otherwise("failed").alias("outcome"), reason.alias("reason")
-    )
+    outcome = F.when(reason.isNull(), "succeeded").otherwise("failed")
+    return plan.join(there, keys, "left").select(*plan.columns, outcome.alias("outcome"), reason.alias("reason"))

@@ -42,8 +42,8 @@ METADATA_PATH = (
 )
 
 
-def drop_metadata(files: DataFrame) -> DataFrame:
-    return files.where(~F.col("path").rlike(METADATA_PATH))
+def drop_metadata(files: DataFrame, column: str = "path") -> DataFrame:
+    return files.where(~F.col(column).rlike(METADATA_PATH))
 
 
 def at_least(files: DataFrame, min_size: int) -> DataFrame:

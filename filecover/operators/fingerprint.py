@@ -51,36 +51,42 @@ def latest_hashes(hashes: DataFrame) -> DataFrame:
 _CONTENT = ["fingerprint", "algo", "sample_size"]
 
 
-def duplicate_pairs(a: DataFrame, b: DataFrame | None = None) -> DataFrame:
-    """Files of equal fingerprint, within one scan or of two scans.
+def _confidence() -> F.Column:
+    return F.when(F.col("sample_size") > 0, "tentative").otherwise("certain").alias("confidence")
+
+
+def duplicate_pairs(files: DataFrame) -> DataFrame:
+    """Files of equal fingerprint within one scan.
 
     Each group of copies has its first path as the original, and every other copy is paired
     with that one: n - 1 rows for n copies, from which every other pair follows.
     """
-    if b is None:
-        firsts = (
-            a.groupBy(*_CONTENT)
-            .agg(F.min("path").alias("path_a"), F.count("*").alias("copies"))
-            .where(F.col("copies") >= 2)
-            .drop("copies")
-        )
-        copies = a
-    else:
-        firsts = a.groupBy(*_CONTENT).agg(F.min("path").alias("path_a"))
-        copies = b
-    paired = skew_join(
-        copies.select(*_CONTENT, F.col("path").alias("path_b"), "size"), firsts, _CONTENT, "inner", by=["path_b"]
+    firsts = (
+        files.groupBy(*_CONTENT)
+        .agg(F.min("path").alias("path_a"), F.count("*").alias("copies"))
+        .where(F.col("copies") >= 2)
+        .drop("copies")
+    )
+    copies = files.select(*_CONTENT, F.col("path").alias("path_b"), "size")
+    paired = skew_join(copies, firsts, _CONTENT, "inner", by=["path_b"]).where(F.col("path_a") < F.col("path_b"))
+    folders = [parent_folder(F.col(p)).alias(f) for p, f in (("path_a", "folder_a"), ("path_b", "folder_b"))]
+    return paired.select(*_CONTENT, "path_a", "path_b", "size", *folders, _confidence())
+
+
+def duplicates_across(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Files of equal fingerprint in two scans: a row per file of either scan whose content the other holds too.
+
+    ``side`` is a or b, ``original`` the first path of the group in the first scan. Every pair of the group follows
+    from its rows, which are as many as files.
+    """
+    both = a.select(*_CONTENT, "path", "size", F.lit("a").alias("side")).unionByName(
+        b.select(*_CONTENT, "path", "size", F.lit("b").alias("side"))
     )
-    if b is None:
-        paired = paired.where(F.col("path_a") < F.col("path_b"))
-    return paired.select(
-        "fingerprint",
-        "algo",
-        "sample_size",
-        "path_a",
-        "path_b",
-        "size",
-        parent_folder(F.col("path_a")).alias("folder_a"),
-        parent_folder(F.col("path_b")).alias("folder_b"),
-        F.when(F.col("sample_size") > 0, "tentative").otherwise("certain").alias("confidence"),
+    groups = (
+        both.groupBy(*_CONTENT)
+        .agg(F.min(F.when(F.col("side") == "a", F.col("path"))).alias("original"), F.max("side").alias("last"))
+        .where(F.col("original").isNotNull() & (F.col("last") == "b"))
+        .drop("last")
     )
+    held = skew_join(both, groups, _CONTENT, "inner", by=["side", "path"])
+    return held.select(*_CONTENT, "side", "path", "size", parent_folder(F.col("path")).alias("folder"), "original", _confidence())

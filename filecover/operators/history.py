@@ -9,7 +9,7 @@ from ..functions.shares import percent
 from ..functions.sizes import human_size
 from ..schemas import DEST_SPECS, PER_DEST
 from .rollup import first_per_group
-from .skew import hot_keys, skew_join
+from .skew import skew_join
 
 
 def _newest() -> list[Column]:
@@ -123,10 +123,9 @@ def audit_changes(runs: DataFrame, missing: DataFrame) -> DataFrame:
     ``newly_missing``: missing now, not then. ``newly_covered``: missing then, not now.
     """
     pairs = previous_runs(runs).where(F.col("previous_id").isNotNull())
-    hot = hot_keys(missing, ["run_id"])
-    now = skew_join(missing, pairs.select("run_id"), ["run_id"], "left_semi", ["source_path"], hot)
+    now = skew_join(missing, pairs.select("run_id"), ["run_id"], "left_semi", ["source_path"])
     listed = missing.withColumnRenamed("run_id", "previous_id")
-    before = skew_join(listed, pairs, ["previous_id"], "inner", ["source_path"], hot)
+    before = skew_join(listed, pairs, ["previous_id"], "inner", ["source_path"])
     sides = now.select("run_id", "source_path", "size", F.lit(1).alias("now")).unionByName(
         before.select("run_id", "source_path", "size", F.lit(0).alias("now"))
     )

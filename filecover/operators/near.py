@@ -1,9 +1,13 @@
-"""Join on equal keys and nearly equal times, without comparing everything under one key.
+"""The earliest row in reach of each destination, for every source row, in one pass over sorted rows.
 
-Time is cut into buckets a few windows wide. A left row lies in one bucket; a right row is
-copied to the one or two buckets that left rows within its reach can lie in. The join is
-then an equi-join on keys and bucket, so even a key that holds a third of all rows is spread
-by time, and by sub-keys (see ``skew``) where its times are equal too.
+Both sides are put into one table, partitioned by key and slot of time, and sorted from late to early. A source
+row stands at the earliest time it accepts, so the destination row last passed is the earliest that is not too early;
+whether it is too late is seen from its time. Nothing is compared with anything else, so the work does not depend
+on how wide the window is or how many rows a key has.
+
+A slot is eight windows wide. A source row lies in the slot of its time, a destination row is copied
+to the one or two slots it can serve. Keys that stay frequent within a slot are dealt over sub-keys (``skew``), in pieces
+of no fewer rows than a slot has seconds.
 """
 
 from __future__ import annotations
@@ -26,68 +30,47 @@ def _reachable_slots(time: Column, window: int) -> Column:
     return F.array_distinct(F.array(_slot(time - window, window), _slot(time + window, window)))
 
 
-class NearJoin:
-    """``left`` rows carry ``keys`` and ``time``; ``by`` tells left rows of one key apart.
+def held_by(
+    source: DataFrame, dests: DataFrame, n_dests: int, keys: list[str], time: str, window: int | None,
+    by: list[str], carry: list[str],
+) -> DataFrame:
+    """``source`` with ``found``: an array of (ord, and the ``carry`` columns) of the destinations that hold the row.
 
-    With ``window=None`` time plays no part. Right tables must already be reduced to one row
-    per keys (and time, and group). Without ``by`` the left is taken to be reduced as well.
+    ``dests``: ord (0 to ``n_dests`` - 1), keys, time and carry; one row per ord, keys and time. The earliest time
+    in reach is taken. With ``window=None`` time plays no part, and there is one row per ord and keys.
+    ``by`` tells source rows of one key apart.
     """
-
-    def __init__(
-        self, left: DataFrame, keys: list[str], time: str, window: int | None, by: list[str] | None = None
-    ):
-        self.window, self.time = window, time
-        self.keys = list(keys)
-        if window is not None:
-            self.keys.append(SLOT)
-            left = left.withColumn(SLOT, _slot(F.col(time), window))
-        self.spread = Spread.of(left, self.keys, None if by else {})
-        self.left = self.spread.deal(left, by)
-
-    def _placed(self, right: DataFrame) -> DataFrame:
-        if self.window is not None:
-            right = right.withColumn(SLOT, F.explode(_reachable_slots(F.col(self.time), self.window)))
-        return self.spread.replicate(right)
-
-    def _join(self, right: DataFrame, condition: Column | None, how: str) -> DataFrame:
-        on = [self.left[k] == right[f"__r{k}"] for k in self._shared()]
-        joined = self.left.join(right, on if condition is None else [*on, condition], how)
-        return joined.drop(SLOT, SALT, *right.columns[: len(on)])
-
-    def _shared(self) -> list[str]:
-        return self.spread.columns
-
-    def _renamed(self) -> list[Column]:
-        # Fresh names keep the two sides apart when they come from one table.
-        return [F.col(k).alias(f"__r{k}") for k in self._shared()]
-
-    def exists(self, right: DataFrame, how: str) -> DataFrame:
-        """``how``: left_semi or left_anti."""
-        placed = self._placed(right)
-        if self.window is None:
-            return self._join(placed.select(*self._renamed()), None, how)
-        placed = placed.select(*self._renamed(), F.col(self.time).alias("__at"))
-        return self._join(placed, F.abs(self.left[self.time] - placed["__at"]) <= self.window, how)
-
-    def first(self, right: DataFrame, group: list[str], carry: dict[str, str], how: str) -> DataFrame:
-        """The earliest right row in reach, one per ``group``; ``carry`` renames its columns.
-
-        Each right row serves left times from just past its predecessor's reach to the end of
-        its own. These spans do not overlap, so no aggregation is needed after the join.
-        """
-        keep = [F.col(old).alias(new) for old, new in carry.items()]
-        placed = self._placed(right)
-        if self.window is None:
-            return self._join(placed.select(*self._renamed(), *keep), None, how)
-        shared = self._shared()
-        reach = F.lit(self.window)
-        before = F.lag(self.time).over(Window.partitionBy(*shared, *group).orderBy(self.time))
-        # One exchange serves both the window and the join.
-        placed = placed.repartition(*shared).select(
-            *self._renamed(),
-            *keep,
-            F.greatest(before + reach + 1, F.col(self.time) - reach).alias("__from"),
-            (F.col(self.time) + reach).alias("__to"),
-        )
-        serves = self.left[self.time].between(placed["__from"], placed["__to"])
-        return self._join(placed, serves, how).drop("__from", "__to")
+    columns = source.columns
+    if window is None:
+        left, right = source.withColumn(SLOT, F.lit(0).cast("bigint")), dests.withColumn(SLOT, F.lit(0).cast("bigint"))
+        at, reach = F.lit(0).cast("bigint"), None
+        left, right = left.withColumn("__at", at), right.withColumn("__at", at)
+    else:
+        reach = F.lit(window).cast("bigint")
+        left = source.withColumn(SLOT, _slot(F.col(time), window)).withColumn("__at", F.col(time) - reach)
+        right = dests.withColumn(SLOT, F.explode(_reachable_slots(F.col(time), window))).withColumn("__at", F.col(time))
+    place = [*keys, SLOT]
+    spread = Spread(left, place, n_dests * max(1, 10 * (window or 0)))  # seconds that destinations in a slot can have
+    held = F.struct(F.col("__at").alias("at"), "ord", *carry)
+    rows = spread.deal(left, by).select(
+        *place, SALT, "__at", F.lit(1).alias("__kind"), F.struct(*columns).alias("__row"),
+        F.lit(None).cast(right.select(held.alias("h")).schema["h"].dataType).alias("__held"),
+    )
+    serving = spread.replicate(right).select(
+        *place, SALT, "__at", F.lit(0).alias("__kind"),
+        F.lit(None).cast(rows.schema["__row"].dataType).alias("__row"), held.alias("__held"),
+    )
+    late_to_early = (
+        Window.partitionBy(*place, SALT)
+        .orderBy(F.desc("__at"), "__kind")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    last = [
+        F.last(F.when(F.col("__held.ord") == i, F.col("__held")), ignorenulls=True).over(late_to_early).alias(f"__d{i}")
+        for i in range(n_dests)
+    ]
+    passed = rows.unionByName(serving).select("__kind", "__row", *last).where("__kind = 1")
+    inside = (lambda d: d.isNotNull()) if reach is None else (lambda d: d["at"] <= F.col(f"__row.{time}") + reach)
+    found = F.filter(F.array(*[F.col(f"__d{i}") for i in range(n_dests)]), inside)
+    shown = F.transform(found, lambda d: F.struct(d["ord"].alias("ord"), *[d[c].alias(c) for c in carry]))
+    return passed.select("__row.*", shown.alias("found"))

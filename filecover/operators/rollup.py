@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import ROOT_FOLDER, parent_folder
+from .skew import bucket_of
+
+#: Parts of a folder whose names are ranked apart.
+BUCKETS = 32
 
 
 def first_per_group(rows: DataFrame, group: list[str], order: list[Column | str], n: int) -> DataFrame:
@@ -19,18 +23,26 @@ def by_folder(
 ) -> DataFrame:
     """(folder, files, bytes, sample, more) from (path, size).
 
-    ``order``: "name", or "bytes" for the largest folder first.
+    ``order``: "name", or "bytes" for the largest folder first. Names are ranked within parts of a folder, and
+    the parts' first ``sample`` names are sorted together, so a large folder is no single task's work.
     """
     if order not in ("name", "bytes"):
         raise ValueError(f"unknown order: {order}")
-    placed = files.select(parent_folder(F.col("path"), root).alias("folder"), "path", "size")
-    sums = placed.groupBy("folder").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
-    shown = (
-        first_per_group(placed, ["folder"], ["path"], sample)
+    placed = files.select(
+        parent_folder(F.col("path"), root).alias("folder"), bucket_of(F.col("path"), BUCKETS).alias("part"), "path", "size"
+    )
+    rank = F.row_number().over(Window.partitionBy("folder", "part").orderBy("path"))
+    names = F.collect_list(F.when(F.col("rank") <= sample, F.col("path")))  # sample x BUCKETS at most
+    rolled = (
+        placed.withColumn("rank", rank)
         .groupBy("folder")
-        .agg(F.sort_array(F.collect_list("path")).alias("sample"))
+        .agg(
+            F.count(F.lit(1)).alias("files"),
+            F.sum("size").alias("bytes"),
+            F.slice(F.sort_array(names), 1, sample).alias("sample"),
+        )
+        .withColumn("more", F.col("files") - F.size("sample"))
     )
-    rolled = sums.join(shown, "folder").withColumn("more", F.col("files") - F.size("sample"))
     if not sort:
         return rolled
     return rolled.orderBy(*([F.desc("bytes"), "folder"] if order == "bytes" else ["folder"]))

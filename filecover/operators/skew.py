@@ -1,105 +1,62 @@
 """Joins whose many-side may hold very frequent keys.
 
-A frequent-items sketch finds the keys that hold more than 1/1024 of the rows. Rows of such
-a key are dealt over a number of sub-keys in proportion to its share, and the other side,
-which has few rows per key, is copied to each sub-key. The sketch decides only how work is
-spread: a key it misses, over-counts or confuses with another gives the same result.
-
-A side that Catalyst puts below SMALL_BYTES is not looked at: all of it is one task's work.
-The sketch is read before the join is planned. It is approximate and may come out otherwise
-a second time, so both sides of a join have to use one reading; and where no key is hot, as
-is usual, the join is planned without sub-keys.
+A key that holds more than 1/PIECES of the rows is dealt over sub-keys in proportion to its share, and the
+other side, which has few rows per key, is copied to each of them. How often a key occurs is counted, so it
+comes out the same however often a plan is run; there are fewer than PIECES such keys, and that
+small table is joined to both sides. Every join takes this path, whatever its size.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PIECES = 1024
-# Also the most entries a sketch can return, whatever the table size.
-TRACKED = 2048
-SKETCH_GROUPS = 64
-MIN_PIECE = 8
-SMALL_BYTES = 64 << 20
 SALT = "__salt"
 
 
-def key_hash(keys: list[str], types: list) -> Column:
-    """Equal for equal keys of both sides: a hash depends on the type, so that is given."""
-    return F.xxhash64(*[F.col(k).cast(t) for k, t in zip(keys, types)])
-
-
-def key_types(rows: DataFrame, keys: list[str]) -> list:
-    return [rows.schema[k].dataType for k in keys]
-
-
-def estimated_bytes(rows: DataFrame) -> int:
-    """Catalyst's estimate; without statistics it is far above any bound."""
-    return int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
+def hot_keys(rows: DataFrame, keys: list[str], least: int = 1) -> DataFrame:
+    """(__h0, __h1, ..., pieces): the keys above 1/PIECES of the rows, fewer than PIECES rows.
 
-def hot_keys(rows: DataFrame, keys: list[str]) -> dict[int, int]:
-    """Key hash -> number of sub-keys, for the hot keys. Runs one job without a row shuffle."""
-    if estimated_bytes(rows) < SMALL_BYTES:
-        return {}
-    sketches = (
-        rows.select(key_hash(keys, key_types(rows, keys)).alias("item"))
-        .groupBy(F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)).alias("g"))
-        .agg(F.expr(f"approx_top_k_accumulate(item, {TRACKED})").alias("s"), F.count("*").alias("n"))
-    )
-    # Grouped by a constant: no input gives no row, and then no key is hot.
-    merged = sketches.groupBy(F.lit(1).alias("one")).agg(
-        F.expr(f"approx_top_k_combine(s, {TRACKED})").alias("s"), F.sum("n").alias("n")
-    )
-    estimates = F.expr(f"approx_top_k_estimate(s, {TRACKED})")
-    hot = F.filter(estimates, lambda x: x["count"] * PIECES > F.col("n"))
-    row = merged.select(hot.alias("hot"), "n").first()
-    if row is None:
-        return {}
-    pieces = {x["item"]: -(-x["count"] * PIECES // row["n"]) for x in row["hot"]}
-    # Splitting pays only where a piece is more than a handful of rows.
-    return {k: n for k, n in pieces.items() if n > 1} if row["n"] >= PIECES * MIN_PIECE else {}
+    A piece has about ``least`` rows at least: as many as the other side may have under a key, so that
+    copying those to all pieces gives no more rows than there are.
+    """
+    names = [F.col(k).alias(f"__h{i}") for i, k in enumerate(keys)]
+    counts = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("__n"))
+    # One row per key, however many keys: their sum needs no more than a partial count per task.
+    total = rows.agg(F.count(F.lit(1)).alias("all")).scalar()
+    pieces = F.least(F.ceil(F.col("__n") * PIECES / total), F.ceil(F.col("__n") / F.lit(least))).cast("int")
+    return counts.where(F.col("__n") * PIECES > total).select(*[f"__h{i}" for i in range(len(keys))], pieces.alias("__pieces"))
 
 
-
-@dataclass(frozen=True)
 class Spread:
-    """How the rows of ``keys`` are dealt out; ``hot`` is empty where nothing has to be."""
-
-    keys: list[str]
-    types: list
-    hot: dict[int, int]
-
-    @classmethod
-    def of(cls, rows: DataFrame, keys: list[str], hot: dict[int, int] | None = None) -> Spread:
-        return cls(keys, key_types(rows, keys), hot_keys(rows, keys) if hot is None else hot)
+    """How the rows of ``keys`` are dealt out, taken from the many-side."""
 
-    @property
-    def columns(self) -> list[str]:
-        return [*self.keys, SALT] if self.hot else self.keys
+    def __init__(self, many: DataFrame, keys: list[str], least: int = 1):
+        self.keys, self.hot = keys, hot_keys(many, keys, least)
 
-    def _pieces(self) -> Column:
-        known = F.expr("map(" + ", ".join(f"{k}L, {n}" for k, n in self.hot.items()) + ")")
-        return F.coalesce(F.try_element_at(known, key_hash(self.keys, self.types)), F.lit(1))
+    def _with_pieces(self, rows: DataFrame) -> DataFrame:
+        # Fewer than PIECES rows by construction, whatever the size of the data.
+        same = [rows[k].eqNullSafe(self.hot[f"__h{i}"]) for i, k in enumerate(self.keys)]
+        joined = rows.join(F.broadcast(self.hot), same, "left").drop(*[f"__h{i}" for i in range(len(self.keys))])
+        return joined.withColumn("__pieces", F.coalesce("__pieces", F.lit(1)))
 
     def deal(self, rows: DataFrame, by: list[str]) -> DataFrame:
         """Give each row one sub-key. ``by`` must tell rows of one key apart, and be repeatable."""
-        if not self.hot:
-            return rows
-        return rows.withColumn(SALT, F.pmod(F.xxhash64(*by), self._pieces().cast("bigint")).cast("int"))
+        salt = F.pmod(F.xxhash64(*by), F.col("__pieces").cast("bigint")).cast("int")
+        return self._with_pieces(rows).withColumn(SALT, salt).drop("__pieces")
 
     def replicate(self, rows: DataFrame) -> DataFrame:
-        if not self.hot:
-            return rows
-        return rows.withColumn(SALT, F.explode(F.sequence(F.lit(0), self._pieces() - 1)))
+        every = F.explode(F.sequence(F.lit(0), F.col("__pieces") - 1))
+        return self._with_pieces(rows).withColumn(SALT, every).drop("__pieces")
 
 
-def skew_join(
-    many: DataFrame, few: DataFrame, keys: list[str], how: str, by: list[str], hot: dict[int, int] | None = None
-) -> DataFrame:
+def skew_join(many: DataFrame, few: DataFrame, keys: list[str], how: str, by: list[str]) -> DataFrame:
     """Equi-join; ``few`` has a small number of rows per key, ``many`` may have any number."""
-    spread = Spread.of(many, keys, hot)
-    return spread.deal(many, by).join(spread.replicate(few), spread.columns, how).drop(SALT)
+    spread = Spread(many, keys)
+    return spread.deal(many, by).join(spread.replicate(few), [*keys, SALT], how).drop(SALT)
+
+
+def bucket_of(column: Column, n: int) -> Column:
+    """A bucket of 0 to n - 1 from a hash."""
+    return F.pmod(F.xxhash64(column), F.lit(n)).cast("int")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from .queries import BIG, EXCLUDED, HEAD, RUN_DEST
+from ..operators.filters import METADATA_NAMES
+from .queries import BIG, EXCLUDED, HEAD, ODD_FOLDERS, ODD_NAMES, RUN_DEST
 from .views import DEST_SPECS, ODD_LINES
 
 # Views, by name: (views it needs, body).
@@ -86,7 +87,7 @@ select path, size, dest, ord, dest_path from (
   select s.path, s.size, d.dest, d.ord, d.path as dest_path,
          row_number() over (partition by s.path, d.dest order by d.mtime, d.path) as rn
   from src s join dst d on s.size = d.size and s.bn = d.bn and abs(s.mtime - d.mtime) <= 2) x where rn = 1"""),
-    "lost": (("src", "hits"), "select path, size from src where path not in (select path from hits)"),
+    "lost": (("src", "hits"), "select path, size from src anti join hits using (path)"),
     "pairs": (("hits", "fx_exif"), """
 select h.path, h.dest, case
   when s.path is null or d.path is null then 'weak'
@@ -122,7 +123,7 @@ from fx_audit_missing m join placed p on p.run_id = m.run_id where p.refusal is
 select path, size from fx_contents where size >= 1 and size in (
   select size from fx_contents where size >= 1 group by size having count(*) >= 2)"""),
     "todo": (("wanted", "fx_contents"), """
-select * from wanted where path not in (select path from fx_contents where doc_id % 3 = 0)"""),
+select * from wanted anti join (select path from fx_contents where doc_id % 3 = 0) using (path)"""),
     "prints": (("fx_contents",), f"""
 select path, size, md5(text) as fingerprint, 0 as sample_size from fx_contents
 union all
@@ -187,38 +188,25 @@ select path, dest, dest_path from (
   from src s join dst d on s.size = d.size and s.bn = d.bn {near}) x where rn = 1""")
 
 
-def _walk(source: str, dests: str, capped: str) -> str:
-    """The bounded walk: ``dests`` has ord, dest, live, path, size, mtime, bn."""
-    return _sql("clean", f"""
-, src as (select * from clean where label = '{source}'),
-all_dests as ({dests}),
-canon as (select distinct size, bn from src),
-placed_rows as (select *, row_number() over (partition by ord order by path) as pos from all_dests),
-kept as (select * from placed_rows where not live or {capped}),
-found as (select size, bn, min({{'ord': ord, 'path': path}}) as first_at from kept k
-          where exists (select 1 from src s where s.size = k.size and s.bn = k.bn and abs(s.mtime - k.mtime) <= 2)
-          group by size, bn),
-state as (select (select count(*) from found) = (select count(*) from canon) as all_found,
-                 (select max(first_at) from found) as end_at),
-walked as (select k.* from kept k, state where not (
-  live and all_found and (ord > end_at.ord or (ord = end_at.ord and path > end_at.path))))
-select path, dest, dest_path from (
-  select s.path, d.dest, d.path as dest_path,
-         row_number() over (partition by s.path, d.dest order by d.mtime, d.path) as rn
-  from src s join walked d on s.size = d.size and s.bn = d.bn and abs(s.mtime - d.mtime) <= 2) x where rn = 1""").replace(
-        ")\n\n, src as", "),\nsrc as"
-    )
+_SYSTEM = "'.Spotlight-V100', '.fseventsd', '.Trashes', '.TemporaryItems', 'System Volume Information', '$RECYCLE.BIN'"
 
 
-_EARLY = """
-select case label when 'backup_a' then 0 when 'card' then 1 when 'backup_b' then 2 else 3 end as ord,
-       label as dest, label <> 'mirror' as live, path, size, mtime, bn from clean"""
-_CAPPED = """
-select case label when 'card' then 0 else 1 end as ord, label as dest, label = 'card' as live, path, size, mtime, bn
-from clean where label in ('card', 'mirror')"""
-_CAP = "pos <= (select greatest(cast(floor(count(*) * 1.5) as bigint), count(*) + 64) from canon)"
 
-_SYSTEM = "'.Spotlight-V100', '.fseventsd', '.Trashes', '.TemporaryItems', 'System Volume Information', '$RECYCLE.BIN'"
+def _texts(values: tuple) -> str:
+    return ", ".join(f"'{v}'" for v in values)
+
+
+def _matched(files: str, kept: str = "true") -> str:
+    """Chosen destination per card file, over other files (label, path, size, mtime); only rows that are ``kept`` take part."""
+    return _sql("fx_files", f"""
+, odd as ({files}),
+keyed as (select label, path, size, coalesce(mtime, 0) as mt, lower(split_part(path, '/', -1)) as bn from odd where {kept}),
+firsts as (select label, size, bn, mt, min(path) as path from keyed where label <> 'card' group by all)
+select path, dest, dest_path from (
+  select s.path, d.label as dest, d.path as dest_path, row_number() over (partition by s.path, d.label order by d.mt, d.path) as rn
+  from keyed s join firsts d on s.size = d.size and s.bn = d.bn and abs(s.mt - d.mt) <= 2
+  where s.label = 'card') x where rn = 1""").replace(")\n\n, odd as", "),\nodd as")
+
 
 _UNIT = "case l_orderkey % 6 when 0 then '' when 1 then 'k' when 2 then 'M' when 3 then 'GB' when 4 then 'tb' else 'Z' end"
 
@@ -283,8 +271,28 @@ from (select unnest(['backup_a', 'backup_b', 'empty_drive']) as dest) n left joi
         hits="hits", src=f"src where size >= {BIG} and not regexp_matches(path, '{EXCLUDED}')")),
     "coverage": _sql("src hits", """
 select s.size, s.bn, min(h.ord) as first_ord from src s left join hits h on h.path = s.path group by all"""),
-    "audit_early_stop": _walk("card", _EARLY, "true"),
-    "audit_walk_cap": _walk("backup_a", _CAPPED, _CAP),
+    "audit_hot_key": _matched("""
+select label, case when l_partkey % 3 = 0 then concat(case label when 'card' then 'c/' when 'backup_a' then 'a/' else 'b/' end,
+                                                      md5(path), '/SAME.JPG') else path end as path,
+       case when l_partkey % 3 = 0 then 7 else size end as size,
+       case when l_partkey % 3 = 0 then 1600000000 + case label when 'card' then 0 when 'backup_a' then l_partkey % 11 - 5
+                                                               else l_partkey % 2 + 3 end else mtime end as mtime
+from fx_files where label in ('card', 'backup_a', 'backup_b')""", "not starts_with(split_part(path, '/', -1), '._')"),
+    "audit_spellings": """
+select concat(source, '/', chr(233), '_', doc_id, '.txt') as path, cast(n_chars as bigint) as size from documents d
+where not exists (select 1 from documents o where o.doc_id % 4 <> 0 and o.doc_id = d.doc_id and o.n_chars = d.n_chars)""",
+    "audit_odd_files": _matched(f"""
+select distinct on (label, path) label, path, size, mtime from (
+  select label, concat(case when l_partkey % 13 < {len(ODD_FOLDERS)} then concat([{_texts(ODD_FOLDERS)}][l_partkey % 13 + 1], '/') else '' end,
+                       case when l_partkey % 29 < {len(ODD_NAMES)} then [{_texts(ODD_NAMES)}][l_partkey % 29 + 1]
+                            else concat('f', l_partkey, '_3.mp4') end) as path,
+         size, case when l_partkey % 5 <> 0 then mtime end as mtime
+  from fx_files where label in ('card', 'backup_a', 'backup_b'))
+order by label, path, size, mtime nulls first""", f"""
+not list_has_any(string_split(path, '/'), [{_SYSTEM}]) and not starts_with(split_part(path, '/', -1), '._')
+and split_part(path, '/', -1) not in ({_texts(METADATA_NAMES)})
+and (label <> 'card' or not ends_with(path, '_3.mp4') or mtime is null)
+and (label = 'backup_b' or not regexp_matches(path, 'f[0-9]*1_3'))"""),
     "missing_by_folder": _sql("lost", _rolled("lost")),
     "matched_by_folder": _sql("src hits", _rolled("(select * from src where path in (select path from hits))")),
     "match_locations": _sql("hits", """
@@ -367,17 +375,22 @@ select path, md5(array_slice(encode(text), 1, {HEAD})) as fingerprint from fx_co
   select min(path) over (partition by fingerprint, sample_size) as path_a, path as path_b, size,
          case when sample_size > 0 then 'tentative' else 'certain' end as confidence from prints) x
 where path_a < path_b"""),
-    "dup_pairs_across": _sql("prints", _PAIRS + """(
-  select a.path_a, b.path as path_b, b.size, 'certain' as confidence
-  from (select fingerprint, min(path) as path_a from prints where sample_size = 0 and path like 'src1%' group by 1) a
-  join prints b on b.fingerprint = a.fingerprint and b.sample_size = 0 and b.path not like 'src1%') x"""),
+    "dup_pairs_across": _sql("fx_contents", """
+, both_sides as (select path, size, md5(text) as fingerprint, 0 as sample_size from fx_contents union all
+  select path, size, md5(array_slice(encode(text), 1, 2)), 2 from fx_contents),
+marked as (select *, case when path like 'src1%' then 'a' else 'b' end as side from both_sides)
+select m.side, m.path, m.size, regexp_extract(m.path, '^(.*)/[^/]*$', 1) as folder,
+       (select min(o.path) from marked o where o.fingerprint = m.fingerprint and o.sample_size = m.sample_size and o.side = 'a') as original,
+       case m.sample_size when 0 then 'certain' else 'tentative' end as confidence
+from marked m where exists (select 1 from marked o where o.fingerprint = m.fingerprint and o.sample_size = m.sample_size
+                            and o.side <> m.side)""").replace(")\n\n, both_sides", "),\nboth_sides"),
     "copy_roots": _sql("placed", "select * from placed"),
     "copy_plan": _sql("planned", "select * from planned"),
     "copy_plan_totals": _sql("planned", "select count(*) as files, cast(sum(size) as bigint) as bytes from planned"),
     "copy_outcome": _sql("lost fx_files", """
-select l.path, l.size, case when m.size = l.size then 'succeeded' else 'failed' end as outcome,
+select if(l.size % 2 = 0, 1, 2)::bigint as run_id, l.path, l.size, case when m.size = l.size then 'succeeded' else 'failed' end as outcome,
        case when m.path is null then 'not on destination' when m.size <> l.size then 'size differs on destination' end as reason
-from lost l left join fx_files m on m.label = 'mirror' and m.path = l.path"""),
+from lost l left join fx_files m on m.label = 'mirror' and m.path = l.path and (l.size % 2 = 0 or m.size % 3 = 0)"""),
     "copy_json": _sql("planned", "\nunion all\n".join([
         _json("totals", "files", f"select *, {_human('bytes')} as bytes_human from "
               "(select count(*) as files, cast(sum(size) as bigint) as bytes from planned)", "files", "bytes", "bytes_human"),

@@ -13,12 +13,21 @@ from ..operators import evidence as proof
 from ..operators import filters
 from ..operators import fingerprint as hashing
 from ..operators import history
-from ..operators.audit import Audit, Destination, audit, locations, match_keys
+from ..operators.audit import (
+    Audit,
+    Destination,
+    audit,
+    locations,
+    match_keys,
+    missing_folders,
+    per_dest_of_folders,
+    totals_of_folders,
+)
 from ..operators.dedup import unique_files
 from ..operators.report import audit_document, plan_document
 from ..operators.rollup import by_folder
 from ..sources.exif import clean_exif
-from ..sources.lsl import normalised, parse_lsl
+from ..sources.lsl import as_manifest, normalised, parse_lsl
 from . import views as v
 
 C = F.col
@@ -26,6 +35,9 @@ EXCLUDED = r"(?i)_[37]\.(mp4|arw)$"
 BIG = 500_000
 HEAD = 64
 RUN_DEST = "/mnt/b"
+# Names and folders that belong to systems, and near misses.
+ODD_NAMES = (*sorted(filters.METADATA_NAMES), "._x", "x._y", "Thumbs.dbx")
+ODD_FOLDERS = (*sorted(filters.SYSTEM_DIRS), "a/.Trashes", "Trashes")
 
 
 def card_audit(spark: SparkSession, d: str, kind: str = "path", **options) -> Audit:
@@ -126,7 +138,7 @@ def exif_clean(spark, d):
     date = F.date_format(F.timestamp_seconds("taken_at"), "yyyy:MM:dd HH:mm:ss")
     stored = v.exif(spark, d).select(
         F.concat_ws("/", "label", "path").alias("path"),
-        F.when(C("camera_model").isNull(), "not-a-real-timestamp").otherwise(F.concat(date, F.lit("\x00"))).alias("date_text"),
+        F.when(C("camera_model").isNull(), "yesterday at noon").otherwise(F.concat(date, F.lit("\x00"))).alias("date_text"),
         F.coalesce(C("camera_make"), F.lit("  \x00")).alias("make_text"),
         F.concat(C("camera_model"), F.lit("\x00\x00")).alias("model_text"),
     )
@@ -170,30 +182,14 @@ def coverage(spark, d):
     return card_audit(spark, d).coverage
 
 
-def audit_early_stop(spark, d):
-    """The second destination completes coverage, so the third, a fresh listing too, is not
-    visited; the fourth is a stored scan and counts."""
-    kinds = {"backup_a": "path", "card": "path", "backup_b": "path", "mirror": "label"}
-    dests = [Destination(n, v.files(spark, d, n), kind) for n, kind in kinds.items()]
-    stopped = audit(v.files(spark, d, "card"), dests, early_stop=True)
-    return stopped.matches.select("path", "dest", "dest_path")
-
-
-def audit_walk_cap(spark, d):
-    """The cap is 1.5 times the source's keys, which ends the walk of the card."""
-    kinds = {"card": "path", "mirror": "label"}
-    dests = [Destination(n, v.files(spark, d, n), kind) for n, kind in kinds.items()]
-    capped = audit(v.files(spark, d, "backup_a"), dests, early_stop=True, max_walk_ratio=1.5)
-    return capped.matches.select("path", "dest", "dest_path")
-
-
 def missing_by_folder(spark, d):
-    rolled = by_folder(card_audit(spark, d).missing)
+    rolled = missing_folders(card_audit(spark, d).folders)
     return rolled.select("folder", "files", "bytes", F.array_join("sample", ", ").alias("sample"), "more")
 
 
 def match_locations(spark, d):
-    found = locations(card_audit(spark, d).matches)
+    a = card_audit(spark, d)
+    found = locations(a.tagged, a.dests)
     text = F.array_join(F.transform("found", lambda x: F.concat(x["dest"], F.lit(":"), x["dest_path"])), "; ")
     return found.select("path", text.alias("found"))
 
@@ -205,8 +201,56 @@ def matched_by_folder(spark, d):
 
 
 def audit_json(spark, d):
+    """Two passes: counters and folders come from the counts per folder."""
     a = card_audit(spark, d)
-    return audit_document(a.totals, a.per_dest.select("dest", "kind", "matched"), by_folder(a.missing, sort=False), a.missing)
+    dests = per_dest_of_folders(a.folders, a.dests).select("dest", "kind", "matched")
+    folders = missing_folders(a.folders)
+    return audit_document(totals_of_folders(a.folders), dests, folders, a.missing)
+
+
+def audit_hot_key(spark, d):
+    """A third of the source has one size, name and time, and stands beside copies at nearly that time."""
+    def rows(label: str, folder: str, shift) -> DataFrame:
+        hot = C("l_partkey") % 3 == 0
+        return v.files(spark, d, label).select(
+            F.when(hot, F.concat(F.lit(folder), F.md5("path"), F.lit("/SAME.JPG"))).otherwise(C("path")).alias("path"),
+            F.when(hot, 7).otherwise(C("size")).alias("size"),
+            F.when(hot, 1_600_000_000 + shift).otherwise(C("mtime")).alias("mtime"),
+        )
+
+    card = rows("card", "c/", F.lit(0))
+    dests = [
+        Destination("backup_a", rows("backup_a", "a/", C("l_partkey") % 11 - 5), "path"),
+        Destination("backup_b", rows("backup_b", "b/", C("l_partkey") % 2 + 3), "path"),
+    ]
+    return audit(card, dests).matches.select("path", "dest", "dest_path")
+
+
+def audit_spellings(spark, d):
+    """Names of a source in decomposed spelling, of the destination composed, as two tables hold them."""
+    docs = v.table(spark, d, "documents").select("doc_id", "source", C("n_chars").cast("bigint").alias("size"))
+    name = lambda letter: F.concat("source", F.lit(f"/{letter}_"), C("doc_id").cast("string"), F.lit(".txt"))
+    entry = [F.lit(None).cast("string").alias("path_raw"), "size", F.lit(5.0).alias("mtime")]
+    source = as_manifest(docs.select(name("e\u0301").alias("path"), *entry))
+    dest = as_manifest(docs.where("doc_id % 4 != 0").select(name("\u00e9").alias("path"), *entry))
+    return audit(source, [Destination("table", dest)]).missing
+
+
+def audit_odd_files(spark, d):
+    """Metadata names, system folders, unknown times, files at the root, and a pattern that spares stored scans."""
+    def rows(label: str) -> DataFrame:
+        n = C("l_partkey") % 29
+        name = F.when(n < len(ODD_NAMES), F.get(F.array(*map(F.lit, ODD_NAMES)), n.cast("int"))).otherwise(
+            F.concat(F.lit("f"), C("l_partkey").cast("string"), F.lit("_3.mp4"))
+        )
+        k = C("l_partkey") % 13
+        folder = F.when(k < len(ODD_FOLDERS), F.concat(F.get(F.array(*map(F.lit, ODD_FOLDERS)), k.cast("int")), F.lit("/"))).otherwise(F.lit(""))
+        time = F.when(C("l_partkey") % 5 != 0, C("mtime"))
+        return unique_files(v.files(spark, d, label).select(F.concat(folder, name).alias("path"), "size", time.alias("mtime")))
+
+    dests = [Destination("backup_a", rows("backup_a"), "path"), Destination("backup_b", rows("backup_b"), "label")]
+    found = audit(rows("card").where(~F.col("path").rlike("_3.mp4$") | F.col("mtime").isNull()), dests, exclude=r"f[0-9]*1_3")
+    return found.matches.select("path", "dest", "dest_path")
 
 
 # Evidence
@@ -323,7 +367,7 @@ def hash_resume(spark, d):
     """The fingerprint job: candidates, less those done, with their fingerprint."""
     todo = _document_candidates(spark, d)[1]
     read = v.contents(spark, d).select("path", "content").join(todo, "path")
-    return read.select("path", "size", fingerprint(C("content"), "md5").alias("fingerprint"))
+    return read.select("path", "size", fingerprint(C("content")).alias("fingerprint"))
 
 
 def hash_summary(spark, d):
@@ -336,20 +380,16 @@ def hash_latest(spark, d):
 
 
 def fingerprint_md5(spark, d):
-    return v.contents(spark, d).select("path", fingerprint(C("content"), "md5").alias("fingerprint"))
+    return v.contents(spark, d).select("path", fingerprint(C("content")).alias("fingerprint"))
 
 
 def fingerprint_head(spark, d):
-    return v.contents(spark, d).select("path", fingerprint(C("content"), "md5", HEAD).alias("fingerprint"))
-
-
-def fingerprint_xxh64(spark, d):
-    return v.contents(spark, d).select("path", fingerprint(C("content"), "xxh64").alias("fingerprint"))
+    return v.contents(spark, d).select("path", fingerprint(C("content"), HEAD).alias("fingerprint"))
 
 
 def _fingerprinted(spark, d, sample: int) -> DataFrame:
     return v.contents(spark, d).select(
-        "path", "size", fingerprint(C("content"), "md5", sample).alias("fingerprint"),
+        "path", "size", fingerprint(C("content"), sample).alias("fingerprint"),
         F.lit("md5").alias("algo"), F.lit(sample).cast("bigint").alias("sample_size"),
     )
 
@@ -363,9 +403,11 @@ def dup_pairs(spark, d):
 
 
 def dup_pairs_across(spark, d):
-    prints = _fingerprinted(spark, d, 0)
+    """Every file of either side whose head the other side holds too; heads, so that groups are large."""
+    prints = _fingerprinted(spark, d, 0).unionByName(_fingerprinted(spark, d, 2))
     a = prints.where("path like 'src1%'")
-    return hashing.duplicate_pairs(a, prints.where("path not like 'src1%'")).select(*_PAIR)
+    across = hashing.duplicates_across(a, prints.where("path not like 'src1%'"))
+    return across.select("side", "path", "size", "folder", "original", "confidence")
 
 
 # Copy plan
@@ -389,7 +431,10 @@ def copy_plan_totals(spark, d):
 
 def copy_outcome(spark, d):
     """What the card audit found missing, against the mirror as the destination after copying."""
-    return copying.copy_outcome(card_audit(spark, d).missing, v.files(spark, d, "mirror"))
+    runs = F.when(C("size") % 2 == 0, 1).otherwise(2).cast("bigint").alias("run_id")
+    plan = card_audit(spark, d).missing.select(runs, "path", "size")
+    mirror = v.files(spark, d, "mirror").select(F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(2).cast("bigint"))).alias("run_id"), "path", "size")
+    return copying.copy_outcome(plan, mirror.where("run_id = 1 or size % 3 = 0"))
 
 
 def copy_json(spark, d):
@@ -420,8 +465,9 @@ QUERIES = {
     "audit_per_dest": audit_per_dest,
     "audit_filtered": audit_filtered,
     "coverage": coverage,
-    "audit_early_stop": audit_early_stop,
-    "audit_walk_cap": audit_walk_cap,
+    "audit_hot_key": audit_hot_key,
+    "audit_spellings": audit_spellings,
+    "audit_odd_files": audit_odd_files,
     "missing_by_folder": missing_by_folder,
     "matched_by_folder": matched_by_folder,
     "match_locations": match_locations,
@@ -449,7 +495,6 @@ QUERIES = {
     "hash_latest": hash_latest,
     "fingerprint_md5": fingerprint_md5,
     "fingerprint_head": fingerprint_head,
-    "fingerprint_xxh64": fingerprint_xxh64,
     "dup_pairs": dup_pairs,
     "dup_pairs_across": dup_pairs_across,
     "copy_roots": copy_roots,

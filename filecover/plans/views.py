@@ -14,10 +14,8 @@ C = F.col
 
 @lru_cache(maxsize=64)
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table. One small file is read by one task; its rows are then dealt to all."""
-    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return rows.repartition(cores, rows.columns[0]) if rows.rdd.getNumPartitions() < cores else rows
+    """A driver table."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 @lru_cache(maxsize=64)

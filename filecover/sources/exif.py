@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.capture import clean_text, taken_at
 from ..functions.paths import absolute_path, wants_exif
 from .file_hash import spread_by_work
+from .listing import SKIPPED, require_root
 
 # Fixed values of the Exif and TIFF formats.
 MAKE, MODEL, EXIF_POINTER, DATE_TIME_ORIGINAL = 0x010F, 0x0110, 0x8769, 0x9003
@@ -38,6 +39,8 @@ def exif_block(f) -> bytes | None:
         if len(length) < 2:
             return None
         body = int.from_bytes(length, "big") - 2
+        if body < 0:
+            return None
         if byte[0] != APP1:
             f.seek(body, 1)
             continue
@@ -95,8 +98,11 @@ def clean_exif(texts: DataFrame) -> DataFrame:
     return cleaned.dropna("all", subset=["taken_at", "camera_make", "camera_model"])
 
 
-def read_exif(files: DataFrame, root: str, partitions: int = 64) -> DataFrame:
-    """(path, taken_at, camera_make, camera_model) of the JPEG files of a manifest."""
+def read_exif(files: DataFrame, root: str) -> DataFrame:
+    """(path, taken_at, camera_make, camera_model) of the JPEG files of a manifest.
+
+    A file that is gone, or that may not be read, has none; any other failure fails the job.
+    """
     raw = F.col("path_raw") if "path_raw" in files.columns else F.col("path")
     pictures = files.where(wants_exif(F.col("path"))).select(
         "path", absolute_path(F.lit(root), F.col("path"), raw).alias("at")
@@ -107,9 +113,10 @@ def read_exif(files: DataFrame, root: str, partitions: int = 64) -> DataFrame:
             try:
                 with open(at, "rb") as f:
                     return exif_texts(f)
-            except OSError:
+            except SKIPPED:
                 return None, None, None
 
+        require_root(root)
         for rows in batches:
             read_rows = [read(at) for at in rows["at"]]
             yield pd.DataFrame(read_rows, columns=["date_text", "make_text", "model_text"]).assign(
@@ -117,4 +124,4 @@ def read_exif(files: DataFrame, root: str, partitions: int = 64) -> DataFrame:
             )
 
     schema = "date_text string, make_text string, model_text string, path string"
-    return clean_exif(spread_by_work(pictures, partitions).mapInPandas(texts, schema))
+    return clean_exif(spread_by_work(pictures).mapInPandas(texts, schema))

@@ -10,20 +10,21 @@ from pyspark.sql import functions as F
 
 from ..functions.fingerprints import check_algorithm
 from ..functions.paths import absolute_path
+from .listing import SKIPPED, require_root
 
 CHUNK = 8 << 20
 FILES_PER_BATCH = 64
 
 
-def spread_by_work(files: DataFrame, partitions: int) -> DataFrame:
-    """Deal files out so that large and small ones mix; hashing is bound by reading."""
-    return files.repartition(partitions, F.xxhash64("path"))
+def spread_by_work(files: DataFrame) -> DataFrame:
+    """Deal files out so that large and small ones mix, over as many tasks as the session's shuffles have."""
+    return files.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("path"))
 
 
 def hash_files(
-    files: DataFrame, root: str, algo: str = "xxh64", sample_size: int = 0, partitions: int = 64
+    files: DataFrame, root: str, algo: str = "xxh64", sample_size: int = 0
 ) -> DataFrame:
-    """(path, size, fingerprint); files that cannot be read are left out.
+    """(path, size, fingerprint); files that are gone, or may not be read, are left out. Any other failure fails the job.
 
     Unlike ``binaryFile`` this has no 2 GB limit and reads no more than ``sample_size`` bytes.
     """
@@ -46,14 +47,15 @@ def hash_files(
                         left = left and left - len(chunk)
                         if left == 0:
                             break
-            except OSError:
+            except SKIPPED:
                 return None
             return state.hexdigest()
 
+        require_root(root)
         for rows in batches:
             for start in range(0, len(rows), FILES_PER_BATCH):
                 part = rows.iloc[start : start + FILES_PER_BATCH]
                 yield part[["path", "size"]].assign(fingerprint=part["at"].map(digest)).dropna()
 
     schema = "path string, size bigint, fingerprint string"
-    return spread_by_work(located, partitions).mapInPandas(digests, schema)
+    return spread_by_work(located).mapInPandas(digests, schema)

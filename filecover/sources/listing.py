@@ -1,118 +1,76 @@
-"""Directory tree as a Spark data source: one row per regular file, dotfiles included.
+"""Directory tree as rows: one per regular file, dotfiles included.
 
-The tree has to be mounted at the same place on every executor. The planner opens directories
-breadth first until there are enough of them to keep the cluster busy, so one large top-level
-directory is split; each task then walks its share.
+The tree has to be mounted at the same place on every executor. It is listed level by level: each round a
+job reads the directories of one level, dealt out to all tasks, and writes the entries; the next round
+reads the directories found. So no branch, however deep or heavy, is one task's work, and a
+task holds one batch of entries of a directory, however large that is.
 
-Options: ``path``; ``partitions`` (default 64); ``skip_root``, a directory never to enter, also
-not through a bind mount; ``links`` ("false" leaves linked files out).
+A directory or file that is gone by then or may not be read is left out. Every other failure, such as a missing
+mount on a worker, fails the listing: a listing with gaps would let an audit report files as lost or covered.
 """
 
 from __future__ import annotations
 
 import os
-from collections import deque
-from dataclasses import dataclass
+import tempfile
+import uuid
+from collections.abc import Iterator
+from functools import lru_cache, reduce
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import functions as F
 
 from ..operators.filters import METADATA_NAMES, METADATA_PREFIX, SYSTEM_DIRS, drop_metadata
 from .lsl import normalised
 
 BATCH = 8192
-# The planner opens at most this many directories per partition asked for.
-OPENED_PER_PARTITION = 4
-
-
-@dataclass
-class Subtrees(InputPartition):
-    # (directory, whether to walk below it)
-    roots: list
-
-    def __init__(self, roots: list):
-        self.roots = roots
-
-
-class ListingReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.root = os.path.realpath(options["path"])
-        self.wanted = int(options.get("partitions", 64))
-        self.links = options.get("links", "true") == "true"
-        skip = options.get("skip_root")
-        self.skip_real = os.path.realpath(skip) if skip else None
-        self.skip_id = _identity(skip) if skip else None
-
-    def partitions(self) -> list:
-        if not os.path.isdir(self.root):
-            raise ValueError(f"not a directory: {self.root}")
-        waiting, opened = deque([self.root]), []
-        while waiting and len(waiting) < self.wanted and len(opened) < self.wanted * OPENED_PER_PARTITION:
-            directory = waiting.popleft()
-            opened.append(directory)
-            waiting.extend(self._open(directory)[0])
-        whole = [(d, True) for d in waiting] + [(d, False) for d in opened]
-        parts = min(self.wanted, len(whole)) or 1
-        return [Subtrees(whole[i::parts]) for i in range(parts)]
-
-    def read(self, partition):
-        import pyarrow as pa
-
-        names = ["raw", "size", "mtime"]
-        types = [pa.string(), pa.int64(), pa.float64()]
-        rows: list = []
-
-        def batch():
-            return pa.RecordBatch.from_arrays(
-                [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names
-            )
-
-        for directory, below in partition.roots:
-            stack = [directory]
-            while stack:
-                subdirs, files = self._open(stack.pop())
-                if below:
-                    stack.extend(subdirs)
-                for path, stat in files:
-                    rows.append((os.path.relpath(path, self.root), stat.st_size, stat.st_mtime))
-                    if len(rows) == BATCH:
-                        yield batch()
-                        rows.clear()
-        yield batch()
+#: What may happen to an entry while a tree is in use.
+SKIPPED = (PermissionError, FileNotFoundError, NotADirectoryError)
+ENTRY = "is_dir boolean, raw string, size bigint, mtime double"
+
+
+def require_root(root: str) -> None:
+    """Called in tasks: a worker without the mount must not pass for an empty tree."""
+    if not os.path.isdir(root):
+        raise NotADirectoryError(f"not a directory on this machine: {root}")
+
 
-    def _open(self, directory: str) -> tuple:
-        """Subdirectories to walk, and (path, stat) of the files; the unreadable is left out."""
-        subdirs, files = [], []
-        if self._skipped(directory):
-            return subdirs, files
-        try:
-            entries = list(os.scandir(directory))
-        except OSError:
-            return subdirs, files
-        for entry in entries:
+def entries_below(root: str, relative: str, links: bool, skip: tuple | None) -> Iterator[tuple]:
+    """(is_dir, path below root, size, mtime) of one directory; ``skip``: real path and identity of one never to enter."""
+    directory = os.path.join(root, relative) if relative else root
+    if skip is not None and _is_skipped(directory, skip):
+        return
+    front = relative + "/" if relative else ""
+    try:
+        found = os.scandir(directory)
+    except SKIPPED:
+        if not relative:
+            raise
+        return
+    with found:
+        for entry in found:
             try:
+                path = front + entry.name
+                path.encode()
                 if entry.is_dir(follow_symlinks=False):
                     if entry.name not in SYSTEM_DIRS:
-                        subdirs.append(entry.path)
-                elif entry.is_file(follow_symlinks=self.links) and not _is_metadata(entry.name):
-                    entry.path.encode()
-                    files.append((entry.path, entry.stat()))
-            except (OSError, UnicodeEncodeError):
+                        yield True, path, None, None
+                elif entry.is_file(follow_symlinks=links) and not _is_metadata(entry.name):
+                    stat = entry.stat()
+                    yield False, path, stat.st_size, stat.st_mtime
+            except (*SKIPPED, UnicodeEncodeError):
                 continue
-        return subdirs, files
 
-    def _skipped(self, directory: str) -> bool:
-        if self.skip_real is None:
-            return False
-        if (directory + "/").startswith(self.skip_real.rstrip("/") + "/"):
-            return True
-        return self.skip_id is not None and _identity(directory) == self.skip_id
+
+def _is_skipped(directory: str, skip: tuple) -> bool:
+    real, identity = skip
+    return (directory + "/").startswith(real.rstrip("/") + "/") or (identity is not None and _identity(directory) == identity)
 
 
-def _identity(path: str):
+def _identity(path: str) -> tuple | None:
     try:
         stat = os.stat(path)
-    except OSError:
+    except SKIPPED:
         return None
     return stat.st_dev, stat.st_ino
 
@@ -121,23 +79,67 @@ def _is_metadata(name: str) -> bool:
     return name in METADATA_NAMES or name.startswith(METADATA_PREFIX)
 
 
-class Listing(DataSource):
-    @classmethod
-    def name(cls) -> str:
-        return "listing"
+def list_level(batches, root: str, links: bool, skip_root: str | None):
+    """Arrow batches of directories (raw) to batches of their entries."""
+    import pyarrow as pa
 
-    def schema(self) -> str:
-        return "raw string, size bigint, mtime double"
+    skip = None if skip_root is None else (os.path.realpath(skip_root), _identity(skip_root))
+    names = ["is_dir", "raw", "size", "mtime"]
+    types = [pa.bool_(), pa.string(), pa.int64(), pa.float64()]
+    rows: list = []
 
-    def reader(self, schema) -> DataSourceReader:
-        return ListingReader(self.options)
+    def batch():
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
+
+    require_root(root)
+    for directories in batches:
+        for relative in directories.column("raw").to_pylist():
+            for row in entries_below(root, relative, links, skip):
+                rows.append(row)
+                if len(rows) == BATCH:
+                    yield batch()
+                    rows.clear()
+    if rows:
+        yield batch()
 
 
-def read_listing(spark: SparkSession, root: str, **options) -> DataFrame:
-    """File entries of the tree below ``root``, paths relative to it."""
-    spark.dataSource.register(Listing)
-    reader = spark.read.format("listing").option("path", root)
-    for key, value in options.items():
-        if value is not None:
-            reader = reader.option(key, str(value))
-    return drop_metadata(normalised(reader.load()))
+@lru_cache(maxsize=1)
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="filecover-listing-")
+
+
+def _folder(spark: SparkSession) -> str:
+    """Where rounds are written: the checkpoint folder all machines share, or a local session's own."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not shared:
+        shared = _local_folder() if spark.sparkContext.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir")
+    return f"{shared.rstrip('/')}/listing-{uuid.uuid4().hex}"
+
+
+def read_listing(spark: SparkSession, root: str, skip_root: str | None = None, links: bool | str = True) -> DataFrame:
+    """File entries of the tree below ``root``, paths relative to it. The tree is read now, once.
+
+    ``skip_root``: a directory never to enter, also not through a bind mount. ``links``: whether linked
+    files count; linked directories are never entered.
+    """
+    root = os.path.realpath(root)
+    if not os.path.isdir(root):
+        raise ValueError(f"not a directory: {root}")
+    follow = str(links).lower() == "true"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    folder, levels = _folder(spark), []
+    below = spark.createDataFrame([("",)], "raw string")
+
+    def entries(batches):
+        return list_level(batches, root, follow, skip_root)
+
+    while True:
+        path = f"{folder}/{len(levels)}"
+        # Dealt out by hash, so the many directories below one are not one task's work.
+        below.repartition(parts, F.xxhash64("raw")).mapInArrow(entries, ENTRY).write.parquet(path)
+        levels.append(spark.read.schema(ENTRY).parquet(path))
+        below = levels[-1].where("is_dir").select("raw")
+        if below.isEmpty():
+            break
+    files = reduce(DataFrame.unionByName, [level.where("not is_dir").drop("is_dir") for level in levels])
+    return normalised(drop_metadata(files, "raw"))

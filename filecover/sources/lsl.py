@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.paths import nfc
 from ..operators.filters import drop_metadata
 
+
 def parse_lsl(lines: DataFrame) -> DataFrame:
     """``value`` lines -> file entries. Short lines and bad sizes are skipped; a bad date is 0."""
     # The fourth part is the rest of the line, blanks included.
@@ -18,7 +19,9 @@ def parse_lsl(lines: DataFrame) -> DataFrame:
         F.get("p", F.lit(0)).try_cast("bigint").alias("size"),
         F.coalesce(at, F.lit(0.0)).alias("mtime"),
     )
-    return drop_metadata(normalised(entries.where(F.col("size").isNotNull() & (F.col("raw") != ""))))
+    # Before NFC, which runs in Python: the names looked for are ASCII, in either spelling.
+    real = drop_metadata(entries.where(F.col("size").isNotNull() & (F.col("raw") != "")), "raw")
+    return normalised(real)
 
 
 def normalised(entries: DataFrame) -> DataFrame:
@@ -29,5 +32,17 @@ def normalised(entries: DataFrame) -> DataFrame:
     )
 
 
+def as_manifest(rows: DataFrame) -> DataFrame:
+    """Rows with path, size, mtime and perhaps path_raw, as a table may hold them, with paths in NFC.
+
+    A given raw spelling stays; otherwise the given path is it, where NFC differs.
+    """
+    raw = F.col("path_raw") if "path_raw" in rows.columns else F.lit(None).cast("string")
+    given = rows.select(F.col("path").alias("raw"), raw.alias("kept"), F.col("size").cast("bigint"), F.col("mtime").cast("double"))
+    named = given.withColumn("path", nfc(F.col("raw")))
+    spelled = F.coalesce("kept", F.when(F.col("raw") != F.col("path"), F.col("raw")))
+    return named.select("path", spelled.alias("path_raw"), "size", "mtime")
+
+
 def read_lsl(spark: SparkSession, path: str) -> DataFrame:
     return parse_lsl(spark.read.text(path))

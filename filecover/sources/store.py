@@ -8,6 +8,7 @@ writer at a time is assumed.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
@@ -67,7 +68,14 @@ class Store:
         return self._read("audit_missing", schemas.AUDIT_MISSING)
 
     def _of_scan(self, name: str, schema: StructType, scan_id: int) -> DataFrame:
-        return self._read(name, schema).where(F.col("scan_id") == scan_id)
+        """Rows of one scan; only its folder is looked at."""
+        try:
+            reader = self.spark.read.schema(schema).option("basePath", self._path(name))
+            return reader.parquet(self._path(f"{name}/scan_id={scan_id}")).select(*schema.names)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], schema)
 
     def files(self, scan_id: int) -> DataFrame:
         return self._of_scan("files", FILES, scan_id).drop("scan_id")
@@ -89,9 +97,13 @@ class Store:
         label: str | None = None,
         drive_type: str = "unknown",
         incremental: bool = False,
-        exif: DataFrame | None = None,
+        exif: Callable[[DataFrame], DataFrame] | None = None,
     ) -> int:
-        """Store a listing. An incremental scan lists everything too; only its lineage differs."""
+        """Store a listing. An incremental scan lists everything too; only its lineage differs.
+
+        ``exif`` makes capture metadata of the files as stored, so the tree is walked once and every row names a
+        file of the scan. A scan that fails is registered unfinished, with the number of rows written so far.
+        """
         label = clean_label_text(label or default_label(root_path))
         parent = self.latest(label, "full") if incremental else None
         scan_id, started = self._next_id(self.scans), _now()
@@ -105,15 +117,25 @@ class Store:
         try:
             self._append_files(counted, scan_id)
             if exif is not None:
-                self._append(
-                    "exif", _stamped(exif, scan_id).withColumn("extracted_at", F.lit(started)), schemas.EXIF, "scan_id"
-                )
+                found = _stamped(exif(self.files(scan_id)), scan_id).withColumn("extracted_at", F.lit(started))
+                self._append("exif", found, schemas.EXIF, "scan_id")
         except BaseException:
-            self._register("scans", row, schemas.SCANS)
+            self._register("scans", (*row[:6], self._written(scan_id), *row[7:]), schemas.SCANS)
             raise
         self._register("scans", (*row[:5], _now(), listed.get["files"], *row[7:]), schemas.SCANS)
         return scan_id
 
+    def save_failed_scan(self, root_path: str, label: str | None, drive_type: str = "unknown") -> int:
+        """Register a scan whose listing failed."""
+        scan_id = self._next_id(self.scans)
+        row = (scan_id, clean_label_text(label or default_label(root_path)), root_path, drive_type, _now(), None, 0, "full", None)
+        self._register("scans", row, schemas.SCANS)
+        return scan_id
+
+    def _written(self, scan_id: int) -> int:
+        """Rows of a scan that a failed job left behind."""
+        return self.files(scan_id).count()
+
     def _append_files(self, entries: DataFrame, scan_id: int) -> None:
         rows = unique_files(entries.select("path", "size", "mtime", "path_raw"))
         self._append("files", _stamped(rows, scan_id), FILES, "scan_id")
@@ -137,7 +159,6 @@ class Store:
         source: tuple,
         dest_specs: list,
         min_size: int = 0,
-        early_stop: bool = False,
     ) -> int:
         """``missing``: (path, size); ``source``: (ident, kind, scan id or None)."""
         run_id = self._next_id(self.audit_runs)
@@ -150,7 +171,7 @@ class Store:
         self._register(
             "audit_runs",
             (
-                run_id, *source, json.dumps(specs, ensure_ascii=False), min_size, early_stop,
+                run_id, *source, json.dumps(specs, ensure_ascii=False), min_size, False,
                 *counters, json.dumps(per_dest, ensure_ascii=False), _now(),
             ),
             schemas.AUDIT_RUNS,
@@ -160,6 +181,11 @@ class Store:
     def work_path(self, name: str) -> str:
         return self._path(f"work/{name}")
 
+    def drop_work(self, name: str) -> None:
+        """Delete a folder below work, on whatever file system the store is."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.work_path(name))
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
 
 FILES = StructType([*schemas.FILE_ENTRY.fields, schemas.HASHES["scan_id"]])
 

@@ -6,10 +6,10 @@ import os
 import uuid
 from dataclasses import dataclass
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.shares import percent
 from .functions.sizes import parse_size_text
 from .operators import audit as coverage
 from .operators import compare as comparing
@@ -42,19 +42,34 @@ class Target:
 
 @dataclass(frozen=True)
 class StoredAudit:
-    """A finished audit; ``matches`` is read back from a table, so roll-ups do not join again."""
+    """A finished audit; ``tagged`` is read back from a table, so roll-ups do not match again.
 
-    run_id: int
-    source_rows: DataFrame
+    ``close`` (or the end of a ``with`` block) deletes that table and the listings made for it; what the store keeps stays.
+    """
+
+    run_id: int | None
+    tagged: DataFrame
     matches: DataFrame
     missing: DataFrame
     per_dest: DataFrame
     totals: DataFrame
     evidence: DataFrame
+    dests: list
+    store: Store
+    work: str
+
+    def __enter__(self) -> StoredAudit:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+    def close(self) -> None:
+        self.store.drop_work(self.work)
 
     @property
     def locations(self) -> DataFrame:
-        return coverage.locations(self.matches)
+        return coverage.locations(self.tagged, self.dests)
 
     def missing_by_folder(self, order: str = "name") -> DataFrame:
         return by_folder(self.missing, order)
@@ -91,11 +106,17 @@ class Workspace:
         lineage = {k: options.pop(k) for k in ("drive_type", "incremental") if k in options}
         if format == "listing":
             root = os.path.realpath(root)
+            if not os.path.isdir(root):
+                raise ValueError(f"not a directory: {root}")
             # A stored scan holds regular files only; links are followed in fresh listings.
             options.setdefault("links", "false")
-        entries = read_manifest(self.spark, options.pop("path", root), format, **options)
-        found = read_exif(entries, root) if exif else None
-        return self.store.save_scan(entries, root, label, exif=found, **lineage)
+        try:
+            entries = read_manifest(self.spark, options.pop("path", root), format, **options)
+        except PySparkException:
+            self.store.save_failed_scan(root, label, lineage.get("drive_type", "unknown"))
+            raise
+        pictures = (lambda files: read_exif(files, root)) if exif else None
+        return self.store.save_scan(entries, root, label, exif=pictures, **lineage)
 
     def resolve(self, ident: str) -> Target:
         """A path if it looks like one, else a known label, else an existing directory."""
@@ -122,7 +143,10 @@ class Workspace:
 
     # Audit
 
-    def audit(self, source: str, against: list[str], *, min_size: int | str = 0, **options) -> StoredAudit:
+    def audit(
+        self, source: str, against: list[str], *, min_size: int | str = 0, persist: bool = True, **options
+    ) -> StoredAudit:
+        """``persist=False``: nothing is added to the history, and there is no run id."""
         if not against:
             raise ValueError("an audit needs at least one destination")
         src = self.resolve(source)
@@ -139,34 +163,25 @@ class Workspace:
             source_root=src.root,
             **options,
         )
-        # The join is written once; every counter, list and roll-up reads it back.
-        matches = self._kept(plan.matches_with_exif(self._dest_exif(targets)), f"{work}/matches")
-        missing = self._kept(plan.missing, f"{work}/missing")
-        rows = plan.rows.select("path", "size")
-        per_dest = coverage.per_dest(matches, plan.dests)
-        everything = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("b")).first()
-        lost = missing.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("b")).first()
-        totals = {
-            "total_files": everything["n"],
-            "total_bytes": everything["b"],
-            "matched": everything["n"] - lost["n"],
-            "missing": lost["n"],
-            "missing_bytes": lost["b"],
-        }
-        counts = {r["dest"]: r["matched"] for r in per_dest.collect()}
-        run_id = self.store.save_audit(
-            missing,
-            totals,
-            counts,
-            (source, src.kind, src.scan_id),
-            [(t.ident, t.kind) for t in targets],
-            min_bytes,
-            plan.options.early_stop,
-        )
-        shown = self.spark.createDataFrame([tuple(totals.values())], ", ".join(f"{k} bigint" for k in totals))
-        shown = shown.withColumn("percent", percent(F.col("matched"), F.col("total_files")))
+        # Matching is done once and written; every counter, list and roll-up reads it back.
+        tagged = self._kept(plan.tagged_with_exif(self._dest_exif(targets)), f"{work}/tagged")
+        missing = coverage.missing(tagged)
+        per_dest = self.spark.createDataFrame(coverage.per_dest(tagged, plan.dests).collect(), "ord int, dest string, kind string, matched bigint")
+        totals = coverage.totals(tagged).first().asDict()
+        shown = self.spark.createDataFrame([tuple(totals.values())], ", ".join(f"{k} {'double' if k == 'percent' else 'bigint'}" for k in totals))
+        run_id = None
+        if persist:
+            run_id = self.store.save_audit(
+                missing,
+                totals,
+                {r["dest"]: r["matched"] for r in per_dest.collect()},
+                (source, src.kind, src.scan_id),
+                [(t.ident, t.kind) for t in targets],
+                min_bytes,
+            )
+        matches = plan.matches_of(tagged)
         pairs = proof.pair_evidence(matches, self._exif(src))
-        return StoredAudit(run_id, rows, matches, missing, per_dest, shown, proof.evidence(pairs))
+        return StoredAudit(run_id, tagged, matches, missing, per_dest, shown, proof.evidence(pairs), plan.dests, self.store, work)
 
     def _kept(self, rows: DataFrame, name: str) -> DataFrame:
         path = self.store.work_path(name)
@@ -199,7 +214,6 @@ class Workspace:
         min_size: int = 0,
         only_collisions: bool = True,
         resume: bool = True,
-        partitions: int = 64,
     ) -> dict:
         """Fingerprint what is not done yet; returns the counters."""
         scan = self._labelled(label)
@@ -210,13 +224,13 @@ class Workspace:
         done = F.count(F.lit(1)).alias("hashed")
         read = F.sum(F.least("size", F.lit(sample_size)) if sample_size else F.col("size")).alias("bytes_read")
         seen = Observation()
-        digests = hash_files(todo, scan["root_path"], algo, sample_size, partitions).observe(seen, done, read)
+        digests = hash_files(todo, scan["root_path"], algo, sample_size).observe(seen, done, read)
         self.store.save_hashes(digests, scan["id"], algo, sample_size)
         return {**counters, **{k: v or 0 for k, v in seen.get.items()}, "scan_id": scan["id"]}
 
     def duplicates(self, a: str, b: str | None = None) -> DataFrame:
         first = self.store.hashes(self._labelled(a)["id"])
-        return hashing.duplicate_pairs(first, self.store.hashes(self._labelled(b)["id"]) if b else None)
+        return hashing.duplicates_across(first, self.store.hashes(self._labelled(b)["id"])) if b else hashing.duplicate_pairs(first)
 
     def copy_plan(self, run_id: int, dest_ident: str | None = None, check: bool = True) -> DataFrame:
         """Source and destination path of every missing file of a stored audit."""

@@ -3,17 +3,11 @@
 import pytest
 from pyspark.sql import functions as F
 
-from filecover.operators import skew
 from filecover.operators.audit import Destination, audit
 from filecover.operators.fingerprint import candidates, duplicate_pairs
 from filecover.operators.skew import SALT, Spread, hot_keys, skew_join
 
 
-@pytest.fixture(autouse=True)
-def look_at_small_tables(monkeypatch):
-    monkeypatch.setattr(skew, "SMALL_BYTES", 0)
-
-
 def hot_table(spark, n=30_000):
     """A third of the rows share one key; the others have keys of their own."""
     return spark.range(n).select(
@@ -24,38 +18,36 @@ def hot_table(spark, n=30_000):
 
 
 def test_hot_keys_are_few_and_proportional(spark):
-    hot = hot_keys(hot_table(spark), ["size"])
-    assert len(hot) == 1 and 341 <= max(hot.values()) <= 345
+    hot = hot_keys(hot_table(spark), ["size"]).collect()
+    assert [tuple(r) for r in hot] == [(7, 342)]
 
 
 def test_no_rows_no_hot_keys(spark):
     empty = hot_table(spark).where("size < 0")
-    assert hot_keys(empty, ["size"]) == {}
+    assert hot_keys(empty, ["size"]).count() == 0
     assert skew_join(empty, hot_table(spark).select("size").distinct(), ["size"], "inner", by=["path"]).count() == 0
 
 
-def test_small_tables_are_not_looked_at(spark, monkeypatch):
-    monkeypatch.setattr(skew, "SMALL_BYTES", 64 << 20)
-    assert hot_keys(hot_table(spark), ["size"]) == {}
-    # A table without statistics counts as large.
-    assert skew.estimated_bytes(spark.createDataFrame([(1,)], "a int").repartition(2)) > 64 << 20
-
-
-def test_even_keys_are_left_alone(spark):
-    rows = hot_table(spark).where("size > 7")
-    spread = Spread.of(rows, ["size"])
-    assert spread.columns == ["size"] and spread.deal(rows, ["path"]) is rows and spread.replicate(rows) is rows
+def test_small_tables_take_the_same_path(spark):
+    few = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "size bigint, path string")
+    assert sorted(map(tuple, hot_keys(few, ["size"]).collect())) == [(1, 2), (2, 1)]  # no more pieces than rows
+    assert skew_join(few, few.select("size").distinct(), ["size"], "inner", by=["path"]).count() == 3
 
 
 def test_rows_of_a_hot_key_are_dealt_out(spark):
     rows = hot_table(spark)
-    spread = Spread.of(rows, ["size"])
+    spread = Spread(rows, ["size"])
     largest = spread.deal(rows, ["path"]).groupBy("size", SALT).count().agg(F.max("count")).first()[0]
     assert largest < 80
     # The other side grows by the number of pieces, not by a factor.
     assert spread.replicate(rows.select("size").distinct()).count() < 20_001 + 400
 
 
+def test_unknown_keys_are_dealt_out_too(spark):
+    rows = spark.range(5000).selectExpr("concat('p', id) as path", "if(id % 2 = 0, null, id) as size")
+    assert Spread(rows, ["size"]).deal(rows, ["path"]).groupBy("size", SALT).count().agg(F.max("count")).first()[0] < 60
+
+
 def test_skew_join_is_an_ordinary_join(spark):
     rows = hot_table(spark)
     few = rows.select("size").distinct().where("size = 7 or size % 2 = 0").withColumn("note", F.lit("x"))
@@ -115,6 +107,35 @@ def test_plans_have_no_cross_join_and_few_shuffles(spark, tmp_path, no_broadcast
         plan = plan_of(frame)
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
         assert "GreaterThanOrEqual(size,5)" in plan
-    # Source once; destinations once to reduce them and once to meet the source.
-    assert plan_of(result.matches).count("hashpartitioning(") == 3
-    assert plan_of(result.missing).count("hashpartitioning(") == 3
+        assert plan.count("SortMergeJoin") == 0
+
+
+def test_roll_ups_match_once(spark, tmp_path, no_broadcast):
+    from filecover.operators.audit import missing_folders
+
+    hot_table(spark).write.parquet(str(tmp_path / "m"))
+    files = spark.read.parquet(str(tmp_path / "m"))
+    result = audit(files, [Destination("a", files), Destination("b", files)])
+    # One window matches, one ranks the names shown.
+    assert _windows(missing_folders(result.folders)) == 2 and _windows(result.missing) == 1 and _windows(result.totals) == 1
+
+
+def _windows(frame):
+    import re
+
+    return len(re.findall(r"^\(\d+\) Window", plan_of(frame), re.M))
+
+
+def test_largest_task_of_a_hot_key(spark):
+    """A third of the source shares name, size and time; no partition of the matching pass has more than a small part."""
+    source = hot_table(spark)
+    tagged = audit(source, [Destination("d", source.limit(1))]).tagged
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        placed = tagged.select("found", F.spark_partition_id().alias("p")).where(F.size("found") < 2)
+        rows = placed.groupBy("p").count().agg(F.max("count")).first()[0]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert rows < 3 * 30_000 / 64

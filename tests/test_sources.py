@@ -1,11 +1,15 @@
+import errno
+import inspect
 import os
 import struct
 
 import pytest
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from filecover.sources.exif import read_exif
 from filecover.sources.file_hash import hash_files
-from filecover.sources.listing import ListingReader, read_listing
+from filecover.sources.listing import entries_below, list_level, read_listing
 from filecover.sources.lsl import read_lsl
 from filecover.sources.manifest import read_manifest
 
@@ -27,10 +31,9 @@ FILES = {
 KEPT = ["_under/two", "a/b/c/.hidden", "a/café.txt", "a/one.jpg", "top"]
 
 
-@pytest.mark.parametrize("partitions", [1, 2, 64])
-def test_listing(spark, tree, partitions):
+def test_listing(spark, tree):
     root = tree("r", FILES)
-    listed = read_listing(spark, root, partitions=partitions)
+    listed = read_listing(spark, root)
     assert paths(listed) == KEPT
     rows = {r["path"]: r for r in listed.collect()}
     assert rows["a/one.jpg"]["size"] == 5 and rows["a/one.jpg"]["mtime"] == 1_600_000_000.0
@@ -38,10 +41,47 @@ def test_listing(spark, tree, partitions):
     assert rows["a/café.txt"]["path_raw"] == "a/café.txt"
 
 
-def test_listing_splits_a_large_directory(tree):
-    root = tree("r", {f"only/d{i}/f": b"x" for i in range(40)})
-    parts = ListingReader({"path": root, "partitions": "8"}).partitions()
-    assert len(parts) == 8 and max(len(p.roots) for p in parts) <= 6
+def test_listing_deals_out_one_heavy_branch(spark, tree):
+    root = tree("r", {f"only/branch/d{i}/f": b"x" for i in range(40)})
+    listed = read_listing(spark, root)
+    assert listed.count() == 40
+    # The level of the forty directories was read by all tasks.
+    last = listed.select(F.input_file_name().alias("f")).where("f like '%/3/part%'").distinct()
+    assert last.count() == 4
+
+
+def test_listing_hands_on_batches(tree):
+    root = tree("r", {f"f{i}": b"" for i in range(50)})
+    entries = entries_below(root, "", True, None)
+    assert next(entries)[1].startswith("f") and inspect.isgenerator(entries)
+
+
+def failing(code):
+    def fail(*_, **__):
+        raise OSError(code, os.strerror(code))
+
+    return fail
+
+
+def test_listing_fails_loudly(tree, monkeypatch):
+    root = tree("r", {"a/one": b"1"})
+    monkeypatch.setattr(os, "scandir", failing(errno.EIO))
+    with pytest.raises(OSError):
+        list(entries_below(root, "a", True, None))
+    monkeypatch.setattr(os, "scandir", failing(errno.EACCES))
+    assert list(entries_below(root, "a", True, None)) == []
+    with pytest.raises(OSError):  # not even the root may be read
+        list(entries_below(root, "", True, None))
+
+
+def test_a_worker_without_the_mount_fails(spark, tree):
+    root = tree("r", {"a/one": b"1"})
+    with pytest.raises(NotADirectoryError):
+        next(list_level(iter(()), f"{root}/gone", True, None))
+    files = read_listing(spark, root)
+    for job in (hash_files(files, f"{root}/gone"), read_exif(files.withColumn("path", F.lit("a.jpg")), f"{root}/gone")):
+        with pytest.raises(PySparkException):
+            job.collect()
 
 
 def test_links(spark, tree, tmp_path):
@@ -88,6 +128,17 @@ def test_tables(spark, tmp_path):
         read_manifest(spark, "x", "xml")
 
 
+def test_tables_in_both_spellings(spark, tmp_path):
+    (tmp_path / "m.csv").write_text("path;path_raw;size;mtime\ncafe\u0301.jpg;;5;1.0\n")
+    got = read_manifest(spark, str(tmp_path / "m.csv"), "csv", sep=";").first()
+    assert tuple(got) == ("caf\u00e9.jpg", "cafe\u0301.jpg", 5, 1.0)
+    kept = spark.createDataFrame([("e\u0301", "given", 1, 2.0)], "path string, path_raw string, size bigint, mtime double")
+    kept.write.parquet(str(tmp_path / "p"))
+    assert tuple(read_manifest(spark, str(tmp_path / "p"), "parquet").first())[:2] == ("\u00e9", "given")
+    with pytest.raises(ValueError, match="no option"):
+        read_manifest(spark, str(tmp_path / "p"), "parquet", sep=";")
+
+
 def test_hashes(spark, tree):
     import hashlib
 
@@ -99,7 +150,7 @@ def test_hashes(spark, tree):
     )
 
     def digests(**options):
-        return {r["path"]: r["fingerprint"] for r in hash_files(files, root, partitions=3, **options).collect()}
+        return {r["path"]: r["fingerprint"] for r in hash_files(files, root, **options).collect()}
 
     assert digests(algo="md5") == {p: hashlib.md5(open(f"{root}/{p}", "rb").read()).hexdigest() for p in "abc"}
     assert digests()["a"] == xxhash.xxh64(b"same head, one").hexdigest()
@@ -138,32 +189,29 @@ APP0 = b"\xff\xe0\x00\x10JFIF\0\1\1\0\0\1\0\1\0\0"
 
 
 def test_exif(spark, tree):
-    full = jpeg("SONY", "ILCE-7M4", "2026:04:28 17:21:41")
+    taken, text = 1_572_768_359, "2019:11:03 08:05:59"
+    whole = jpeg("Leica", "Q2", text)
     root = tree("r", {
-        "full.jpg": full,
-        "big.JPEG": jpeg("SONY", "ILCE-7M4", "2026:04:28 17:21:41", order=">", before=APP0),
-        "make.jpg": jpeg("GoPro", "H12"),
-        "date.jpg": jpeg(date="2026:04:28 17:21:41"),
-        "blank.jpg": jpeg("   ", "\0\0"),
-        "bad_date.jpe": jpeg("Canon", date="not-a-real-timestamp"),
-        "plain.jpg": b"\xff\xd8" + APP0 + b"\xff\xda\0\2pixels\xff\xd9",
-        "other_suffix.raw": full,
-        "empty.jpg": b"",
-        "noise.jpg": b"\xff" * 1024,
-        "zeros.jpg": b"\xff\xd8" + b"\0" * 2048,
-        "png.jpg": b"\x89PNG\r\n\x1a\n" + b"\0" * 100,
-        "text.jpg": b"hello world",
-        "broken.jpg": b"\xff\xd8\xff\xe0this is not a valid jpeg",
-        **{f"cut{n}.jpg": full[:n] for n in range(2, 70, 7)},
+        "whole.jpg": whole,
+        "other_order.JPEG": jpeg("Leica", "Q2", text, order=">", before=APP0),
+        "no_date.jpg": jpeg("Leica", "Q2"),
+        "date_alone.jpg": jpeg(date=text),
+        "nothing_left.jpg": jpeg(" \t", "\0"),
+        "odd_date.jpe": jpeg("Ricoh", date="yesterday at noon"),
+        "no_exif.jpg": b"\xff\xd8" + APP0 + b"\xff\xda\0\2pixels\xff\xd9",
+        "not_looked_at.tif": whole,
+        "nil.jpg": b"",
+        "letters.jpg": b"GIF89a but not really",
+        "segment_of_0.jpg": b"\xff\xd8\xff\xe1\0\0" + b"Exif\0\0" * 40,
+        "segment_of_1.jpg": b"\xff\xd8\xff\xe0\0\1" + whole,
+        "long_segment.jpg": b"\xff\xd8\xff\xe1\xff\xffExif\0\0II",
+        **{f"front_{n}.jpg": whole[:n] for n in (1, 3, 5, 11, 17, 23, 31, 44)},
     })
-    rows = {r["path"]: tuple(r)[1:] for r in read_exif(read_listing(spark, root), root, partitions=2).collect()}
-    taken = 1777396901
-    cut = {p for p in rows if p.startswith("cut")}
-    assert {p: v for p, v in rows.items() if p not in cut} == {
-        "full.jpg": (taken, "SONY", "ILCE-7M4"),
-        "big.JPEG": (taken, "SONY", "ILCE-7M4"),
-        "make.jpg": (None, "GoPro", "H12"),
-        "date.jpg": (taken, None, None),
-        "bad_date.jpe": (None, "Canon", None),
+    rows = {r["path"]: tuple(r)[1:] for r in read_exif(read_listing(spark, root), root).collect()}
+    assert rows == {
+        "whole.jpg": (taken, "Leica", "Q2"),
+        "other_order.JPEG": (taken, "Leica", "Q2"),
+        "no_date.jpg": (None, "Leica", "Q2"),
+        "date_alone.jpg": (taken, None, None),
+        "odd_date.jpe": (None, "Ricoh", None),
     }
-    assert not cut

@@ -96,12 +96,12 @@ def test_incomplete_scan_is_never_used(work, tree, monkeypatch):
 def test_hash_resume_and_duplicates(work, tree):
     root = tree("card", {"a": b"abc", "b": b"abc", "c": b"longer text"})
     work.scan(root, "card")
-    first = work.hash("card", partitions=2)
+    first = work.hash("card")
     assert (first["candidates"], first["skipped"], first["hashed"], first["bytes_read"]) == (2, 0, 2, 6)
-    again = work.hash("card", partitions=2)
+    again = work.hash("card")
     assert (again["hashed"], again["skipped"]) == (0, 2)
-    assert work.hash("card", only_collisions=False, sample_size=2, partitions=2)["bytes_read"] == 6
-    assert work.hash("card", resume=False, partitions=2)["hashed"] == 2
+    assert work.hash("card", only_collisions=False, sample_size=2)["bytes_read"] == 6
+    assert work.hash("card", resume=False)["hashed"] == 2
     pairs = {(r["path_a"], r["path_b"], r["sample_size"], r["confidence"]) for r in work.duplicates("card").collect()}
     assert pairs == {("a", "b", 0, "certain"), ("a", "b", 2, "tentative")}
     with pytest.raises(ValueError):
