@@ -41,7 +41,9 @@ FREQUENT = 4096
 #: Bytes of texts whose anchors, and of runs, that a task gathers before it sends them.
 TEXT_AT_ONCE, RUNS_AT_ONCE = 48 << 20, 24 << 20
 #: Symbols sorted at once; all runs of an anchor are sorted together.
-SORTED_AT_ONCE = 1 << 20
+SORTED_AT_ONCE = 1 << 16
+#: Bytes of texts looked at together: hashes of so many stay in the processor's cache.
+SLICE = 1 << 18
 #: Unknown ids come before all others.
 UNKNOWN = -(1 << 63)
 
@@ -144,7 +146,7 @@ def _counted_anchors(batches: Iterator[pa.RecordBatch], least: int, parts: int)
         anchor, count = np.unique(np.concatenate(held), return_counts=True)
         yield from _packed(part_of(anchor, parts), parts, [anchor, count.astype(np.uint64)], None)
 
-    for part in slices(batches):
+    for part in slices(batches, SLICE):
         runs = find_runs(part.column("text"), least)
         held.append(runs.anchor)
         size += len(runs.data)
@@ -218,7 +220,7 @@ def _sent_runs(batches: Iterator[pa.RecordBatch], least: int, parts: int, anchor
         columns = [group, doc.astype(np.int64).view(np.uint64), offset.astype(np.uint64), more.astype(np.uint64), length.astype(np.uint64)]
         yield from _packed(part_of(group, parts), parts, columns, list(held))
 
-    for part in slices(batches):
+    for part in slices(batches, SLICE):
         pieces = Pieces(part.column("text"), least, anchors)
         if not len(pieces.start):
             continue
@@ -291,13 +293,19 @@ def _verdicts(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Reco
     group, doc, offset, more = (np.array(c) for c in zip(*held.values(), strict=True))
     held.clear()
     order = np.argsort(group.astype(np.uint64), kind="stable")
-    sizes = np.fromiter((len(b) + 1 for b in bodies), np.int64, len(bodies))[order]
     new = np.concatenate([[True], np.diff(group[order].astype(np.uint64)) != 0])
+    # A run has its anchor once, so its own windows differ, and one that is alone under its anchor has nothing to be compared with.
+    alone = (np.bincount(np.cumsum(new) - 1) == 1)[np.cumsum(new) - 1]
+    lone, order, new = order[alone], order[~alone], new[~alone]
+    sizes = np.fromiter((len(bodies[i]) + 1 for i in order.tolist()), np.int64, len(order))
     at = np.cumsum(sizes) - sizes
     share = (at[new] // SORTED_AT_ONCE)[np.cumsum(new) - 1]  # groups whole
-    for cut in np.split(order, np.nonzero(np.diff(share))[0] + 1):
+    none = np.zeros(1, bool)
+    shares = [(cut, True) for cut in np.split(order, np.nonzero(np.diff(share))[0] + 1) if len(cut)]
+    shares += [(cut, False) for cut in np.array_split(lone, len(lone) // 10_000 + 1) if len(cut)]
+    for cut, together in shares:
         own = [bodies[i] for i in cut.tolist()]
-        gone = _judged(own, doc[cut].astype(np.int64), offset[cut].astype(np.int64), least)
+        gone = _judged(own, doc[cut].astype(np.int64), offset[cut].astype(np.int64), least) if together else [none] * len(own)
         kept = [k for k, g in enumerate(gone) if more[cut[k]] or g.any()]
         if kept:
             digests = np.frombuffer(b"".join([xxhash.xxh3_128_digest(own[k]) for k in kept]), ">u8").reshape(-1, 2)
@@ -409,7 +417,7 @@ def suffix_dedup(
     anchors, verdicts = _looked_up(rows, least)
 
     def answer(batches):
-        for part in slices(batches):
+        for part in slices(batches, SLICE):
             pieces, gone = _marked(part, least, anchors, verdicts)
             yield _answer(part, pieces, whole_characters(pieces.data, gone) if characters else gone)
 
@@ -421,7 +429,7 @@ def without_repeats(docs: DataFrame, least: int = 100, id_col: str = "doc_id", t
     anchors, verdicts = _looked_up(texts(docs, id_col, text_col), least)
 
     def cut(batches):
-        for part in slices(batches, column=text_col):
+        for part in slices(batches, SLICE, text_col):
             own = pa.RecordBatch.from_arrays(
                 [part.column(id_col).cast(pa.int64()), part.column(text_col).cast(pa.string())], names=["doc_id", "text"]
             )
