@@ -6,6 +6,7 @@ from .byte_bpe import op8_byte_bpe
 from .language_model import op3_kneser_ney
 from .mixing import op7_mixing
 from .near_dedup import op4_near_duplicates
+from .oracle import ORACLE
 from .phrase_fingerprint import op5_phrase_fingerprints
 from .repetition import op1_suffix_repetition
 from .sharding import op2_feistel_shards
@@ -26,4 +27,4 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES"]

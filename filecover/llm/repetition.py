@@ -186,4 +186,4 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
 
 def op1_suffix_repetition(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return repetition(docs).drop("spans")
+    return repetition(docs).drop("n_covered_words", "longest_repeat", "spans")
