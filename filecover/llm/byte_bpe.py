@@ -26,8 +26,9 @@ from pyspark.sql import DataFrame
 
 from .common import per_worker, slices, texts
 
-#: Pieces and neighbours a worker remembers; beyond, it forgets all and starts anew.
-REMEMBERED = 600_000
+#: Pieces and neighbours a task remembers (beyond, it forgets all and starts anew), and bytes of texts at once.
+REMEMBERED = 250_000
+SLICE = 1 << 20
 #: Rank of two neighbours that never merge.
 NEVER = 1 << 40
 SCHEMA = "doc_id long, ids binary, decoded binary"
@@ -125,6 +126,10 @@ class ByteBPE:
             self._pieces[piece] = ids
         return ids
 
+    def forget(self) -> None:
+        """Pieces of one task are of little use to the next, and the worker lives on."""
+        self._pieces.clear()
+
     def encode(self, text: str) -> bytes:
         """Ids of a text, as little-endian unsigned 32-bit integers."""
         known, make = self._pieces.get, self._piece
@@ -142,9 +147,10 @@ def encoder(path: str, pattern: str) -> ByteBPE:
 def _mapped(docs: DataFrame, path: str, pattern: str, schema: str, columns) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path, pattern)
-        for part in slices(batches):
+        for part in slices(batches, SLICE):
             ids = [bpe.encode(t) if t else b"" for t in part.column("text").to_pylist()]
             yield columns(part.column("doc_id"), ids, (bpe.decode(i) for i in ids))
+        bpe.forget()
 
     return docs.mapInArrow(work, schema)
 

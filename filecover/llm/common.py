@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import suppress
 from functools import lru_cache
 from urllib.parse import unquote, urlparse
 
@@ -106,6 +108,14 @@ def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE_BYTES, column: s
             end = max(start + 1, int(np.searchsorted(at, base + size, side="right")))
             yield batch.slice(start, end - start)
             start = end
+    hand_back()
+
+
+def hand_back() -> None:
+    """Return memory that is no longer used to the system: workers live on, and others share the executor's memory."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # only where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def large(text: pa.Array) -> pa.Array:

@@ -34,6 +34,8 @@ from .common import Words, joined, large, mixed, per_worker, slices, texts, writ
 from .hash_store import write_store
 
 _FIXED_SEED = 20_240_501
+#: Bytes of texts worked on at once.
+SLICE = 1 << 20
 #: Classes of a group compared in one block, pairs at once, and shingles at once.
 BLOCK, PAIRS_AT_ONCE, COLUMNS = 1024, 1 << 17, 2048
 
@@ -99,7 +101,7 @@ def signatures(shingles: np.ndarray, sizes: np.ndarray, count: int) -> np.ndarra
 
 
 def _classed(batches: Iterator[pa.RecordBatch], width: int, count: int) -> Iterator[pa.RecordBatch]:
-    for part in slices(batches):
+    for part in slices(batches, SLICE):
         shingles, sizes = shingle_sets(part.column("text"), width)
         key, check = digests(shingles, sizes)
         signs = signatures(shingles, sizes, count)
@@ -161,7 +163,7 @@ def _texts_of(wanted: DataFrame, rows: DataFrame, classes: DataFrame, width: int
     store = write_store(known.select("key", F.coalesce("rep", F.lit(0)).alias("rep")), "wanted")
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, SLICE):
             key, _ = digests(*shingle_sets(part.column("text"), width))
             there, values, _ = store.find(key)
             own = pc.fill_null(part.column("doc_id"), 0).to_numpy(zero_copy_only=False)
@@ -178,7 +180,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, width: int,
     """Pairs whose full sets reach the threshold."""
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, column="ta"):
+        for batch in slices(batches, SLICE, "ta"):
             sides = [shingle_sets(batch.column(c), width) for c in ("ta", "tb")]
             row = [np.repeat(np.arange(batch.num_rows), sizes) for _, sizes in sides]
             both = np.concatenate([s for s, _ in sides])
@@ -266,7 +268,7 @@ def _grouped(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[tu
     def merged() -> Members:
         return Members(*(np.concatenate([getattr(m, f) for m in held]) for f in Members.__dataclass_fields__))
 
-    for part in slices(batches):
+    for part in slices(batches, SLICE):
         shingles, sizes = shingle_sets(part.column("text"), width)
         ends = np.cumsum(sizes)
         head, i, j, key, root, block = (

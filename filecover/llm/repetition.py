@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 
 from .common import Words, large, slices, texts
 
+#: Bytes of texts whose suffixes are sorted together.
+SLICE = 1 << 20
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 SCHEMA = (
@@ -165,7 +167,7 @@ def repetition(
     """
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, SLICE):
             yield _judged(part, min_words, max_covered, max_longest)
 
     return texts(docs, id_col, text_col).mapInArrow(judge, SCHEMA)
@@ -176,7 +178,7 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     judged = {"min_words": 6, "max_covered": 0.3, "max_longest": 100} | limits
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, column=text_col):
+        for part in slices(batches, SLICE, text_col):
             own = pa.RecordBatch.from_arrays([part.column(id_col), part.column(text_col)], names=["doc_id", "text"])
             verdict = _judged(own, judged["min_words"], judged["max_covered"], judged["max_longest"])
             yield part.filter(verdict.column("kept"))
