@@ -391,11 +391,27 @@ def near_duplicates(
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
     """The rows of `docs`, with all their columns, that `near_duplicates` keeps; of equal rows one stays."""
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **parameters).where("kept")
-    kept = written(found.select(F.col("doc_id").alias("__near_kept")).distinct(), "kept")
-    rows = docs.join(kept, docs[id_col].cast("long").eqNullSafe(kept["__near_kept"]), "left_semi")
-    same = rows.withColumn("__near_text", F.xxhash64(text_col))
-    return same.dropDuplicates([id_col, "__near_text"]).drop("__near_text")
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **parameters)
+    ids = written(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("kept")).where("kept"), "kept")
+    store = write_store(ids.where("doc_id is not null").select(F.col("doc_id").alias("key"), (F.col("n") > 1).cast("long").alias("again")), "kept")
+    unknown = not ids.where("doc_id is null").isEmpty()
+
+    def rows(again: int) -> DataFrame:
+        """Kept rows whose id occurs once, or more often; those of unknown ids are among the latter."""
+
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                own = batch.column(id_col).cast(pa.int64())
+                there, values, _ = store.find(pc.fill_null(own, 0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+                null = pc.is_null(own).to_numpy(zero_copy_only=False)
+                chosen = np.where(null, unknown and again == 1, there & (values[:, 0] == again))
+                yield batch.filter(pa.array(chosen))
+
+        return docs.mapInArrow(keep, docs.schema)
+
+    # Texts are filtered where they are read; only rows of repeated ids are shuffled, to keep one of those that are equal.
+    same = rows(1).withColumn("__near_text", F.xxhash64(text_col)).dropDuplicates([id_col, "__near_text"]).drop("__near_text")
+    return rows(0).unionByName(same)
 
 
 def op4_near_duplicates(spark, sf_dir: str) -> DataFrame:
