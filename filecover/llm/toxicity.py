@@ -1,8 +1,8 @@
 """Toxicity by weak supervision: lexicon and pattern voters, a generative label model, a linear classifier.
 
 1. Lexicons. Document frequencies of words and of word beginnings (4 to 6 letters) in labelled toxic and clean
-   texts; a term that at least `TERM_SHARE` of the toxic texts hold and that is far likelier there joins a lexicon.
-   All labelled training rows count, texts that repeat once.
+   texts; a term that is far likelier in toxic texts, and surely so, joins a lexicon.
+   All labelled training rows count; a group of near copies counts once, so a text that is copied often raises no bar for others.
 2. Voters. Lexicons by kind and length, split further by hash, say toxic or nothing; others look at how many
    terms a text holds, at its punctuation and capitals, or say clean where no term occurs.
 3. Label model. The votes of all training rows, labelled or not, are counted by pattern. Expectation-maximisation
@@ -12,14 +12,15 @@
 4. Classifier. Logistic regression on the terms and measures of at most `FIT_ROWS` training rows (a hash of the id
    selects them), whose targets are the label model's posteriors.
 
-Labels are looked up by id in a mapped table, so texts are never shuffled. What the driver holds is bounded: `TERMS` terms,
-vote patterns (3 to the number of voters at most), and `FIT_ROWS` sparse rows.
+Labels are looked up by id in a mapped table, so texts aren't shuffled but for labelled ones that near-duplicate detection has to verify. The
+lexicon is a mapped table too. What the driver holds is bounded: vote patterns (3 to the number of voters at most), and
+`FIT_ROWS` sparse rows with the weights of their terms.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -31,9 +32,10 @@ from pyspark.sql import functions as F
 
 from .common import Words, crc_rest, large, slices, texts, written
 from .hash_store import HashStore, write_store
+from .near_dedup import near_duplicates
 
-#: Share of toxic training texts that must hold a term, and the least number of them.
-TERM_SHARE, TERM_TEXTS = 0.01, 3
+#: The least number of toxic training texts that must hold a term; near copies count once.
+TERM_TEXTS = 3
 #: How much likelier (natural log) a term must be in toxic texts, and how sure that is (log-likelihood ratio).
 TERM_ODDS, TERM_SURE = 4.0, 20.0
 #: Terms the lexicons hold at most: those in most toxic texts.
@@ -73,59 +75,47 @@ class Terms:
         real = ids >= 0
         self.ids, self.doc = ids[real], found.doc[real]
 
-    def texts_per_term(self) -> dict[str, int]:
-        """Texts that hold each term."""
-        table = terms_of(self.words)
-        names = sorted({t for row in table for t in row})
-        number = {t: i for i, t in enumerate(names)}
-        width = 1 + len(BEGINNINGS)
-        codes = np.full((len(table), width), -1, np.int64)
-        for i, row in enumerate(table):
-            codes[i, : len(row)] = [number[t] for t in row]
-        pairs = np.unique(self.doc * (len(self.words) + 1) + self.ids)
-        doc, word = pairs // (len(self.words) + 1), pairs % (len(self.words) + 1)
-        of = codes[word] if len(word) else np.zeros((0, width), np.int64)
-        keys = np.unique((doc[:, None] * (len(names) + 1) + of)[of >= 0]) % (len(names) + 1)
-        counts = np.bincount(keys, minlength=len(names))
-        return {t: int(c) for t, c in zip(names, counts, strict=True) if c}
-
-
-@dataclass
+    def named(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all terms, in order; and per word the places of its terms there (-1: none), by kind of term."""
+        known: dict[str, int] = {}
+        found = np.full((len(self.words), 1 + len(BEGINNINGS)), -1, np.int64)
+        for i, row in enumerate(terms_of(self.words)):
+            for k, t in enumerate(row):
+                found[i, k] = known.setdefault(t, len(known))
+        hashes, place = np.unique(np.fromiter(map(term_hash, known), np.uint64, len(known)), return_inverse=True)
+        return hashes, np.where(found >= 0, place[found], -1) if len(known) else found
+
+    def pairs(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(text, place of a term it holds), distinct and in order."""
+        words = len(self.words) + 1
+        held = np.unique(self.doc * words + self.ids)
+        of = codes[held % words]
+        real, size = of >= 0, int(codes.max(initial=0)) + 1
+        both = np.unique(((held // words)[:, None] * size + of)[real])
+        return both // size, both % size
+
+
+@dataclass(frozen=True)
 class Lexicon:
-    """Terms with their hashes in order, and the voter of each."""
-
-    terms: list[str] = field(default_factory=list)
-
-    def __post_init__(self):
-        self.terms = sorted(self.terms, key=term_hash)
-        self.hashes = np.array([term_hash(t) for t in self.terms], np.uint64)
-        kinds = {f"{n}:": 3 + k for k, n in enumerate(BEGINNINGS)}
-        self.voter = np.array([kinds.get(t[:2], term_hash(t) % 3) for t in self.terms], np.int64)
-
-    def hits(self, terms: Terms) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, term number) pairs, distinct; and words that are or begin with a term, per text."""
-        rows, numbers = [], []
-        known = {t: i for i, t in enumerate(self.terms)}
-        for i, row in enumerate(terms_of(terms.words)):
-            for t in row:
-                if t in known:
-                    rows.append(i)
-                    numbers.append(known[t])
-        per_text = np.zeros(len(terms.n), np.int64)
-        if not rows:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), per_text
-        word, term = np.array(rows), np.array(numbers)
-        hit = np.zeros(len(terms.words) + 1, bool)
-        hit[word] = True
-        own = hit[terms.ids]
-        per_text = np.bincount(terms.doc[own], minlength=len(terms.n))
-        pairs = np.unique(terms.doc[own] * len(hit) + terms.ids[own])
-        doc, held = pairs // len(hit), pairs % len(hit)
-        first, last = np.searchsorted(word, held), np.searchsorted(word, held, side="right")
-        times = last - first
-        at = np.repeat(first, times) + np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
-        both = np.unique(np.repeat(doc, times) * len(self.terms) + term[at])
-        return both // len(self.terms), both % len(self.terms), per_text
+    """Hashes of terms, in a table that workers map."""
+
+    store: HashStore
+
+    def hits(self, terms: Terms) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, hash of a term it holds), distinct; words that are or begin with a term, and bits of the voters of terms, per text."""
+        hashes, codes = terms.named()
+        there, _, _ = self.store.find(hashes)
+        codes = np.where((codes >= 0) & np.append(there, False)[codes], codes, -1)
+        doc, code = terms.pairs(codes)
+        hit = (codes >= 0).any(axis=1)
+        per_text = np.bincount(terms.doc[hit[terms.ids]], minlength=len(terms.n))
+        voters = np.where(codes >= 0, np.arange(codes.shape[1]) + 2, -1)
+        word = codes[:, 0] >= 0
+        voters[word, 0] = hashes[codes[word, 0]] % np.uint64(3)
+        bits = np.where(voters >= 0, 1 << np.maximum(voters, 0), 0).sum(axis=1)
+        votes = np.zeros(len(terms.n), np.int64)
+        np.bitwise_or.at(votes, terms.doc[hit[terms.ids]], bits[terms.ids[hit[terms.ids]]])
+        return doc, hashes[code], per_text, votes
 
 
 def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -140,99 +130,132 @@ def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-def _rows_with(batches: Iterator[pa.RecordBatch], labels: HashStore, wanted: int) -> Iterator[Terms]:
-    """Terms of the texts whose label is `wanted`."""
-    for part in slices(batches):
-        ids = pc.fill_null(part.column("doc_id"), -(1 << 63)).to_numpy(zero_copy_only=False)
-        there, values, _ = labels.find(ids.astype(np.int64).view(np.uint64))
-        chosen = np.nonzero(there & (values[:, 0] == wanted))[0]
-        if len(chosen):
-            yield Terms(part.column("text").take(pa.array(chosen)))
-
-
-def _counted(found: Iterator[Terms], among: frozenset | None) -> Iterator[pa.RecordBatch]:
-    totals: dict[str, int] = {}
-    rows = 0
-    for terms in found:
-        rows += len(terms.n)
-        for term, count in terms.texts_per_term().items():
-            if among is None or term in among:
-                totals[term] = totals.get(term, 0) + count
-        if len(totals) > 1_000_000:
-            yield _counts(totals)
-            totals = {}
-    totals[""] = rows  # the number of texts
-    yield _counts(totals)
-
-
-def _counts(totals: dict[str, int]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(totals.keys(), pa.string()), pa.array(totals.values(), pa.int64())], names=["term", "texts"]
-    )
+def _with_labels(rows: DataFrame, labels: HashStore) -> DataFrame:
+    """(doc_id, toxic, text) of the rows that have a label, written: several scans follow."""
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            ids = pc.fill_null(part.column("doc_id"), -(1 << 63)).to_numpy(zero_copy_only=False)
+            there, values, _ = labels.find(ids.astype(np.int64).view(np.uint64))
+            chosen = pa.array(np.nonzero(there)[0])
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id").take(chosen), pa.array(values[:, 0]).take(chosen), part.column("text").take(chosen)],
+                names=["doc_id", "toxic", "text"],
+            )
 
+    return written(rows.mapInArrow(pick, "doc_id long, toxic long, text string"), "labelled")
 
-def induce(rows: DataFrame, labels: HashStore) -> tuple[Lexicon, float]:
-    """The lexicon, and the share of toxic texts."""
 
-    def toxic(batches):
-        yield from _counted(_rows_with(batches, labels, 1), None)
+def _near_copies(known: DataFrame) -> tuple[HashStore, dict[int, int]]:
+    """The group of each labelled text that has near copies of its label, by id; and per label the groups, single texts included.
 
-    counts = rows.mapInArrow(toxic, "term string, texts long").groupBy("term").agg(F.sum("texts").alias("texts"))
-    counts = written(counts, "terms")
-    n_toxic = counts.where("term = ''").first()
-    n_toxic = n_toxic["texts"] if n_toxic else 0
-    least = max(TERM_TEXTS, TERM_SHARE * n_toxic)
-    held = counts.where(F.col("term") != "").where(F.col("texts") >= least).orderBy(F.desc("texts"), "term").limit(5 * TERMS)
-    in_toxic = {r.term: r.texts for r in held.collect()}
-    among = frozenset(in_toxic)
+    Near copies are texts whose sets of words are alike, in whatever order: the same words are counted in them.
+    """
+    sides = known.select("doc_id", "toxic").distinct()
+    found = near_duplicates(known, width=1, percent=80).groupBy("doc_id").agg(F.min("component_id").alias("group"))
+    placed = written(found.join(sides, "doc_id"), "groups")
+    sizes = placed.groupBy("toxic", "group").agg(F.count(F.lit(1)).alias("n"))
+    groups = {r.toxic: r.n for r in sizes.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    several = placed.join(sizes.where("n > 1"), ["toxic", "group"]).select(F.col("doc_id").alias("key"), "group")
+    return write_store(several, "groups"), groups
+
+
+COUNTS = "term long, toxic long, own long, texts long"
+
+
+def _counted(batches: Iterator[pa.RecordBatch], groups: HashStore) -> Iterator[pa.RecordBatch]:
+    """Texts without near copies that hold a term, by label; and the terms of each group (`own`), again for each slice."""
+    held: dict[int, list] = {0: [], 1: []}
+    waiting = 0
 
-    def clean(batches):
-        yield from _counted(_rows_with(batches, labels, 0), among)
+    def totals() -> Iterator[pa.RecordBatch]:
+        for side, parts in held.items():
+            if parts:
+                terms, back = np.unique(np.concatenate([t for t, _ in parts]), return_inverse=True)
+                texts_ = np.bincount(back, weights=np.concatenate([c for _, c in parts])).astype(np.int64)
+                yield _counts(terms, side, None, texts_)
+            parts.clear()
+
+    for part in slices(batches):
+        terms = Terms(part.column("text"))
+        toxic = part.column("toxic").to_numpy(zero_copy_only=False)
+        there, values, _ = groups.find(part.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+        hashes, codes = terms.named()
+        doc, code = terms.pairs(codes)
+        for side in (0, 1):
+            mine = toxic[doc] == side
+            times = np.bincount(code[mine & ~there[doc]], minlength=len(hashes))
+            held[side].append((hashes[times > 0], times[times > 0]))
+            waiting += int((times > 0).sum())
+            both = mine & there[doc]
+            if both.any():
+                own, at = np.unique(np.stack([values[doc[both], 0], code[both]]), axis=1)
+                yield _counts(hashes[at], side, own, np.ones(len(at), np.int64))
+        if waiting > 2_000_000:
+            yield from totals()
+            waiting = 0
+    yield from totals()
+
+
+def _counts(terms: np.ndarray, side: int, own: np.ndarray | None, texts_: np.ndarray) -> pa.RecordBatch:
+    group = pa.nulls(len(terms), pa.int64()) if own is None else pa.array(own)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(terms.view(np.int64)), pa.array(np.full(len(terms), side, np.int64)), group, pa.array(texts_)],
+        names=["term", "toxic", "own", "texts"],
+    )
 
-    found = rows.mapInArrow(clean, "term string, texts long").groupBy("term").agg(F.sum("texts").alias("texts"))
-    in_clean = {r.term: r.texts for r in found.collect()}  # `among` at most, and one
-    n_clean = in_clean.get("", 0)
 
-    def odds(term: str) -> float:
-        share = (in_toxic[term] + 0.5) / (n_toxic + 1), (in_clean.get(term, 0) + 0.5) / (n_clean + 1)
-        return float(np.log(share[0] / share[1]))
+def induce(known: DataFrame) -> Lexicon:
+    """The lexicon of labelled texts (doc_id, toxic, text). A group of near copies counts once, for every term that any of them holds."""
+    store, groups = _near_copies(known)
+    n_toxic, n_clean = groups.get(1, 0), groups.get(0, 0)
 
-    def sure(term: str) -> float:
-        held = np.array([in_toxic[term], in_clean.get(term, 0)], float)
-        sizes = np.array([n_toxic, n_clean], float)
-        cells = np.stack([held, np.maximum(sizes - held, 0)])
-        even = cells.sum(axis=1, keepdims=True) * sizes / sizes.sum()
-        return float(2 * (cells * np.log(np.where(cells > 0, cells, 1) / np.where(cells > 0, even, 1))).sum())
+    def count(batches):
+        yield from _counted(batches, store)
 
-    good = sorted((t for t in among if odds(t) >= TERM_ODDS and sure(t) >= TERM_SURE), key=lambda t: (-in_toxic[t], t))[:TERMS]
-    return Lexicon(good), n_toxic / max(1, n_toxic + n_clean)
+    side = lambda t: F.sum(F.when(F.col("toxic") == t, F.col("texts")).otherwise(0))
+    counts = (
+        known.mapInArrow(count, COUNTS).groupBy("term", "toxic", "own").agg(F.sum("texts").alias("texts"))
+        .withColumn("texts", F.when(F.col("own").isNull(), F.col("texts")).otherwise(1))
+        .groupBy("term").agg(side(1).alias("bad"), side(0).alias("good"))
+        .where(F.col("bad") >= TERM_TEXTS).orderBy(F.desc("bad"), "term").limit(5 * TERMS)
+    )
+    odds = F.log((F.col("bad") + 0.5) / (n_toxic + 1.0)) - F.log((F.col("good") + 0.5) / (n_clean + 1.0))
+    every = float(max(1, n_toxic + n_clean))
+    sure = F.lit(0.0)
+    with_term = F.col("bad") + F.col("good")
+    for n, column in ((n_toxic, F.col("bad")), (n_clean, F.col("good"))):
+        for cell, row in ((column, with_term), (n - column, every - with_term)):
+            sure += F.when(cell > 0, 2 * cell * F.log(cell * every / (row * float(n)))).otherwise(0.0)
+    good = counts.where(odds >= TERM_ODDS).where(sure >= TERM_SURE).orderBy(F.desc("bad"), "term").limit(TERMS)
+    return Lexicon(write_store(written(good.select(F.col("term").alias("key"), F.col("bad").alias("texts")), "lexicon"), "lexicon"))
 
 
-FEATURES = "doc_id long, held_out boolean, terms array<int>, n_words long, n_hits long, exclaims double, capitals double"
+FEATURES = "doc_id long, held_out boolean, terms array<long>, kinds long, n_words long, n_hits long, exclaims double, capitals double"
 
 
 def _features(batches: Iterator[pa.RecordBatch], lexicon: Lexicon) -> Iterator[pa.RecordBatch]:
     for part in slices(batches):
         text = large(part.column("text"))
         terms = Terms(text)
-        doc, term, hits = lexicon.hits(terms)
+        doc, term, hits, votes = lexicon.hits(terms)
         size = np.maximum(pc.binary_length(text).to_numpy(zero_copy_only=False), 1)
         exclaims = pc.count_substring(text, "!").to_numpy(zero_copy_only=False) / np.maximum(terms.n, 1)
         capitals = pc.count_substring_regex(text, "[A-Z]").to_numpy(zero_copy_only=False) / size
         ends = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=part.num_rows))]).astype(np.int32)
         yield pa.RecordBatch.from_arrays(
             [
-                part.column("doc_id"), part.column("held_out"), pa.ListArray.from_arrays(pa.array(ends), pa.array(term.astype(np.int32))),
-                pa.array(terms.n), pa.array(hits.astype(np.int64)), pa.array(exclaims.astype(float)), pa.array(capitals.astype(float)),
+                part.column("doc_id"), part.column("held_out"), pa.ListArray.from_arrays(pa.array(ends), pa.array(term.view(np.int64))),
+                pa.array(votes), pa.array(terms.n), pa.array(hits.astype(np.int64)), pa.array(exclaims.astype(float)), pa.array(capitals.astype(float)),
             ],
-            names=["doc_id", "held_out", "terms", "n_words", "n_hits", "exclaims", "capitals"],
+            names=["doc_id", "held_out", "terms", "kinds", "n_words", "n_hits", "exclaims", "capitals"],
         )
 
 
 class Measured:
     """Arrays of a batch of feature rows."""
 
-    def __init__(self, batch: pa.RecordBatch, lexicon: Lexicon):
+    def __init__(self, batch: pa.RecordBatch):
         lists = batch.column("terms")
         self.term = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
         per = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -242,8 +265,7 @@ class Measured:
         )
         self.measures = np.stack([per > 0, np.log1p(per), np.minimum(hits / np.maximum(words, 1), 1), np.minimum(exclaims, 1), capitals], axis=1)
         votes = np.zeros((len(per), len(VOTERS)), np.int8)
-        if len(self.term):
-            votes[self.row, lexicon.voter[self.term]] = 1
+        votes[:, :6] = batch.column("kinds").to_numpy(zero_copy_only=False)[:, None] >> np.arange(6) & 1
         votes[:, 6] = per >= 2
         votes[:, 7] = (hits >= 2) & (hits >= 0.02 * words)
         votes[:, 8] = np.where(per == 0, -1, 0)
@@ -326,31 +348,42 @@ class LabelModel:
 
 @dataclass
 class Linear:
-    """A logistic regression over terms and measures."""
+    """A logistic regression over terms (those of the rows it was fitted on, by hash in order) and measures."""
 
     bias: float
+    hashes: np.ndarray
     terms: np.ndarray
     measures: np.ndarray
 
     def score(self, rows: Measured) -> np.ndarray:
+        if not len(self.hashes) or not len(rows.term):
+            return self.at(rows, np.zeros(0, np.int64), np.zeros(0, np.int64))
+        place = np.minimum(np.searchsorted(self.hashes, rows.term), len(self.hashes) - 1)
+        known = self.hashes[place] == rows.term
+        return self.at(rows, rows.row[known], place[known])
+
+    def at(self, rows: Measured, row: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Scores where the terms at `place` stand in the texts `row`."""
         odds = self.bias + rows.measures @ self.measures
-        if len(rows.term):
-            odds += np.bincount(rows.row, weights=self.terms[rows.term], minlength=len(odds))
+        if len(row):
+            odds += np.bincount(row, weights=self.terms[place], minlength=len(odds))
         return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
 
-def fit_linear(rows: Measured, target: np.ndarray, n_terms: int, share: float, steps: int = 400, rate: float = 0.1) -> Linear:
+def fit_linear(rows: Measured, target: np.ndarray, share: float, steps: int = 400, rate: float = 0.1) -> Linear:
     """Gradient steps with momentum and running scales; a slight pull of the weights to 0."""
     n = max(1, len(target))
-    model = Linear(float(np.log(share / (1 - share))), np.zeros(n_terms), np.zeros(len(MEASURES)))
+    hashes, place = np.unique(rows.term, return_inverse=True)
+    n_terms = len(hashes)
+    model = Linear(float(np.log(share / (1 - share))), hashes, np.zeros(n_terms), np.zeros(len(MEASURES)))
     if not len(target):
         return model
     state = [np.zeros((2, size)) for size in (1, n_terms, len(MEASURES))]
     for step in range(1, steps + 1):
-        wrong = model.score(rows) - target
+        wrong = model.at(rows, rows.row, place) - target
         slopes = [
             np.array([wrong.sum() / n]),
-            np.bincount(rows.term, weights=wrong[rows.row], minlength=n_terms) / n + 1e-5 * model.terms,
+            np.bincount(place, weights=wrong[rows.row], minlength=n_terms) / n + 1e-5 * model.terms,
             rows.measures.T @ wrong / n + 1e-5 * model.measures,
         ]
         moves = []
@@ -372,8 +405,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_co
     toxic labels there are no terms, and every text scores low.
     """
     rows = texts(docs, id_col, text_col)
-    store = write_store(written(_labelled(rows, labels), "labels"), "labels")
-    lexicon, share = induce(rows, store)
+    truth = written(_labelled(rows, labels), "labels")
+    n_texts, n_toxic = truth.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    share = n_toxic / max(1, n_texts)
+    lexicon = induce(_with_labels(rows, write_store(truth, "labels")))
 
     def measure(batches):
         yield from _features(batches, lexicon)
@@ -384,7 +419,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_co
 
     def vote(batches):
         for batch in batches:
-            votes = Measured(batch, lexicon).votes
+            votes = Measured(batch).votes
             packed, count = np.unique(votes, axis=0, return_counts=True)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([v.tobytes() for v in packed], pa.binary()), pa.array(count.astype(np.int64))], names=["votes", "texts"]
@@ -401,12 +436,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_co
     chosen = training.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * fraction))
     table = chosen.orderBy("doc_id").toArrow().combine_chunks()
     sample = table.to_batches()[0] if table.num_rows else pa.RecordBatch.from_pylist([], schema=table.schema)
-    measured = Measured(sample, lexicon)
-    linear = fit_linear(measured, model.posterior(measured.votes), len(lexicon.terms), model.share)
+    measured = Measured(sample)
+    linear = fit_linear(measured, model.posterior(measured.votes), model.share)
 
     def score(batches):
         for batch in batches:
-            found = Measured(batch, lexicon)
+            found = Measured(batch)
             p = linear.score(found)
             yield pa.RecordBatch.from_arrays(
                 [

@@ -99,3 +99,23 @@ def test_toxicity_of_odd_rows(sample, nothing, spark):
     low = toxicity(docs, labels.where("false")).collect()
     assert len(low) == len(rows) and all(r.predicted == 0 for r in low)
     assert toxicity(nothing, labels).count() == 0
+
+
+def predicted(spark, docs, toxic, labelled=None):
+    """Texts by id, the ids of toxic ones, and of those with a label (all): the ids that are predicted as toxic."""
+    labels = spark.createDataFrame([(i, int(i in toxic)) for i in labelled or docs], "doc_id bigint, toxic int")
+    rows = toxicity(spark.createDataFrame(list(docs.items()), "doc_id bigint, text string").repartition(4), labels)
+    return {r.doc_id for r in rows.where("predicted = 1").collect()}
+
+
+def test_near_copies_of_one_text_hide_no_others(spark):
+    draw = random.Random(8)
+    common, bad = [f"w{i}" for i in range(300)], [f"x{i}z" for i in range(30)]
+    docs = {i: " ".join(draw.choices(common, k=30) + (draw.sample(bad, 4) if i < 150 else [])) for i in range(900)}
+    toxic = set(range(150))
+    copied = [f"y{i}z" for i in range(40)]
+    for i in range(1000, 5000):
+        docs[i] = " ".join(w for w in copied if draw.random() > 0.1)
+        toxic.add(i)
+    found = predicted(spark, docs, toxic)
+    assert len(found & set(range(150))) >= 145 and len(found & set(range(150, 900))) <= 5
