@@ -1,7 +1,7 @@
 """Toxicity by weak supervision: lexicon and pattern voters, a generative label model, a linear classifier.
 
 1. Lexicons. Document frequencies of words and of word beginnings (4 to 6 letters) in labelled toxic and clean
-   texts; a term that is far likelier in toxic texts, and surely so, joins a lexicon.
+   texts; every term that is far likelier in toxic texts, and surely so, joins a lexicon, however rare it is.
    All labelled training rows count; a group of near copies counts once, so a text that is copied often raises no bar for others.
 2. Voters. Lexicons by kind and length, split further by hash, say toxic or nothing; others look at how many
    terms a text holds, at its punctuation and capitals, or say clean where no term occurs.
@@ -38,8 +38,6 @@ from .near_dedup import near_duplicates
 TERM_TEXTS = 3
 #: How much likelier (natural log) a term must be in toxic texts, and how sure that is (log-likelihood ratio).
 TERM_ODDS, TERM_SURE = 4.0, 20.0
-#: Terms the lexicons hold at most: those in most toxic texts.
-TERMS = 4000
 #: Rows the classifier is fitted on, at most (about: rows are selected by hash).
 FIT_ROWS = 50_000
 BEGINNINGS = (4, 5, 6)
@@ -218,7 +216,7 @@ def induce(known: DataFrame) -> Lexicon:
         known.mapInArrow(count, COUNTS).groupBy("term", "toxic", "own").agg(F.sum("texts").alias("texts"))
         .withColumn("texts", F.when(F.col("own").isNull(), F.col("texts")).otherwise(1))
         .groupBy("term").agg(side(1).alias("bad"), side(0).alias("good"))
-        .where(F.col("bad") >= TERM_TEXTS).orderBy(F.desc("bad"), "term").limit(5 * TERMS)
+        .where(F.col("bad") >= TERM_TEXTS)
     )
     odds = F.log((F.col("bad") + 0.5) / (n_toxic + 1.0)) - F.log((F.col("good") + 0.5) / (n_clean + 1.0))
     every = float(max(1, n_toxic + n_clean))
@@ -227,7 +225,7 @@ def induce(known: DataFrame) -> Lexicon:
     for n, column in ((n_toxic, F.col("bad")), (n_clean, F.col("good"))):
         for cell, row in ((column, with_term), (n - column, every - with_term)):
             sure += F.when(cell > 0, 2 * cell * F.log(cell * every / (row * float(n)))).otherwise(0.0)
-    good = counts.where(odds >= TERM_ODDS).where(sure >= TERM_SURE).orderBy(F.desc("bad"), "term").limit(TERMS)
+    good = counts.where(odds >= TERM_ODDS).where(sure >= TERM_SURE)
     return Lexicon(write_store(written(good.select(F.col("term").alias("key"), F.col("bad").alias("texts")), "lexicon"), "lexicon"))
 
 

@@ -119,3 +119,15 @@ def test_near_copies_of_one_text_hide_no_others(spark):
         toxic.add(i)
     found = predicted(spark, docs, toxic)
     assert len(found & set(range(150))) >= 145 and len(found & set(range(150, 900))) <= 5
+
+
+def test_rare_toxic_terms_behind_many_frequent_words(spark):
+    """24,000 words stand in more toxic texts than the toxic terms do."""
+    draw = random.Random(9)
+    letters = "abcdefghijklmnopqrst"
+    words = [a + b + c + d for a in letters for b in letters for c in letters for d in letters][::6][:24_000]
+    docs = {i: " ".join(draw.sample(words, 14_000) + (["zzz1", "zzz2"] if i < 15 else [])) for i in range(230)}
+    for i in range(300, 360):
+        docs[i] = " ".join([*draw.sample(words, 20), "zzz1", "zzz2"] if i < 312 else draw.sample(words, 20))
+    found = predicted(spark, docs, set(range(60)), range(230))
+    assert found >= set(range(300, 312)) and not found & set(range(312, 360))
