@@ -140,7 +140,8 @@ class WordEncoder:
 
     For tokenizers that drop white space and never look across it; ASCII letters are lowered first, as such
     a tokenizer does itself. A mark that ends a clause is taken off the letter before it: the tokenizer
-    splits there too, and fewer distinct words remain.
+    splits there too, and fewer distinct words remain. A text that may hold one of the tokenizer's added tokens
+    (case-sensitive, found before anything is lowered or split) goes to the library whole and as it is.
     """
 
     def __init__(self, path: str):
@@ -148,7 +149,9 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = list(self.tokenizer.get_added_tokens_decoder().values())
+        self.added = pc.ascii_lower(pa.array([t.content for t in added], pa.string())).to_pylist()
+        self.all_whole = any(t.normalized for t in added)  # looked for in the normalised text, unlike here
         vocab = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocab.values()) + 1, bool)  # ids that end a word
         self.closes[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
@@ -191,8 +194,23 @@ class WordEncoder:
 
     def encode(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and how many each text has."""
-        lowered = pc.replace_substring_regex(pc.ascii_lower(large(text)), r"([a-z0-9])([.,;:!?])", r"\1 \2")
-        words = Words(lowered)
+        text = large(text)
+        lowered = pc.ascii_lower(text)
+        whole = np.full(len(text), self.all_whole)
+        for content in self.added:
+            whole |= pc.match_substring(lowered, content).to_numpy(zero_copy_only=False)
+        if not whole.any():
+            return self._of_words(lowered)
+        flat, per_text = self._of_words(pc.if_else(pa.array(whole), pa.scalar("", pa.large_string()), lowered))
+        found = self.tokenizer.encode_batch_fast(text.filter(pa.array(whole)).to_pylist(), add_special_tokens=False)
+        sizes = np.fromiter((len(e.ids) for e in found), np.int64, len(found))
+        at = np.repeat(np.cumsum(per_text)[whole], sizes)
+        flat = np.insert(flat, at, np.fromiter((i for e in found for i in e.ids), np.uint32, len(at)))
+        per_text[whole] = sizes
+        return flat, per_text
+
+    def _of_words(self, lowered: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        words = Words(pc.replace_substring_regex(lowered, r"([a-z0-9])([.,;:!?])", r"\1 \2"))
         vocab = words.vocab.to_pylist()
         if len(self.place) + len(vocab) > REMEMBERED:
             self._forget()
@@ -203,7 +221,7 @@ class WordEncoder:
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
         take = np.repeat(self.starts[place] - (ends - sizes), sizes) + np.arange(total)
-        per_text = np.bincount(words.doc, weights=sizes, minlength=len(text)).astype(np.int64)
+        per_text = np.bincount(words.doc, weights=sizes, minlength=len(lowered)).astype(np.int64)
         return self.flat[take], per_text
 
 

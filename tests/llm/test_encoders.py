@@ -78,3 +78,18 @@ def test_files(sample, nothing, planes):
     files = write_tokens(docs, WORDS, 2, planes=planes, block=512)
     assert sorted(map(tuple, files.documents().collect()), key=lambda r: r[1]) == want
     assert write_tokens(nothing, WORDS, 2).documents().count() == 0
+
+
+def test_added_tokens_are_the_librarys(spark):
+    tokenizer = Tokenizer.from_file(WORDS)  # as it is loaded: it recognises its added tokens
+    texts = [
+        "before, plain. Words", "a<|endoftext|>b", "<|ENDOFTEXT|> stays text", "One, <|startoftext|>. Two <|endoftext|><|endoftext|>!",
+        "<|EndOfText|>x <|endoftext|>\u0301 E\u0301, <|endof text|>", "", "<|endoftext|>", "after: plain words <|other|>",
+    ]
+    want, at = [], 0
+    for doc, text in enumerate(texts):
+        ids = [*tokenizer.encode(text, add_special_tokens=False).ids, 2]
+        want.append((doc, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert sorted(map(tuple, write_tokens(docs, WORDS, 2).documents().collect())) == want
