@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.capture import clean_text, taken_at
 from ..functions.paths import absolute_path, wants_exif
 from .file_hash import spread_by_work
-from .listing import SKIPPED, require_root
+from .listing import SKIPPED, require_root, unescaped
 
 # Fixed values of the Exif and TIFF formats.
 MAKE, MODEL, EXIF_POINTER, DATE_TIME_ORIGINAL = 0x010F, 0x0110, 0x8769, 0x9003
@@ -111,7 +111,7 @@ def read_exif(files: DataFrame, root: str) -> DataFrame:
     def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def read(at: str) -> tuple:
             try:
-                with open(at, "rb") as f:
+                with open(unescaped(at), "rb") as f:
                     return exif_texts(f)
             except SKIPPED:
                 return None, None, None

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fingerprints import check_algorithm
 from ..functions.paths import absolute_path
-from .listing import SKIPPED, require_root
+from .listing import SKIPPED, require_root, unescaped
 
 CHUNK = 8 << 20
 FILES_PER_BATCH = 64
@@ -41,7 +41,7 @@ def hash_files(
             state = xxhash.xxh64() if algo == "xxh64" else hashlib.md5()
             left = sample_size or None
             try:
-                with open(at, "rb") as f:
+                with open(unescaped(at), "rb") as f:
                     while chunk := f.read(CHUNK if left is None else min(CHUNK, left)):
                         state.update(chunk)
                         left = left and left - len(chunk)

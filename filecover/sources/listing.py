@@ -5,6 +5,9 @@ job reads the directories of one level, dealt out to all tasks, and writes the e
 reads the directories found. So no branch, however deep or heavy, is one task's work, and a
 task holds one batch of entries of a directory, however large that is.
 
+A name that isn't UTF-8 keeps its row: each of its other bytes becomes a zero character and two hexadecimal digits, which no
+name on disk can hold, and `unescaped` gives the path to open.
+
 A directory or file that is gone by then or may not be read is left out. Every other failure, such as a missing
 mount on a worker, fails the listing: a listing with gaps would let an audit report files as lost or covered.
 """
@@ -12,6 +15,7 @@ mount on a worker, fails the listing: a listing with gaps would let an audit rep
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -29,6 +33,16 @@ SKIPPED = (PermissionError, FileNotFoundError, NotADirectoryError)
 ENTRY = "is_dir boolean, raw string, size bigint, mtime double"
 
 
+def escaped(name: str) -> str:
+    """A name as the system gives it, as text that any table can hold."""
+    return re.sub("[\udc80-\udcff]", lambda m: f"\0{ord(m[0]) - 0xDC00:02x}", name)
+
+
+def unescaped(path: str) -> str:
+    """The path to open for a path of a listing."""
+    return re.sub("\0([0-9a-f]{2})", lambda m: chr(0xDC00 + int(m[1], 16)), path)
+
+
 def require_root(root: str) -> None:
     """Called in tasks: a worker without the mount must not pass for an empty tree."""
     if not os.path.isdir(root):
@@ -37,7 +51,7 @@ def require_root(root: str) -> None:
 
 def entries_below(root: str, relative: str, links: bool, skip: tuple | None) -> Iterator[tuple]:
     """(is_dir, path below root, size, mtime) of one directory; ``skip``: real path and identity of one never to enter."""
-    directory = os.path.join(root, relative) if relative else root
+    directory = os.path.join(root, unescaped(relative)) if relative else root
     if skip is not None and _is_skipped(directory, skip):
         return
     front = relative + "/" if relative else ""
@@ -50,15 +64,14 @@ def entries_below(root: str, relative: str, links: bool, skip: tuple | None) ->
     with found:
         for entry in found:
             try:
-                path = front + entry.name
-                path.encode()
+                path = front + escaped(entry.name)
                 if entry.is_dir(follow_symlinks=False):
                     if entry.name not in SYSTEM_DIRS:
                         yield True, path, None, None
                 elif entry.is_file(follow_symlinks=links) and not _is_metadata(entry.name):
                     stat = entry.stat()
                     yield False, path, stat.st_size, stat.st_mtime
-            except (*SKIPPED, UnicodeEncodeError):
+            except SKIPPED:
                 continue
 
 

@@ -215,3 +215,21 @@ def test_exif(spark, tree):
         "date_alone.jpg": (taken, None, None),
         "odd_date.jpe": (None, "Ricoh", None),
     }
+
+
+def test_names_that_are_not_utf8(spark, tree):
+    import hashlib
+
+    from filecover.sources.listing import unescaped
+
+    root = tree("r", {"a/one": b"1"})
+    for name in (b"caf\xe9.txt", b"a/na\xefve/deep/\xff\xfe", b"e\xea\xcc\x81"):
+        at = os.path.join(os.fsencode(root), name)
+        os.makedirs(os.path.dirname(at), exist_ok=True)
+        with open(at, "wb") as f:
+            f.write(name)
+    files = read_listing(spark, root).cache()
+    names = {os.fsencode(unescaped(r["path_raw"] or r["path"])) for r in files.collect()}
+    assert names == {b"a/one", b"caf\xe9.txt", b"a/na\xefve/deep/\xff\xfe", b"e\xea\xcc\x81"}
+    hashes = {r["fingerprint"] for r in hash_files(files, root, algo="md5").collect()}
+    assert hashes == {hashlib.md5(x).hexdigest() for x in (names - {b"a/one"}) | {b"1"}}
