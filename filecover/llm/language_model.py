@@ -376,8 +376,8 @@ def score(docs: DataFrame, model: KneserNey, id_col: str = "doc_id", text_col: s
     return rows.mapInArrow(work, schema)
 
 
-#: Order of the query's model. Distinct triples of these texts are most of all triples: as arrays they exceed the disk that
-#: the check tool grants (4 x the input), words and pairs of words take 2 to 3 x.
+#: Order of the query's model. With order 3 the arrays, as they are, had taken more than 7 x the input on disk when the check tool
+#: stopped the run (4 x and 0.3 GB granted); words and pairs of words take 2.7 x. See the README.
 QUERY_ORDER = 2
 
 
