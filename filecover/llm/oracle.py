@@ -131,10 +131,62 @@ select doc_id, size, source_size, target,
        (epochs * size + greatest(0, least(size, budget - epochs * source_size - before)))::bigint as taken
 from cut"""
 
+VECTORS = """
+with recursive usable as (
+  select vec_id, embedding::double[] as e from embeddings
+  where len(embedding) > 0 and list_count(embedding) = len(embedding)
+    and len(list_filter(embedding, lambda x: not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pairs as (select x.vec_id as a, y.vec_id as b from usable x join usable y on x.vec_id < y.vec_id and list_cosine_similarity(x.e, y.e) >= 0.9),
+links as (select a, b from pairs union all select b, a from pairs),
+reach(a, b) as (select vec_id, vec_id from usable union select r.a, l.b from reach r join links l on l.a = r.b),
+least as (select a, min(b) as component_id from reach group by 1),
+many as (select a, count(*) as n from links group by 1)
+select e.vec_id, coalesce(m.n, 0)::bigint as n_links, coalesce(l.component_id, e.vec_id) as component_id,
+       e.vec_id = coalesce(l.component_id, e.vec_id) as kept
+from embeddings e left join many m on m.a = e.vec_id left join least l on l.a = e.vec_id"""
+
+SPELLING = f"""
+with recursive bits(b, k, v) as (
+  select unnest(range(256)), 0, unnest(range(256))::ubigint
+  union all
+  select b, k + 1, case when v % 2 = 1 then xor(v // 2, 3988292384::ubigint) else v // 2 end from bits where k < 8),
+tab as (select list(v order by b) as t from bits where k = 8),
+runs as (
+  select doc_id, w, count(*) as times
+  from (select doc_id, unnest(regexp_extract_all({_LOWER}, '[A-Za-z\u00C0-\u00FF]+')) as w from documents)
+  where length(w) >= 5 group by all),
+summed as (
+  select w, times,
+         xor(list_reduce(list_transform(regexp_extract_all(hex(encode(coalesce(doc_id::varchar, '') || ':' || w)), '..'), lambda x: ('0x' || x)::ubigint),
+                         lambda a, x: xor(a // 256, t[((xor(a, x) % 256) + 1)::bigint]), 4294967295::ubigint),
+             4294967295::ubigint)::bigint as h
+  from runs, tab),
+spelt as (
+  select case when h % 97 = 0 then w[:h % length(w)] || w[h % length(w) + 2:] else w end as word, times from summed),
+words as (select word, sum(times)::bigint as n from spelt where length(word) >= 5 group by 1 having sum(times) >= 3),
+cuts as (select word, n, i, w[:i - 1] || w[i + 1:] as rest from (select word, n, word as w, unnest(range(1, length(word) + 1)) as i from words)),
+near as (
+  select x.word, y.word as other, y.n as other_n from cuts x join cuts y on x.rest = y.rest and x.i = y.i and x.word <> y.word
+  union select c.word, w.word, w.n from cuts c join words w on w.word = c.rest
+  union select w.word, c.word, c.n from cuts c join words w on w.word = c.rest),
+best as (
+  select word, count(*) as n_near, arg_min(other, (-other_n, other)) as other, max(other_n) as other_n
+  from (select distinct * from near) group by 1),
+listed as (
+  select w.word, w.n, coalesce(b.n_near, 0)::bigint as n_near, case when b.other_n >= 2 * w.n then b.other end as form,
+         case when b.other_n >= 2 * w.n then b.other_n end as form_n
+  from words w left join best b using (word)),
+follow(word, here, i) as (
+  select word, word, 0 from listed union all select f.word, l.form, i + 1 from follow f join listed l on l.word = f.here where l.form is not null),
+roots as (select word, arg_max(here, i) as root from follow group by 1)
+select l.word, l.form, r.root, l.n, l.n_near, l.form_n from listed l join roots r using (word)"""
+
 ORACLE = {
     "op1_suffix_repetition": REPETITION,
     "op2_feistel_shards": SHARDS,
     "op4_near_duplicates": NEAR,
     "op6_suffix_dedup": SUFFIX,
     "op7_mixing": MIXING,
+    "op11_embedding_near_duplicates": VECTORS,
+    "op12_spelling_variants": SPELLING,
 }
