@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field, replace
 from functools import cached_property, reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import base_name_lower, parent_folder, whole_seconds
@@ -13,11 +13,14 @@ from ..functions.shares import percent
 from .evidence import exif_key
 from .filters import at_least, drop_metadata, exclude_matching, outside_root
 from .near import held_by
-from .rollup import BUCKETS
-from .skew import bucket_of
+from .key_filter import key_filter, may_hold
+from .key_index import MOST_WINDOW, file_index, held_by_index
+from .rollup import first_names
 
 #: Names shown per folder.
 SHOWN = 5
+#: What a match has in common, besides its time.
+KEYS = ["size", "bn"]
 
 
 @dataclass(frozen=True)
@@ -25,13 +28,14 @@ class Destination:
     """``kind`` is ``label`` (a stored scan) or ``path`` (a fresh listing).
 
     A stored scan is taken as it is; a fresh listing is also subject to the exclude pattern
-    and to self-exclusion.
+    and to self-exclusion. ``index``: the scan's stored ``scan_index``, if it has one.
     """
 
     name: str
     files: DataFrame
     kind: str = "label"
     root: str | None = None
+    index: DataFrame | None = None
 
 
 @dataclass(frozen=True)
@@ -41,6 +45,7 @@ class AuditOptions:
     min_size: int = 0
     exclude: str | None = None
     source_root: str | None = None
+    prune: bool = True
 
     @property
     def reach(self) -> int | None:
@@ -82,6 +87,17 @@ def dest_keys(rows: DataFrame, options: AuditOptions) -> DataFrame:
     return rows.groupBy(*keys).agg(F.min("path").alias("path"))
 
 
+def scan_index(files: DataFrame, exif: DataFrame | None = None) -> DataFrame:
+    """A scan by match key (see ``key_index``), each file with its capture metadata where there is any."""
+    keyed = match_keys(drop_metadata(files).select("path", "size", "mtime")).where(F.col("bn").isNotNull())
+    if exif is None:
+        none = F.lit(None).cast("struct<taken_at: bigint, camera_make: string, camera_model: string>")
+        with_exif = keyed.withColumn("dest_key", none)
+    else:
+        with_exif = keyed.join(exif.select("path", exif_key().alias("dest_key")), "path", "left")
+    return file_index(with_exif.select("size", "bn", "mt", "path", "dest_key"), ["dest_key"])
+
+
 @dataclass(frozen=True)
 class Audit:
     """Lazy results of one audit. Each is a plan; nothing runs until the caller asks.
@@ -108,16 +124,28 @@ class Audit:
 
     @cached_property
     def _dest_rows(self) -> DataFrame:
-        return dest_rows(self.dests, self.options)
+        """Destination rows; with ``prune``, few but those whose size and name the source has, dropped before any shuffle."""
+        rows = dest_rows(self.dests, self.options)
+        keys = [F.col("size").cast("bigint"), "bn"]
+        return may_hold(rows, key_filter(self.rows, keys), keys) if self.options.prune else rows
 
     @cached_property
     def keys(self) -> DataFrame:
         return dest_keys(self._dest_rows, self.options)
 
-    def _tagged(self, keys: DataFrame, *carry: str) -> DataFrame:
+    @property
+    def by_index(self) -> bool:
+        """Whether all destinations are stored by match key, and the window is one that their indexes serve."""
+        near = self.options.mtime_match and self.options.window <= MOST_WINDOW
+        return near and all(d.kind == "label" and d.index is not None for d in self.dests)
+
+    def _tagged(self, keys: DataFrame | None, *carry: str) -> DataFrame:
+        if self.by_index:
+            indexes = [at_least(d.index, self.options.min_size) for d in self.dests]
+            return held_by_index(self.rows, indexes, self.options.window, list(carry))
         named = keys.withColumnRenamed("path", "dest_path")
         columns = ["dest_path", *carry]
-        return held_by(self.rows, named, len(self.dests), ["size", "bn"], "mt", self.options.reach, ["path"], columns)
+        return held_by(self.rows, named, len(self.dests), KEYS, "mt", self.options.reach, ["path"], columns)
 
     @cached_property
     def tagged(self) -> DataFrame:
@@ -126,7 +154,7 @@ class Audit:
         ``found``: array of (ord, dest_path). Among several candidates of a destination the earliest time
         wins, then the first path.
         """
-        return self._tagged(self.keys)
+        return self._tagged(None if self.by_index else self.keys)
 
     @cached_property
     def matches(self) -> DataFrame:
@@ -142,8 +170,10 @@ class Audit:
 
         ``dest_exif``: dest, path and the three fields; listings without stored metadata have
         no rows there. It is attached before matching, where each file stands once; afterwards
-        one destination file may stand beside any number of source files.
+        one destination file may stand beside any number of source files. Indexes hold it already.
         """
+        if self.by_index:
+            return self._tagged(None, "dest_key")
         exif = dest_exif.select("dest", F.col("path"), exif_key().alias("dest_key"))
         named = self.keys.withColumn("dest", self._dest_name()).join(exif, ["dest", "path"], "left").drop("dest")
         return self._tagged(named, "dest_key")
@@ -194,25 +224,27 @@ def missing(tagged: DataFrame) -> DataFrame:
 def folder_counts(tagged: DataFrame, n_dests: int) -> DataFrame:
     """Per folder: files, bytes, missing, missing_bytes, a first few missing names, and on0, on1, ...: files each holds.
 
-    Totals and counts per destination are sums of these rows. Names are ranked within parts of a folder.
+    Totals and counts per destination are sums of these rows. Counts are aggregated where the rows are; only missing
+    files are ranked, and each task hands on the first few of a folder.
     """
     held = F.transform("found", lambda f: f["ord"])
     lost = F.size("found") == 0
     placed = tagged.select(
-        parent_folder(F.col("path")).alias("folder"), bucket_of(F.col("path"), BUCKETS).alias("part"), "path", "size",
+        parent_folder(F.col("path")).alias("folder"), "path", "size",
         lost.alias("lost"), *[F.array_contains(held, i).cast("bigint").alias(f"on{i}") for i in range(n_dests)],
     )
-    rank = F.row_number().over(Window.partitionBy("folder", "part").orderBy(F.desc("lost"), "path"))
-    names = F.collect_list(F.when(F.col("lost") & (F.col("rank") <= SHOWN), F.col("path")))  # SHOWN x BUCKETS at most
     missing_bytes = F.coalesce(F.sum(F.when(F.col("lost"), F.col("size"))), F.lit(0))
-    return placed.withColumn("rank", rank).groupBy("folder").agg(
+    counts = placed.groupBy("folder").agg(
         F.count(F.lit(1)).alias("files"),
         F.sum("size").alias("bytes"),
         F.count_if("lost").alias("missing"),
         missing_bytes.alias("missing_bytes"),
-        F.slice(F.sort_array(names), 1, SHOWN).alias("sample"),
         *[F.sum(f"on{i}").alias(f"on{i}") for i in range(n_dests)],
     )
+    sample = F.coalesce("sample", F.array().cast("array<string>")).alias("sample")
+    ons = [f"on{i}" for i in range(n_dests)]
+    named = counts.join(first_names(placed.where("lost"), SHOWN), "folder", "left")
+    return named.select("folder", "files", "bytes", "missing", "missing_bytes", sample, *ons)
 
 
 def missing_folders(folders: DataFrame) -> DataFrame:

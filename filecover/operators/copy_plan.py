@@ -31,9 +31,8 @@ def roots(runs: DataFrame, scans: DataFrame, dest_ident: str | None = None) -> D
     dest = latest_per_label(scans).select(
         F.col("label").alias("dest_ident"), F.col("root_path").alias("label_root")
     )
-    # One source scan, or one destination, may belong to most runs.
-    placed = skew_join(run, source, ["source_scan_id"], "left", by=["run_id"])
-    placed = skew_join(placed, dest, ["dest_ident"], "left", by=["run_id"])
+    # Registries: a row per scan or run, and at most one partner for each.
+    placed = run.join(source, "source_scan_id", "left").join(dest, "dest_ident", "left")
     by_path = F.col("source_kind") == "path"
     placed = placed.withColumns(
         {
@@ -75,12 +74,14 @@ def copy_outcome(plan: DataFrame, dest_files: DataFrame) -> DataFrame:
     """``plan`` against fresh listings of the destinations: succeeded, or failed and why.
 
     ``dest_files``: path and size, with ``run_id`` where the plan is of several runs, whose destinations differ;
-    without it, ``path`` is below the one destination of the plan. Other columns of the plan stay.
+    without it, ``path`` is below the one destination of the plan. Other columns of the plan stay. A path may be listed
+    more than once (two spellings of one name): a planned file has one outcome, and succeeded if any of
+    them has its size.
     """
     keys = [c for c in ("run_id", "path") if c in dest_files.columns]
-    there = dest_files.select(*keys, F.col("size").alias("dest_size"))
-    reason = F.when(F.col("dest_size").isNull(), "not on destination").when(
-        F.col("dest_size") != F.col("size"), "size differs on destination"
-    )
+    there = dest_files.select(*keys).distinct().withColumn("__there", F.lit(True))
+    same = dest_files.select(*keys, "size").distinct().withColumn("__same", F.lit(True))
+    placed = plan.join(same, [*keys, "size"], "left").join(there, keys, "left")
+    reason = F.when(F.col("__there").isNull(), "not on destination").when(F.col("__same").isNull(), "size differs on destination")
     outcome = F.when(reason.isNull(), "succeeded").otherwise("failed")
-    return plan.join(there, keys, "left").select(*plan.columns, outcome.alias("outcome"), reason.alias("reason"))
+    return placed.select(*plan.columns, outcome.alias("outcome"), reason.alias("reason"))

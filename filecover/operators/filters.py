@@ -8,6 +8,8 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.patterns import java_pattern
+
 # File names written by operating systems, never user content.
 METADATA_NAMES = (
     ".DS_Store",
@@ -50,19 +52,21 @@ def at_least(files: DataFrame, min_size: int) -> DataFrame:
     return files.where(F.col("size") >= min_size) if min_size else files
 
 
-def check_pattern(spark: SparkSession, pattern: str) -> None:
-    """Refuse what Java cannot compile before any job runs."""
+def checked_pattern(spark: SparkSession, pattern: str) -> str:
+    """A Python pattern as the executors' expression; what they can't compile is refused before any job runs."""
+    written = java_pattern(pattern)
     try:
-        spark.sql("select '' rlike :p", args={"p": pattern}).collect()
+        spark.sql("select '' rlike :p", args={"p": written}).collect()
     except PySparkException as e:
-        raise ValueError(f"not a Java regular expression: {pattern!r}") from e
+        raise ValueError(f"{pattern!r} can't be used on executors") from e
+    return written
 
 
 def exclude_matching(files: DataFrame, pattern: str | None) -> DataFrame:
+    """Drop files in whose path the regular expression, as Python reads it, finds anything."""
     if not pattern:
         return files
-    check_pattern(files.sparkSession, pattern)
-    return files.where(~F.col("path").rlike(pattern))
+    return files.where(~F.col("path").rlike(checked_pattern(files.sparkSession, pattern)))
 
 
 def outside_root(files: DataFrame, abs_path: Column, root: str | None) -> DataFrame:

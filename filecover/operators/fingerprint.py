@@ -7,18 +7,27 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import parent_folder
 from .filters import at_least
+from .key_filter import key_filter, may_hold
 from .skew import skew_join
 
 HASH_KEY = ["scan_id", "path", "algo", "sample_size"]
 
 
-def candidates(files: DataFrame, min_size: int = 0, only_collisions: bool = True) -> DataFrame:
-    """Files whose size occurs at least twice; a file of unique size has no duplicate."""
+def candidates(
+    files: DataFrame, min_size: int = 0, only_collisions: bool = True, sizes: DataFrame | None = None
+) -> DataFrame:
+    """Files whose size occurs at least twice; a file of unique size has no duplicate.
+
+    Sizes are counted first; of the files, only those whose size may occur twice are shuffled. ``sizes``: (size, n) counted
+    elsewhere, as from a stored index.
+    """
     files = at_least(files, min_size)
     if not only_collisions:
         return files
-    repeated = files.groupBy("size").agg(F.count("*").alias("n")).where(F.col("n") >= 2).select("size")
-    return skew_join(files, repeated, ["size"], "left_semi", by=["path"])
+    counts = files.groupBy("size").agg(F.count("*").alias("n")) if sizes is None else at_least(sizes, min_size)
+    repeated = counts.where(F.col("n") >= 2).select("size")
+    key = [F.col("size").cast("bigint")]
+    return skew_join(may_hold(files, key_filter(repeated, key), key), repeated, ["size"], "left_semi", by=["path"])
 
 
 def unfinished(wanted: DataFrame, hashes: DataFrame, algo: str, sample_size: int = 0) -> DataFrame:

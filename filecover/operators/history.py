@@ -9,7 +9,6 @@ from ..functions.shares import percent
 from ..functions.sizes import human_size
 from ..schemas import DEST_SPECS, PER_DEST
 from .rollup import first_per_group
-from .skew import skew_join
 
 
 def _newest() -> list[Column]:
@@ -51,6 +50,7 @@ def labels(scans: DataFrame) -> DataFrame:
 
 
 def scan_status(scans: DataFrame) -> DataFrame:
+    # The texts shown for a state.
     return scans.orderBy(*_newest()).select(
         "id",
         "label",
@@ -100,42 +100,47 @@ def missing_of_run(missing: DataFrame, run_id: int) -> DataFrame:
     )
 
 
-def previous_runs(runs: DataFrame) -> DataFrame:
-    """(run_id, previous_id): the run before each run of the same source, NULL for the first.
+#: Runs whose rows of one path lie in one group.
+BLOCK = 1024
 
-    A source may hold a large part of all runs, so runs are first ordered within days; only
-    the first run of a day looks further back, in a table of one row per source and day.
+
+def numbered_runs(runs: DataFrame) -> DataFrame:
+    """(run_id, source_ident, no, next_id): runs of each source from 1 on, by time and id, and the one that follows.
+
+    A source may hold a large part of all runs, so runs are first numbered within days; the numbers of
+    a day begin behind those of the days before, from a table of one row per source and day.
     """
     dated = runs.select("id", "source_ident", "ran_at", F.to_date("ran_at").alias("day"))
     in_day = Window.partitionBy("source_ident", "day").orderBy("ran_at", "id")
-    ordered = dated.withColumn("earlier", F.lag("id").over(in_day))
-    last = dated.groupBy("source_ident", "day").agg(F.max(F.struct("ran_at", "id")).alias("last"))
+    ordered = dated.withColumns({"at": F.row_number().over(in_day), "later": F.lead("id").over(in_day)})
+    days = dated.groupBy("source_ident", "day").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("ran_at", "id")).alias("first"))
     by_day = Window.partitionBy("source_ident").orderBy("day")
-    carried = last.select("source_ident", "day", F.lag("last.id").over(by_day).alias("carried"))
-    return ordered.join(carried, ["source_ident", "day"]).select(
-        F.col("id").alias("run_id"), F.coalesce("earlier", "carried").alias("previous_id")
-    )
+    before = F.coalesce(F.sum("n").over(by_day.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = days.select("source_ident", "day", before.alias("before"), F.lead("first.id").over(by_day).alias("next_day"))
+    same_day = [ordered[c].eqNullSafe(placed[c]) for c in ("source_ident", "day")]
+    return ordered.join(placed, same_day).select(
+        F.col("id").alias("run_id"), ordered["source_ident"], (F.col("before") + F.col("at")).alias("no"),
+        F.coalesce("later", "next_day").alias("next_id"),
+    )
 
 
 def audit_changes(runs: DataFrame, missing: DataFrame) -> DataFrame:
-    """(run_id, source_path, size, change) against the previous run of the same source.
+    """(run_id, source_path, size, change) against the previous run of the same source, over the whole history.
 
-    ``newly_missing``: missing now, not then. ``newly_covered``: missing then, not now.
+    ``newly_missing``: missing now, not then. ``newly_covered``: missing then, not now. The runs in which a
+    path of a source is missing are islands of run numbers: an island's first run finds it newly missing (unless there was no run before), and
+    the run behind its last finds it newly covered (if there is one). Missing rows meet their run in a plain join, and are shuffled once more, by
+    source, path and block of ``BLOCK`` runs; a row at the edge of a block is also a mark in the next, so no group is larger.
     """
-    pairs = previous_runs(runs).where(F.col("previous_id").isNotNull())
-    now = skew_join(missing, pairs.select("run_id"), ["run_id"], "left_semi", ["source_path"])
-    listed = missing.withColumnRenamed("run_id", "previous_id")
-    before = skew_join(listed, pairs, ["previous_id"], "inner", ["source_path"])
-    sides = now.select("run_id", "source_path", "size", F.lit(1).alias("now")).unionByName(
-        before.select("run_id", "source_path", "size", F.lit(0).alias("now"))
-    )
-    # A path in one of the two lists only is a change; one aggregation answers both questions.
-    merged = sides.groupBy("run_id", "source_path").agg(
-        F.min("now").alias("lo"), F.max("now").alias("hi"), F.max("size").alias("size")
-    )
-    return merged.where(F.col("lo") == F.col("hi")).select(
-        "run_id",
-        "source_path",
-        "size",
-        F.when(F.col("hi") == 1, "newly_missing").otherwise("newly_covered").alias("change"),
-    )
+    numbered = numbered_runs(runs).where(F.col("run_id").isNotNull())
+    rows = missing.join(numbered, "run_id").select("run_id", "source_ident", "source_path", "size", "no", "next_id")
+    block = F.floor(F.col("no") / BLOCK).cast("bigint")
+    edge = F.when(F.col("no") % BLOCK == 0, block - 1).when(F.col("no") % BLOCK == BLOCK - 1, block + 1)
+    placed = rows.withColumn("own", block).withColumn("block", F.explode(F.array_compact(F.array(block, edge))))
+    along = Window.partitionBy("source_ident", "source_path", "block").orderBy("no", F.desc("size"))
+    seen = placed.withColumns({"last": F.lag("no").over(along), "next": F.lead("no").over(along)}).where(F.col("block") == F.col("own"))
+    starts = (F.col("no") > 1) & (F.col("last").isNull() | (F.col("last") < F.col("no") - 1))
+    ends = F.col("next_id").isNotNull() & (F.col("next").isNull() | (F.col("next") > F.col("no") + 1))
+    change = lambda run, kind: F.struct(F.col(run).alias("run_id"), "source_path", "size", F.lit(kind).alias("change"))
+    changes = F.array_compact(F.array(F.when(starts, change("run_id", "newly_missing")), F.when(ends, change("next_id", "newly_covered"))))
+    return seen.select(F.explode(changes).alias("c")).select("c.*")

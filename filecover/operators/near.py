@@ -52,13 +52,15 @@ def held_by(
     place = [*keys, SLOT]
     spread = Spread(left, place, n_dests * max(1, 10 * (window or 0)))  # seconds that destinations in a slot can have
     held = F.struct(F.col("__at").alias("at"), "ord", *carry)
+    # Single columns, not a struct: whoever needs the same of them gets the same plan, and shares its exchange.
+    own = {c: f"__row_{c}" for c in columns}
     rows = spread.deal(left, by).select(
-        *place, SALT, "__at", F.lit(1).alias("__kind"), F.struct(*columns).alias("__row"),
+        *place, SALT, "__at", F.lit(1).alias("__kind"), *[F.col(c).alias(o) for c, o in own.items()],
         F.lit(None).cast(right.select(held.alias("h")).schema["h"].dataType).alias("__held"),
     )
     serving = spread.replicate(right).select(
         *place, SALT, "__at", F.lit(0).alias("__kind"),
-        F.lit(None).cast(rows.schema["__row"].dataType).alias("__row"), held.alias("__held"),
+        *[F.lit(None).cast(source.schema[c].dataType).alias(o) for c, o in own.items()], held.alias("__held"),
     )
     late_to_early = (
         Window.partitionBy(*place, SALT)
@@ -69,8 +71,8 @@ def held_by(
         F.last(F.when(F.col("__held.ord") == i, F.col("__held")), ignorenulls=True).over(late_to_early).alias(f"__d{i}")
         for i in range(n_dests)
     ]
-    passed = rows.unionByName(serving).select("__kind", "__row", *last).where("__kind = 1")
-    inside = (lambda d: d.isNotNull()) if reach is None else (lambda d: d["at"] <= F.col(f"__row.{time}") + reach)
+    passed = rows.unionByName(serving).select("__kind", *own.values(), *last).where("__kind = 1")
+    inside = (lambda d: d.isNotNull()) if reach is None else (lambda d: d["at"] <= F.col(own[time]) + reach)
     found = F.filter(F.array(*[F.col(f"__d{i}") for i in range(n_dests)]), inside)
     shown = F.transform(found, lambda d: F.struct(d["ord"].alias("ord"), *[d[c].alias(c) for c in carry]))
-    return passed.select("__row.*", shown.alias("found"))
+    return passed.select(*[F.col(o).alias(c) for c, o in own.items()], shown.alias("found"))

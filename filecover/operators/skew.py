@@ -23,8 +23,7 @@ def hot_keys(rows: DataFrame, keys: list[str], least: int = 1) -> DataFrame:
     """
     names = [F.col(k).alias(f"__h{i}") for i, k in enumerate(keys)]
     counts = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("__n"))
-    # One row per key, however many keys: their sum needs no more than a partial count per task.
-    total = rows.agg(F.count(F.lit(1)).alias("all")).scalar()
+    total = counts.agg(F.sum("__n")).scalar()  # from the counts, whose exchange it shares
     pieces = F.least(F.ceil(F.col("__n") * PIECES / total), F.ceil(F.col("__n") / F.lit(least))).cast("int")
     return counts.where(F.col("__n") * PIECES > total).select(*[f"__h{i}" for i in range(len(keys))], pieces.alias("__pieces"))
 

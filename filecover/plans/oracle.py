@@ -145,8 +145,12 @@ def _needed(names: tuple) -> list[str]:
     return order
 
 
+#: Views that several others read: worked out once.
+_ONCE = ("fx_files", "clean", "hits")
+
+
 def _sql(needs: str, body: str) -> str:
-    views = ",\n".join(f"{n} as ({_VIEWS[n][1]})" for n in _needed(tuple(needs.split())))
+    views = ",\n".join(f"{n} as {'materialized ' * (n in _ONCE)}({_VIEWS[n][1]})" for n in _needed(tuple(needs.split())))
     return f"with {views}\n{body}" if views else body
 
 
@@ -240,6 +244,11 @@ where not starts_with(split_part(path, '/', -1), '._')
     "min_size": _sql("fx_files", f"select label, path, size from fx_files where size >= {BIG}"),
     "exclude_regex": _sql("fx_files", f"""
 select label, path, size from fx_files where not regexp_matches(path, '{EXCLUDED}')"""),
+    "exclude_python": _sql("fx_files", """
+select * from (select label, concat(path, case l_partkey % 3 when 0 then 'é' when 1 then chr(10) else '_É1' end) as path, size from fx_files) x
+where not regexp_matches(path, '(000|111|222|333|444|555|666|777|888|999)_')
+  and not regexp_matches(path, '_7\\.[mM][pP]4[\\p{L}\\p{N}_]+$')
+  and not regexp_matches(path, '/[iI][mM][gG]_0*1[0-9]_[0-9a-zA-Z]\\.[aA][rR][wW]\\n?$')"""),
     "self_exclusion": _sql("fx_files", """
 select * from (select label, path, concat('/Volumes/', label, '/', path) as abs_path from fx_files) x
 where not starts_with(abs_path, '/Volumes/card/shoot_001/')"""),
@@ -271,6 +280,8 @@ from (select unnest(['backup_a', 'backup_b', 'empty_drive']) as dest) n left joi
         hits="hits", src=f"src where size >= {BIG} and not regexp_matches(path, '{EXCLUDED}')")),
     "coverage": _sql("src hits", """
 select s.size, s.bn, min(h.ord) as first_ord from src s left join hits h on h.path = s.path group by all"""),
+    "audit_small_source": _sql("hits", "select path, dest, dest_path from hits where path like 'shoot_001/%'"),
+    "audit_stored": _sql("hits", "select path, dest, dest_path from hits"),
     "audit_hot_key": _matched("""
 select label, case when l_partkey % 3 = 0 then concat(case label when 'card' then 'c/' when 'backup_a' then 'a/' else 'b/' end,
                                                       md5(path), '/SAME.JPG') else path end as path,
@@ -359,6 +370,9 @@ left join fx_audit_missing o on o.run_id = p.run_id and o.source_path = m.source
 where o.run_id is null"""),
     "hash_candidates": _sql("fx_files", """
 , m as (select path, size from fx_files where label = 'mirror' and size >= 1000)
+select path, size from m where size in (select size from m group by size having count(*) >= 2)""").replace(")\n\n, m as", "),\nm as"),
+    "hash_candidates_stored": _sql("clean", """
+, m as (select path, size from clean where label = 'mirror' and size >= 1000)
 select path, size from m where size in (select size from m group by size having count(*) >= 2)""").replace(")\n\n, m as", "),\nm as"),
     "hash_resume": _sql("todo fx_contents", """
 select path, size, md5(text) as fingerprint from fx_contents where path in (select path from todo)"""),
@@ -387,10 +401,16 @@ from marked m where exists (select 1 from marked o where o.fingerprint = m.finge
     "copy_roots": _sql("placed", "select * from placed"),
     "copy_plan": _sql("planned", "select * from planned"),
     "copy_plan_totals": _sql("planned", "select count(*) as files, cast(sum(size) as bigint) as bytes from planned"),
-    "copy_outcome": _sql("lost fx_files", """
-select if(l.size % 2 = 0, 1, 2)::bigint as run_id, l.path, l.size, case when m.size = l.size then 'succeeded' else 'failed' end as outcome,
-       case when m.path is null then 'not on destination' when m.size <> l.size then 'size differs on destination' end as reason
-from lost l left join fx_files m on m.label = 'mirror' and m.path = l.path and (l.size % 2 = 0 or m.size % 3 = 0)"""),
+    "copy_outcome": _sql("src hits", """
+, outcomes as (
+  select if(s.size % 2 = 0, 1, 2)::bigint as run_id, s.path, s.size,
+         m.path is not null and (s.size % 2 = 0 or m.size % 3 = 0) as listed,
+         coalesce(s.size = m.size or (m.l_partkey % 4 = 0 and s.size = m.size + 1), false) as fits
+  from src s left join (select path, size, l_partkey from fx_files where label = 'mirror') m on m.path = s.path
+  where s.path not in (select path from hits))
+select run_id, path, size, if(listed and fits, 'succeeded', 'failed') as outcome,
+       case when not listed then 'not on destination' when not fits then 'size differs on destination' end as reason
+from outcomes""").replace(")\n\n, outcomes", "),\noutcomes"),
     "copy_json": _sql("planned", "\nunion all\n".join([
         _json("totals", "files", f"select *, {_human('bytes')} as bytes_human from "
               "(select count(*) as files, cast(sum(size) as bigint) as bytes from planned)", "files", "bytes", "bytes_human"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,21 +19,33 @@ from ..operators.audit import (
     Audit,
     Destination,
     audit,
+    folder_counts,
     locations,
     match_keys,
+    missing,
     missing_folders,
     per_dest_of_folders,
+    scan_index,
     totals_of_folders,
 )
 from ..operators.dedup import unique_files
+from ..operators.key_index import KEY, index_sizes
 from ..operators.report import audit_document, plan_document
 from ..operators.rollup import by_folder
+from ..schemas import INDEX
 from ..sources.exif import clean_exif
+from ..scratch import new_folder, written
+from ..sources.bucketed import read_bucketed, write_bucketed
 from ..sources.lsl import as_manifest, normalised, parse_lsl
 from . import views as v
 
 C = F.col
 EXCLUDED = r"(?i)_[37]\.(mp4|arw)$"
+PYTHON_PATTERNS = (
+    r"(?P<digit>\d)(?P=digit)(?P=digit)_",  # a digit three times
+    r"_7\.(?i:mp4)\w+\Z",  # letters of any script up to the very end
+    r"(?i)(?<=/)img_0*1\d_[^\W_]\.arw$",  # the end, or a line end before it
+)
 BIG = 500_000
 HEAD = 64
 RUN_DEST = "/mnt/b"
@@ -91,6 +105,14 @@ def exclude_regex(spark, d):
     return filters.exclude_matching(v.files(spark, d), EXCLUDED).select("label", "path", "size")
 
 
+def exclude_python(spark, d):
+    """Patterns as Python reads them: named groups and references, ends of text, Unicode classes, local flags, look-behind."""
+    moved = v.files(spark, d).select(
+        "label", F.concat("path", F.when(C("l_partkey") % 3 == 0, "é").when(C("l_partkey") % 3 == 1, "\n").otherwise("_É1")).alias("path"), "size"
+    )
+    return reduce(filters.exclude_matching, PYTHON_PATTERNS, moved)
+
+
 def self_exclusion(spark, d):
     """Mounted destinations, seen from a source that lies inside one of them."""
     mounted = v.files(spark, d).withColumn("abs_path", F.concat(F.lit("/Volumes/"), "label", F.lit("/"), "path"))
@@ -201,11 +223,35 @@ def matched_by_folder(spark, d):
 
 
 def audit_json(spark, d):
-    """Two passes: counters and folders come from the counts per folder."""
+    """Matching and the counts per folder are each done once and written; all sections read those."""
     a = card_audit(spark, d)
-    dests = per_dest_of_folders(a.folders, a.dests).select("dest", "kind", "matched")
-    folders = missing_folders(a.folders)
-    return audit_document(totals_of_folders(a.folders), dests, folders, a.missing)
+    tagged = written(a.tagged, "tagged")
+    folders = written(folder_counts(tagged, len(a.dests)), "folders")
+    dests = per_dest_of_folders(folders, a.dests).select("dest", "kind", "matched")
+    return audit_document(totals_of_folders(folders), dests, missing_folders(folders), missing(tagged))
+
+
+def audit_small_source(spark, d):
+    """One folder of the card against whole backups: destination rows without a partner go before they are shuffled."""
+    dests = [Destination(n, v.files(spark, d, n)) for n in ("backup_a", "backup_b")]
+    return audit(v.files(spark, d, "card").where(C("path").like("shoot_001/%")), dests).matches.select("path", "dest", "dest_path")
+
+
+def _indexed(spark, d, *labels: str) -> list[DataFrame]:
+    """Scans stored by match key: small tables, so few buckets."""
+    found = []
+    for label in labels:
+        uri = f"{new_folder(spark, 'index')}/keys"
+        write_bucketed(scan_index(v.files(spark, d, label)), uri, KEY, 8)
+        found.append(read_bucketed(spark, uri, INDEX, KEY, 8))
+    return found
+
+
+def audit_stored(spark, d):
+    """The card against backups stored by match key: the same matches, without a shuffle of a destination."""
+    names = ("backup_a", "backup_b")
+    dests = [Destination(n, v.files(spark, d, n), index=index) for n, index in zip(names, _indexed(spark, d, *names), strict=True)]
+    return audit(v.files(spark, d, "card"), dests).matches.select("path", "dest", "dest_path")
 
 
 def audit_hot_key(spark, d):
@@ -363,6 +409,12 @@ def hash_candidates(spark, d):
     return hashing.candidates(v.files(spark, d, "mirror").select("path", "size"), 1000)
 
 
+def hash_candidates_stored(spark, d):
+    """Sizes counted from a stored index instead of the files."""
+    sizes = index_sizes(_indexed(spark, d, "mirror"))
+    return hashing.candidates(filters.drop_metadata(v.files(spark, d, "mirror")).select("path", "size"), 1000, sizes=sizes)
+
+
 def hash_resume(spark, d):
     """The fingerprint job: candidates, less those done, with their fingerprint."""
     todo = _document_candidates(spark, d)[1]
@@ -430,11 +482,13 @@ def copy_plan_totals(spark, d):
 
 
 def copy_outcome(spark, d):
-    """What the card audit found missing, against the mirror as the destination after copying."""
+    """What the card audit found missing, against the mirror as the destination after copying; some of its paths are listed twice."""
     runs = F.when(C("size") % 2 == 0, 1).otherwise(2).cast("bigint").alias("run_id")
     plan = card_audit(spark, d).missing.select(runs, "path", "size")
-    mirror = v.files(spark, d, "mirror").select(F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(2).cast("bigint"))).alias("run_id"), "path", "size")
-    return copying.copy_outcome(plan, mirror.where("run_id = 1 or size % 3 = 0"))
+    sizes = F.explode(F.when(C("l_partkey") % 4 == 0, F.array(C("size"), C("size") + 1)).otherwise(F.array("size")))
+    mirror = v.files(spark, d, "mirror").select("path", C("size").alias("listed"), sizes.alias("size"))
+    both = mirror.select(F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(2).cast("bigint"))).alias("run_id"), "path", "listed", "size")
+    return copying.copy_outcome(plan, both.where("run_id = 1 or listed % 3 = 0").drop("listed"))
 
 
 def copy_json(spark, d):
@@ -450,6 +504,7 @@ QUERIES = {
     "system_dirs": system_dirs,
     "min_size": min_size,
     "exclude_regex": exclude_regex,
+    "exclude_python": exclude_python,
     "self_exclusion": self_exclusion,
     "match_keys": match_keys_query,
     "parse_size": parse_size,
@@ -465,6 +520,8 @@ QUERIES = {
     "audit_per_dest": audit_per_dest,
     "audit_filtered": audit_filtered,
     "coverage": coverage,
+    "audit_small_source": audit_small_source,
+    "audit_stored": audit_stored,
     "audit_hot_key": audit_hot_key,
     "audit_spellings": audit_spellings,
     "audit_odd_files": audit_odd_files,
@@ -490,6 +547,7 @@ QUERIES = {
     "audit_readback": audit_readback,
     "audit_diff": audit_changes,
     "hash_candidates": hash_candidates,
+    "hash_candidates_stored": hash_candidates_stored,
     "hash_resume": hash_resume,
     "hash_summary": hash_summary,
     "hash_latest": hash_latest,

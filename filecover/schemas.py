@@ -55,6 +55,12 @@ EXIF = _struct(
     ("extracted_at", TimestampType(), False),
 )
 
+#: A scan by match key, as columns of a table.
+INDEX = (
+    "size bigint, bn string, stretch bigint, n bigint, files array<struct<mt: bigint, path: string, "
+    "dest_key: struct<taken_at: bigint, camera_make: string, camera_model: string>>>"
+)
+
 DEST_SPECS = ArrayType(_struct(("ident", StringType(), True), ("kind", StringType(), True)))
 PER_DEST = MapType(StringType(), LongType())
 

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from ..functions.capture import clean_text, taken_at
 from ..functions.paths import absolute_path, wants_exif
-from .file_hash import spread_by_work
 from .listing import SKIPPED, require_root, unescaped
 
 # Fixed values of the Exif and TIFF formats.
@@ -124,4 +123,6 @@ def read_exif(files: DataFrame, root: str) -> DataFrame:
             )
 
     schema = "date_text string, make_text string, model_text string, path string"
-    return clean_exif(spread_by_work(pictures).mapInPandas(texts, schema))
+    # Of each file only the head is read, so all are as much work.
+    dealt = pictures.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("path"))
+    return clean_exif(dealt.mapInPandas(texts, schema))

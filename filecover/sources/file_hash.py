@@ -10,15 +10,15 @@ from pyspark.sql import functions as F
 
 from ..functions.fingerprints import check_algorithm
 from ..functions.paths import absolute_path
+from ..operators.deal import deal_by_work
 from .listing import SKIPPED, require_root, unescaped
 
 CHUNK = 8 << 20
 FILES_PER_BATCH = 64
 
 
-def spread_by_work(files: DataFrame) -> DataFrame:
-    """Deal files out so that large and small ones mix, over as many tasks as the session's shuffles have."""
-    return files.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("path"))
+#: What opening a file counts as, in bytes read.
+OPENING = 64 << 10
 
 
 def hash_files(
@@ -26,7 +26,8 @@ def hash_files(
 ) -> DataFrame:
     """(path, size, fingerprint); files that are gone, or may not be read, are left out. Any other failure fails the job.
 
-    Unlike ``binaryFile`` this has no 2 GB limit and reads no more than ``sample_size`` bytes.
+    Unlike ``binaryFile`` this has no 2 GB limit and reads no more than ``sample_size`` bytes. Files are dealt to tasks by
+    the bytes to read, twice as many tasks as the session's shuffles have; ``files`` is read more than once for that.
     """
     check_algorithm(algo)
     raw = F.col("path_raw") if "path_raw" in files.columns else F.col("path")
@@ -58,4 +59,6 @@ def hash_files(
                 yield part[["path", "size"]].assign(fingerprint=part["at"].map(digest)).dropna()
 
     schema = "path string, size bigint, fingerprint string"
-    return spread_by_work(located).mapInPandas(digests, schema)
+    to_read = F.least("size", F.lit(sample_size)) if sample_size else F.col("size")
+    parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return deal_by_work(located, ["path"], to_read + OPENING, parts).mapInPandas(digests, schema)

@@ -16,15 +16,14 @@ from __future__ import annotations
 
 import os
 import re
-import tempfile
-import uuid
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.filters import METADATA_NAMES, METADATA_PREFIX, SYSTEM_DIRS, drop_metadata
+from ..scratch import new_folder
 from .lsl import normalised
 
 BATCH = 8192
@@ -116,43 +115,38 @@ def list_level(batches, root: str, links: bool, skip_root: str | None):
         yield batch()
 
 
-@lru_cache(maxsize=1)
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="filecover-listing-")
-
-
-def _folder(spark: SparkSession) -> str:
-    """Where rounds are written: the checkpoint folder all machines share, or a local session's own."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = _local_folder() if spark.sparkContext.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir")
-    return f"{shared.rstrip('/')}/listing-{uuid.uuid4().hex}"
-
-
 def read_listing(spark: SparkSession, root: str, skip_root: str | None = None, links: bool | str = True) -> DataFrame:
     """File entries of the tree below ``root``, paths relative to it. The tree is read now, once.
 
     ``skip_root``: a directory never to enter, also not through a bind mount. ``links``: whether linked
-    files count; linked directories are never entered.
+    files count; linked directories are never entered. A listing that fails half way raises what it failed with;
+    ``entries`` of that exception holds the files of all levels read before. What is read lies in a folder that
+    goes with the session.
     """
     root = os.path.realpath(root)
     if not os.path.isdir(root):
         raise ValueError(f"not a directory: {root}")
     follow = str(links).lower() == "true"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    folder, levels = _folder(spark), []
+    folder, levels = new_folder(spark, "listing"), []
     below = spark.createDataFrame([("",)], "raw string")
 
     def entries(batches):
         return list_level(batches, root, follow, skip_root)
 
+    def found() -> DataFrame:
+        files = reduce(DataFrame.unionByName, [level.where("not is_dir").drop("is_dir") for level in levels])
+        return normalised(drop_metadata(files, "raw"))
+
     while True:
         path = f"{folder}/{len(levels)}"
         # Dealt out by hash, so the many directories below one are not one task's work.
-        below.repartition(parts, F.xxhash64("raw")).mapInArrow(entries, ENTRY).write.parquet(path)
+        try:
+            below.repartition(parts, F.xxhash64("raw")).mapInArrow(entries, ENTRY).write.parquet(path)
+        except BaseException as e:
+            e.entries = found() if levels else None
+            raise
         levels.append(spark.read.schema(ENTRY).parquet(path))
         below = levels[-1].where("is_dir").select("raw")
         if below.isEmpty():
-            break
-    files = reduce(DataFrame.unionByName, [level.where("not is_dir").drop("is_dir") for level in levels])
-    return normalised(drop_metadata(files, "raw"))
+            return found()

@@ -1,8 +1,12 @@
-"""Scans, fingerprints, capture metadata and audits as append-only Parquet tables.
+"""Scans, fingerprints, capture metadata and audits as Parquet tables.
 
 Rows of a scan or a run are written first and its registry row last, so a job that fails half
 way leaves nothing that a reader would take for complete. Ids come from the registry; one
 writer at a time is assumed.
+
+Files, metadata and missing lists are written once per scan or run. Registries grow by a file a row, and are
+gathered into one from time to time; the fingerprints of a scan are merged with each job (see ``generations``), so a
+reader finds one row per key however many jobs there were. A finished scan is also kept by match key (see ``key_index``).
 """
 
 from __future__ import annotations
@@ -19,10 +23,18 @@ from pyspark.sql.types import StructType
 
 from .. import schemas
 from ..functions.paths import clean_label_text, default_label
+from ..operators.audit import scan_index
 from ..operators.dedup import unique_files
 from ..operators.filters import drop_metadata
 from ..operators.fingerprint import latest_hashes
 from ..operators.history import latest_scan
+from ..operators.key_index import KEY
+from ..scratch import drop
+from . import generations
+from .bucketed import read_bucketed, write_bucketed
+
+#: Files of a registry before they are gathered into one.
+REGISTRY_FILES = 64
 
 
 def _now() -> datetime:
@@ -33,6 +45,8 @@ def _now() -> datetime:
 class Store:
     spark: SparkSession
     root: str
+    #: Buckets of a scan by match key; audits join scans of as many buckets without a shuffle of theirs.
+    buckets: int = 64
 
     def _path(self, name: str) -> str:
         return f"{self.root.rstrip('/')}/{name}"
@@ -49,19 +63,28 @@ class Store:
         writer = rows.select(*schema.names).write.mode("append")
         (writer.partitionBy(partition) if partition else writer).parquet(self._path(name))
 
+    def _registry(self, name: str, schema: StructType) -> DataFrame:
+        newest = generations.current(self.spark, self._path(name))
+        return self.spark.read.schema(schema).parquet(newest) if newest else self._read(name, schema)
+
     def _register(self, name: str, row: tuple, schema: StructType) -> None:
-        self._append(name, self.spark.createDataFrame([row], schema).coalesce(1), schema)
+        path, added = self._path(name), self.spark.createDataFrame([row], schema).coalesce(1)
+        newest = generations.current(self.spark, path)
+        if newest and generations.files_in(self.spark, newest) < REGISTRY_FILES:
+            added.write.mode("append").parquet(newest)
+        else:
+            generations.replace(self.spark, path, self._registry(name, schema).unionByName(added).coalesce(1))
 
     def _next_id(self, registry: DataFrame) -> int:
         return (registry.agg(F.max("id")).first()[0] or 0) + 1
 
     @property
     def scans(self) -> DataFrame:
-        return self._read("scans", schemas.SCANS)
+        return self._registry("scans", schemas.SCANS)
 
     @property
     def audit_runs(self) -> DataFrame:
-        return self._read("audit_runs", schemas.AUDIT_RUNS)
+        return self._registry("audit_runs", schemas.AUDIT_RUNS)
 
     @property
     def audit_missing(self) -> DataFrame:
@@ -84,8 +107,19 @@ class Store:
         return self._of_scan("exif", schemas.EXIF, scan_id)
 
     def hashes(self, scan_id: int) -> DataFrame:
+        """The newest fingerprint per path, algorithm and sample size."""
+        newest = generations.current(self.spark, self._path(f"hashes/scan_id={scan_id}"))
+        if newest:
+            return self.spark.read.schema(schemas.HASHES).parquet(newest)
         return latest_hashes(self._of_scan("hashes", schemas.HASHES, scan_id))
 
+    def _index_path(self, scan_id: int) -> str:
+        return self._path(f"index/buckets={self.buckets}/scan_id={scan_id}")
+
+    def index(self, scan_id: int) -> DataFrame | None:
+        """The scan by match key, None for one that was stored without."""
+        return read_bucketed(self.spark, self._index_path(scan_id), schemas.INDEX, KEY, self.buckets)
+
     def latest(self, label: str, mode: str | None = None):
         """Registry row of the label's newest finished scan, or None."""
         return latest_scan(self.scans, label, mode).first()
@@ -119,16 +153,23 @@ class Store:
             if exif is not None:
                 found = _stamped(exif(self.files(scan_id)), scan_id).withColumn("extracted_at", F.lit(started))
                 self._append("exif", found, schemas.EXIF, "scan_id")
+            index = scan_index(self.files(scan_id), None if exif is None else self.exif(scan_id))
+            write_bucketed(index, self._index_path(scan_id), KEY, self.buckets)
         except BaseException:
             self._register("scans", (*row[:6], self._written(scan_id), *row[7:]), schemas.SCANS)
             raise
         self._register("scans", (*row[:5], _now(), listed.get["files"], *row[7:]), schemas.SCANS)
         return scan_id
 
-    def save_failed_scan(self, root_path: str, label: str | None, drive_type: str = "unknown") -> int:
-        """Register a scan whose listing failed."""
-        scan_id = self._next_id(self.scans)
-        row = (scan_id, clean_label_text(label or default_label(root_path)), root_path, drive_type, _now(), None, 0, "full", None)
+    def save_failed_scan(
+        self, root_path: str, label: str | None, drive_type: str = "unknown", entries: DataFrame | None = None
+    ) -> int:
+        """Register a scan whose listing failed, unfinished, with the ``entries`` read before."""
+        scan_id, started = self._next_id(self.scans), _now()
+        if entries is not None:
+            self._append_files(drop_metadata(entries), scan_id)
+        count = 0 if entries is None else self._written(scan_id)
+        row = (scan_id, clean_label_text(label or default_label(root_path)), root_path, drive_type, started, None, count, "full", None)
         self._register("scans", row, schemas.SCANS)
         return scan_id
 
@@ -141,7 +182,10 @@ class Store:
         self._append("files", _stamped(rows, scan_id), FILES, "scan_id")
 
     def save_hashes(self, rows: DataFrame, scan_id: int, algo: str, sample_size: int) -> None:
-        """Append (path, size, fingerprint); readers take the newest per key."""
+        """Merge (path, size, fingerprint) into the fingerprints of the scan: the newest per key stays.
+
+        The rows there are written anew; next to reading the files for new fingerprints that is little.
+        """
         stamped = _stamped(rows, scan_id).withColumns(
             {
                 "algo": F.lit(algo),
@@ -149,7 +193,9 @@ class Store:
                 "hashed_at": F.lit(_now()),
             }
         )
-        self._append("hashes", stamped, schemas.HASHES, "scan_id")
+        before = self.hashes(scan_id).select(*schemas.HASHES.names)
+        merged = latest_hashes(before.unionByName(stamped.select(*schemas.HASHES.names)))
+        generations.replace(self.spark, self._path(f"hashes/scan_id={scan_id}"), merged.select(*schemas.HASHES.names))
 
     def save_audit(
         self,
@@ -183,8 +229,7 @@ class Store:
 
     def drop_work(self, name: str) -> None:
         """Delete a folder below work, on whatever file system the store is."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.work_path(name))
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        drop(self.spark, self.work_path(name))
 
 
 FILES = StructType([*schemas.FILE_ENTRY.fields, schemas.HASHES["scan_id"]])

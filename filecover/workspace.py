@@ -17,8 +17,10 @@ from .operators import copy_plan as copying
 from .operators import evidence as proof
 from .operators import fingerprint as hashing
 from .operators import history
+from .operators.key_index import index_sizes
 from .operators.report import audit_document, write_document
 from .operators.rollup import by_folder
+from .scratch import written
 from .sources.exif import read_exif
 from .sources.file_hash import hash_files
 from .sources.listing import read_listing
@@ -44,7 +46,7 @@ class Target:
 class StoredAudit:
     """A finished audit; ``tagged`` is read back from a table, so roll-ups do not match again.
 
-    ``close`` (or the end of a ``with`` block) deletes that table and the listings made for it; what the store keeps stays.
+    ``close`` (or the end of a ``with`` block) deletes that table; what the store keeps stays.
     """
 
     run_id: int | None
@@ -94,8 +96,8 @@ class Workspace:
     store: Store
 
     @classmethod
-    def at(cls, spark: SparkSession, root: str) -> Workspace:
-        return cls(spark, Store(spark, root))
+    def at(cls, spark: SparkSession, root: str, buckets: int = Store.buckets) -> Workspace:
+        return cls(spark, Store(spark, root, buckets))
 
     # Sources
 
@@ -112,8 +114,8 @@ class Workspace:
             options.setdefault("links", "false")
         try:
             entries = read_manifest(self.spark, options.pop("path", root), format, **options)
-        except PySparkException:
-            self.store.save_failed_scan(root, label, lineage.get("drive_type", "unknown"))
+        except (PySparkException, KeyboardInterrupt) as e:
+            self.store.save_failed_scan(root, label, lineage.get("drive_type", "unknown"), getattr(e, "entries", None))
             raise
         pictures = (lambda files: read_exif(files, root)) if exif else None
         return self.store.save_scan(entries, root, label, exif=pictures, **lineage)
@@ -135,11 +137,14 @@ class Workspace:
             raise ValueError(f"no finished scan of {label!r}")
         return row
 
-    def _files(self, target: Target, name: str, skip: str | None = None) -> DataFrame:
+    def _files(self, target: Target, skip: str | None = None) -> DataFrame:
         if target.kind == "label":
             return self.store.files(target.scan_id)
-        # A tree is walked once and kept: it may change, and walking is the slow part.
-        return self._kept(read_listing(self.spark, target.root, skip_root=skip), name)
+        # A tree is walked once: it may change, and walking is the slow part. What was read is kept until the session ends.
+        return read_listing(self.spark, target.root, skip_root=skip)
+
+    def _index(self, target: Target) -> DataFrame | None:
+        return self.store.index(target.scan_id) if target.kind == "label" else None
 
     # Audit
 
@@ -154,11 +159,8 @@ class Workspace:
         min_bytes = parse_size_text(min_size)
         work = uuid.uuid4().hex
         plan = coverage.audit(
-            self._files(src, f"{work}/listed_source"),
-            [
-                coverage.Destination(t.ident, self._files(t, f"{work}/listed_{i}", src.root), t.kind, t.root)
-                for i, t in enumerate(targets)
-            ],
+            self._files(src),
+            [coverage.Destination(t.ident, self._files(t, src.root), t.kind, t.root, self._index(t)) for t in targets],
             min_size=min_bytes,
             source_root=src.root,
             **options,
@@ -217,9 +219,12 @@ class Workspace:
     ) -> dict:
         """Fingerprint what is not done yet; returns the counters."""
         scan = self._labelled(label)
-        wanted = hashing.candidates(self.store.files(scan["id"]), min_size, only_collisions)
+        index = self.store.index(scan["id"])
+        # The index leaves out files without a name, of which a scan has none.
+        sizes = None if index is None else index_sizes([index])
+        wanted = hashing.candidates(self.store.files(scan["id"]), min_size, only_collisions, sizes)
         before = self.store.hashes(scan["id"])
-        todo = hashing.unfinished(wanted, before, algo, sample_size) if resume else wanted
+        todo = written(hashing.unfinished(wanted, before, algo, sample_size) if resume else wanted, "todo")
         counters = hashing.summary(wanted, todo, sample_size).first().asDict()
         done = F.count(F.lit(1)).alias("hashed")
         read = F.sum(F.least("size", F.lit(sample_size)) if sample_size else F.col("size")).alias("bytes_read")

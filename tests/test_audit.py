@@ -170,3 +170,18 @@ def test_wide_window_is_no_slower(manifest, spark):
     seconds(2)
     narrow, wide = (min(seconds(w) for _ in range(2)) for w in (2, 7200))
     assert wide < 1.5 * narrow + 1
+
+
+def test_copy_outcome_has_one_row_per_planned_file(spark):
+    """Paths listed twice (two spellings of a name), and two runs with other destinations."""
+    from filecover.operators.copy_plan import copy_outcome
+
+    plan = spark.createDataFrame([(1, "a", 5), (1, "b", 5), (1, "c", 5), (2, "a", 5), (1, "d", None)], "run_id bigint, path string, size bigint")
+    listed = [(1, "a", 5), (1, "a", 6), (1, "b", 6), (1, "b", 7), (2, "a", 5), (2, "a", 5), (1, "d", 3)]
+    got = copy_outcome(plan, spark.createDataFrame(listed, "run_id bigint, path string, size bigint"))
+    assert sorted((r["run_id"], r["path"], r["outcome"], r["reason"]) for r in got.collect()) == [
+        (1, "a", "succeeded", None), (1, "b", "failed", "size differs on destination"), (1, "c", "failed", "not on destination"),
+        (1, "d", "failed", "size differs on destination"), (2, "a", "succeeded", None),
+    ]
+    one = copy_outcome(plan.where("run_id = 1"), spark.createDataFrame([("a", 5), ("a", 9)], "path string, size bigint"))
+    assert [r["outcome"] for r in one.orderBy("path").collect()] == ["succeeded", "failed", "failed", "failed"]

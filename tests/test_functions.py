@@ -92,8 +92,10 @@ def test_exclude(manifest):
     files = manifest([("a/thumb_1.jpg", 1, 0), ("a/1.jpg", 1, 0)])
     assert exclude_matching(files, "").count() == 2
     assert [r["path"] for r in exclude_matching(files, r"thumb_\d").collect()] == ["a/1.jpg"]
-    with pytest.raises(ValueError):
-        exclude_matching(files, "(?P<n>a)")
+    assert [r["path"] for r in exclude_matching(files, r"(?P<n>_)1\.jpg\Z").collect()] == ["a/1.jpg"]
+    for refused in ("(", r"(a)(?(1)b|c)"):
+        with pytest.raises(ValueError, match="regular expression|counterpart"):
+            exclude_matching(files, refused)
 
 
 def test_outside_root(manifest):
