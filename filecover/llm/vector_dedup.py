@@ -31,7 +31,7 @@ from .near_dedup import components
 #: Classes per cell aimed at, classes of the sample per cell, rounds of k-means, and what all centres may take.
 CELL, SAMPLE, ROUNDS, CENTRES_BYTES = 512, 64, 4, 64 << 20
 #: Homes and members of a block, and similarities worked on at once.
-HOMES, MEMBERS, AT_ONCE = 1024, 4096, 1 << 21
+HOMES, MEMBERS, AT_ONCE = 1024, 4096, 1 << 18
 #: Stands for an unknown id among classes: the largest, so that known ones come first.
 UNKNOWN = (1 << 63) - 1
 
@@ -134,15 +134,17 @@ def _placed(classes: DataFrame, centres: np.ndarray, dims: int, threshold: float
     return written(classes.mapInArrow(place, "h1 long, h2 long, node long, copies long, vector binary, home int, visits array<int>"), "cells")
 
 
-def _labels(n: int, left: np.ndarray, right: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """The least label that links lead to, for each of n."""
+def _join(parent: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
+    """Join what the pairs link; `parent` leads each to the least of its group, and does so again afterwards."""
     while True:
-        new = label.copy()
-        np.minimum.at(new, left, label[right])
-        np.minimum.at(new, right, label[left])
-        if (new == label).all():
-            return label
-        label = new
+        a, b = parent[left], parent[right]
+        apart = a != b
+        if not apart.any():
+            return
+        left, right, a, b = left[apart], right[apart], a[apart], b[apart]
+        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+        while (parent[parent] != parent).any():
+            parent[:] = parent[parent]
 
 
 def _block(table: pa.Table, dims: int, threshold: float) -> pa.Table:
@@ -161,7 +163,12 @@ def _block(table: pa.Table, dims: int, threshold: float) -> pa.Table:
         at = np.minimum(np.searchsorted(slots, known), len(slots) - 1)
         returned[row, at[slots[at] == known]] = True
     counts = np.zeros(len(role), np.int64)
-    left, right = [], []
+    linked = np.zeros(len(role), bool)
+    # Rows in order of their ids: groups are led by the least.
+    order = np.lexsort((columns["h1"], columns["node"]))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    parent = np.arange(len(order))
     for start in range(0, len(homes), step := max(1, AT_ONCE // max(1, len(members)))):
         own = homes[start : start + step]
         i, j = np.nonzero(vectors[own] @ vectors[members].T >= threshold)
@@ -171,15 +178,9 @@ def _block(table: pa.Table, dims: int, threshold: float) -> pa.Table:
         np.add.at(counts, x, columns["copies"][y])
         back = (columns["home"][y] != cell) & ~returned[start + i, slot[j]]
         np.add.at(counts, y[back], columns["copies"][x[back]])
-        left.append(x)
-        right.append(y)
-    left, right = np.concatenate(left), np.concatenate(right)
-    order = np.lexsort((columns["h1"], columns["node"]))
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    root = order[_labels(len(role), left, right, rank)]
-    linked = np.zeros(len(role), bool)
-    linked[left] = linked[right] = True
+        linked[x] = linked[y] = True
+        _join(parent, rank[x], rank[y])
+    root = order[parent[rank]]
     at = np.nonzero(linked)[0]
     return pa.table({
         "h1": columns["h1"][at], "h2": columns["h2"][at], "node": columns["node"][at], "n": counts[at],
