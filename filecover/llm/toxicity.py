@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, crc_rest, large, slices, texts, written
+from .common import Words, crc_rest, large, per_worker, slices, texts, written
 from .hash_store import HashStore, write_store
 from .near_dedup import near_duplicates
 
@@ -41,6 +41,8 @@ TERM_ODDS, TERM_SURE = 4.0, 20.0
 #: Rows the classifier is fitted on, at most (about: rows are selected by hash).
 FIT_ROWS = 50_000
 BEGINNINGS = (4, 5, 6)
+#: Words a worker remembers the terms of.
+REMEMBERED = 1_000_000
 #: Dependence (nats, given the class) above which two voters are modelled together, and voters per group.
 DEPENDENT, GROUP = 0.01, 3
 MARKS = " .,;:!?\"'()[]{}<>*_-`~–—‘’“”«»¡¿"
@@ -59,29 +61,73 @@ def term_hash(term: str) -> int:
     return xxhash.xxh3_64_intdigest(term)
 
 
+class WordMemory:
+    """Words a worker has met: without marks, their terms' hashes by kind of term. Forgets all when full."""
+
+    def __init__(self):
+        self.forget()
+
+    def forget(self) -> None:
+        self.row_of: dict[str, int] = {}  # of words as they stand; -1: marks alone
+        self.bare: dict[str, int] = {}
+        self.hashes = np.zeros((1 << 16, 1 + len(BEGINNINGS)), np.uint64)
+        self.has = np.zeros((1 << 16, 1 + len(BEGINNINGS)), bool)
+        self.in_lexicon: dict[tuple, np.ndarray] = {}  # per lexicon: which terms of the first words are in it
+
+    def rows(self, vocab: pa.Array) -> np.ndarray:
+        """The row of each word."""
+        words = vocab.to_pylist()
+        if len(self.row_of) > REMEMBERED:
+            self.forget()
+        if new := [w for w in words if w not in self.row_of]:
+            self._learn(new)
+        return np.fromiter(map(self.row_of.__getitem__, words), np.int64, len(words))
+
+    def _learn(self, new: list[str]) -> None:
+        bare = pc.utf8_trim(pa.array(new, pa.large_string()), MARKS).to_pylist()
+        fresh = [w for w in dict.fromkeys(bare) if w and w not in self.bare]
+        first = len(self.bare)
+        while first + len(fresh) > len(self.hashes):
+            self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
+            self.has = np.concatenate([self.has, np.zeros_like(self.has)])
+        terms = terms_of(fresh)
+        has = np.arange(self.has.shape[1]) < np.fromiter(map(len, terms), np.int64, len(terms))[:, None]
+        self.has[first : first + len(fresh)] = has
+        self.hashes[first : first + len(fresh)][has] = np.fromiter(map(term_hash, chain.from_iterable(terms)), np.uint64, int(has.sum()))
+        self.bare.update(zip(fresh, range(first, first + len(fresh)), strict=True))
+        self.row_of.update((w, self.bare[b] if b else -1) for w, b in zip(new, bare, strict=True))
+
+    def found_in(self, store: HashStore) -> np.ndarray:
+        """Which terms of all words met are keys of `store`; each is looked up once."""
+        known = self.in_lexicon.get(store.files, np.zeros((0, self.has.shape[1]), bool))
+        if len(known) < len(self.bare):
+            new = slice(len(known), len(self.bare))
+            there = np.zeros_like(self.has[new])
+            there[self.has[new]] = store.find(self.hashes[new][self.has[new]])[0]
+            known = np.concatenate([known, there])
+            self.in_lexicon = {store.files: known}  # one lexicon is in use at a time
+        return known
+
+
 class Terms:
     """Words of a slice without marks, and which texts hold which word."""
 
     def __init__(self, text: pa.Array):
         found = Words(pc.utf8_lower(large(text)))
-        bare = pc.utf8_trim(found.vocab, MARKS).to_pylist()
+        self.memory = per_worker(WordMemory)
+        to = self.memory.rows(found.vocab)
         self.n = found.n
-        self.words = sorted({w for w in bare if w})
-        place = {w: i for i, w in enumerate(self.words)}
-        to = np.array([place.get(w, -1) for w in bare], np.int64)
+        self.words, place = np.unique(to[to >= 0], return_inverse=True)  # rows of the memory
+        to[to >= 0] = place
         ids = to[found.ids] if len(found.ids) else np.zeros(0, np.int64)
-        real = ids >= 0
-        self.ids, self.doc = ids[real], found.doc[real]
-
-    def named(self) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all terms, in order; and per word the places of its terms there (-1: none), by kind of term."""
-        known: dict[str, int] = {}
-        found = np.full((len(self.words), 1 + len(BEGINNINGS)), -1, np.int64)
-        for i, row in enumerate(terms_of(self.words)):
-            for k, t in enumerate(row):
-                found[i, k] = known.setdefault(t, len(known))
-        hashes, place = np.unique(np.fromiter(map(term_hash, known), np.uint64, len(known)), return_inverse=True)
-        return hashes, np.where(found >= 0, place[found], -1) if len(known) else found
+        self.ids, self.doc = ids[ids >= 0], found.doc[ids >= 0]  # places among them
+
+    def named(self, has: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the terms, in order; and per word the places of its terms there (-1: none), by kind of term. `has`: which terms count."""
+        has = self.memory.has[self.words] if has is None else has[self.words]
+        codes = np.full(has.shape, -1, np.int64)
+        hashes, codes[has] = np.unique(self.memory.hashes[self.words][has], return_inverse=True)
+        return hashes, codes
 
     def pairs(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(text, place of a term it holds), distinct and in order."""
@@ -101,9 +147,7 @@ class Lexicon:
 
     def hits(self, terms: Terms) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(text, hash of a term it holds), distinct; words that are or begin with a term, and bits of the voters of terms, per text."""
-        hashes, codes = terms.named()
-        there, _, _ = self.store.find(hashes)
-        codes = np.where((codes >= 0) & np.append(there, False)[codes], codes, -1)
+        hashes, codes = terms.named(terms.memory.found_in(self.store))
         doc, code = terms.pairs(codes)
         hit = (codes >= 0).any(axis=1)
         per_text = np.bincount(terms.doc[hit[terms.ids]], minlength=len(terms.n))
@@ -229,6 +273,11 @@ def induce(known: DataFrame) -> Lexicon:
     return Lexicon(write_store(written(good.select(F.col("term").alias("key"), F.col("bad").alias("texts")), "lexicon"), "lexicon"))
 
 
+def _below(wanted: int, total: int) -> int:
+    """The bound below which about `wanted` of `total` 64-bit hashes lie, however many there are."""
+    return -(1 << 63) + (wanted << 64) // total
+
+
 FEATURES = "doc_id long, held_out boolean, terms array<long>, kinds long, n_words long, n_hits long, exclaims double, capitals double"
 
 
@@ -429,9 +478,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_co
     weight = np.array([r.texts for r in patterns], float)
     model = LabelModel(share).fit(votes, weight)
 
-    total = float(weight.sum())
-    fraction = min(1.0, fit_rows / total) if total else 1.0
-    chosen = training.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * fraction))
+    total = int(weight.sum())
+    chosen = training.where(F.xxhash64("doc_id") < F.lit(_below(fit_rows, total))) if total > fit_rows else training
     table = chosen.orderBy("doc_id").toArrow().combine_chunks()
     sample = table.to_batches()[0] if table.num_rows else pa.RecordBatch.from_pylist([], schema=table.schema)
     measured = Measured(sample)
