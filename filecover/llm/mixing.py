@@ -20,6 +20,8 @@ from .sharding import _hashed
 
 #: Key ranges per source; keys have 60 bits.
 RANGE_BITS = 10
+#: Copies of a row made at once.
+TOGETHER = 1024
 #: Weights of the sources in order, repeating.
 WEIGHTS = (3, 1, 2)
 
@@ -48,14 +50,10 @@ def targets(per_source: DataFrame, share: float, most: float, weights: tuple = W
     return left.select("_none", "_source", "source_size", F.when(full, F.col("_limit")).otherwise(F.col("_w") * level).alias("target"))
 
 
-def mix(
-    docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple = WEIGHTS, seed: int = 7,
-    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-) -> DataFrame:
-    """One row per row of `docs`: doc_id, source, size, source_size, target, taken (words), passes.
+def _planned(docs: DataFrame, share: float, most: float, weights: tuple, seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """A row per distinct (doc_id, source, size), `_same` rows of `docs`: `_epochs` whole passes for each, and `_rest`.
 
-    `passes`: how often the row is in the mix, the last time perhaps in part. A null text has no
-    words and is never taken; a null source is a source of its own, the last. No rows: no rows.
+    `_rest`: words of the source's budget that are left for these rows one after the other, each taking its size at most; perhaps below 0.
     """
     rows = docs.select(
         docs[id_col].cast("long").alias("doc_id"),
@@ -77,41 +75,89 @@ def mix(
     )
     in_range = Window.partitionBy("_none", "_source", "_range").orderBy("_key", F.col("doc_id").asc_nulls_first(), "size")
     before = F.sum(F.col("size") * F.col("_same")).over(in_range) - F.col("size") * F.col("_same")
-    placed = (
-        keyed.withColumn("_before", before)
-        .join(starts, ["_none", "_source", "_range"])
-        .withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_same") - 1)))
-    )
+    placed = keyed.withColumn("_before", before).join(starts, ["_none", "_source", "_range"])
     budget = F.floor("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size")).cast("long")).otherwise(0)
-    cut = placed.withColumn("_epochs", epochs).withColumn(
-        "_rest", budget - F.col("_epochs") * F.col("source_size") - F.col("_start") - F.col("_before") - F.col("_copy") * F.col("size")
-    )
-    taken = F.col("_epochs") * F.col("size") + F.greatest(F.lit(0).cast("long"), F.least("size", "_rest"))
+    rest = budget - F.col("_epochs") * F.col("source_size") - F.col("_start") - F.col("_before")
+    return placed.withColumn("_epochs", epochs).withColumn("_rest", rest)
+
+
+def mix(
+    docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple = WEIGHTS, seed: int = 7,
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+) -> DataFrame:
+    """One row per row of `docs`: doc_id, source, size, source_size, target, taken (words), passes.
+
+    `passes`: how often the row is in the mix, the last time perhaps in part. A null text has no
+    words and is never taken; a null source is a source of its own, the last. No rows: no rows.
+    """
+    planned = _planned(docs, share, most, weights, seed, id_col, text_col, source_col)
+    cut = planned.withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_same") - 1)))
+    left = F.col("_rest") - F.col("_copy") * F.col("size")
+    taken = F.col("_epochs") * F.col("size") + F.greatest(F.lit(0).cast("long"), F.least("size", left))
     return cut.withColumn("taken", taken).select(
         "doc_id", F.when(~F.col("_none"), F.col("_source")).alias("source"), "size", "source_size", "target", "taken",
         F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(0).cast("int").alias("passes"),
     )
 
 
-def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
+def _repeated(rows: DataFrame, times: str, number: str) -> DataFrame:
+    """Each row `times` times, numbered from 0. One that is repeated often is first split into parts, and those are dealt out."""
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    few = rows.where((F.col(times) > 0) & (F.col(times) <= TOGETHER)).withColumn(number, every(F.col(times)))
+    parts = rows.where(F.col(times) > TOGETHER).withColumn("_part", every(F.ceil(F.col(times) / TOGETHER).cast("long")))
+    dealt = parts.repartition("__mix_all", "_part")
+    own = F.least(F.lit(TOGETHER).cast("long"), F.col(times) - F.col("_part") * TOGETHER)
+    many = dealt.withColumn("_at", every(own)).withColumn(number, F.col("_part") * TOGETHER + F.col("_at")).drop("_part", "_at")
+    return few.unionByName(many)
+
+
+def mixed_rows(
+    docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple = WEIGHTS, seed: int = 7,
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+) -> DataFrame:
     """The mix: rows of `docs`, with all their columns, as often as they are taken.
 
-    The row at a source's cut has its first words only, the last time it is taken, so the budget is met to the word.
-    Rows are told apart by id and text; equal rows share one place in the order.
+    The row at a source's cut has its first words only, the last time it is taken, so each source's budget is met to the word.
+    Rows of one id, text and source share one place in the order, and take their words one after the other, however many they are;
+    rows that are equal in every column leave the first scan once, with their number. Rows with a null text have no words: they go.
     """
     from pyspark.sql.types import StringType
 
-    keyed = docs.withColumn("__mix_row", F.xxhash64(docs[id_col], docs[text_col]))
-    takes = mix(keyed, id_col="__mix_row", text_col=text_col, **parameters).groupBy(F.col("doc_id").alias("__mix_row")).agg(
-        F.max("size").alias("__mix_size"), F.max("taken").alias("__mix_taken"), F.max("passes").alias("__mix_passes")
+    key = ["__mix_row", "__mix_none", "__mix_source"]
+    keyed = docs.withColumns({
+        "__mix_row": F.xxhash64(docs[id_col], docs[text_col]), "__mix_none": docs[source_col].isNull(),
+        "__mix_source": F.coalesce(docs[source_col].cast("string"), F.lit("")), "__mix_all": F.xxhash64(*[docs[c] for c in docs.columns]),
+    })
+    planned = _planned(keyed, share, most, weights, seed, "__mix_row", text_col, source_col).select(
+        F.col("doc_id").alias("__mix_row"), F.col("_none").alias("__mix_none"), F.col("_source").alias("__mix_source"),
+        F.col("size").alias("__mix_size"), F.col("_same").alias("__mix_same"), F.col("_epochs").alias("__mix_epochs"), F.col("_rest").alias("__mix_rest"),
+    ).where("__mix_size > 0")
+    counts = keyed.groupBy(*key, "__mix_all").agg(F.count(F.lit(1)).alias("__mix_n"))
+    along = Window.partitionBy(*key).orderBy("__mix_all").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("long")
+    first = F.coalesce(F.sum("__mix_n").over(along), zero)  # of the equal rows' places, those of this kind begin here
+    size, same, rest, n = (F.col(f"__mix_{c}") for c in ("size", "same", "rest", "n"))
+    whole = F.greatest(zero, F.least(same, F.floor(rest / size).cast("long")))  # places that take their whole size once more
+    partly = (rest > whole * size) & (whole < same)  # the next one takes what remains
+    begin, end = F.col("__mix_first"), F.col("__mix_first") + n
+    takes = (
+        counts.withColumn("__mix_first", first)
+        .join(planned, key)
+        .withColumn("__mix_whole", F.col("__mix_epochs") * n + F.greatest(zero, F.least(end, whole) - begin))
+        .withColumn("__mix_words", F.when(partly & (whole >= begin) & (whole < end), rest - whole * size).otherwise(zero))
+        .withColumn("__mix_times", F.col("__mix_whole") + F.when(F.col("__mix_words") > 0, 1).otherwise(0))
+        .select(*key, "__mix_all", "__mix_whole", "__mix_words", "__mix_times")
+        .where("__mix_times > 0")
     )
-    repeated = keyed.join(takes.where("__mix_passes > 0"), "__mix_row").withColumn("__mix_pass", F.explode(F.sequence(F.lit(1), F.col("__mix_passes"))))
-    words = F.least(F.col("__mix_size"), F.col("__mix_taken") - (F.col("__mix_pass") - 1) * F.col("__mix_size"))
+    # One row of those that are equal in all columns; each task hands on one.
+    one = F.row_number().over(Window.partitionBy(*key, "__mix_all").orderBy("__mix_all"))
+    distinct = keyed.withColumn("__mix_one", one).where("__mix_one = 1").drop("__mix_one")
+    repeated = _repeated(distinct.join(takes, [*key, "__mix_all"]), "__mix_times", "__mix_pass")
     # A text's pieces from the end of a word to the end of the next, so joining them gives the text again.
     pieces = F.split(F.col(text_col), f"(?<=[^{SPACE}])(?=[{SPACE}])")
-    front = F.array_join(F.slice(pieces, 1, F.greatest(words, F.lit(1)).cast("int")), "")
-    text = F.when(words < F.col("__mix_size"), front).otherwise(F.col(text_col)).cast(StringType())
+    front = F.array_join(F.slice(pieces, 1, F.greatest(F.col("__mix_words"), F.lit(1)).cast("int")), "")
+    text = F.when(F.col("__mix_pass") >= F.col("__mix_whole"), front).otherwise(F.col(text_col)).cast(StringType())
     return repeated.withColumn(text_col, text).select(*docs.columns)
 
 

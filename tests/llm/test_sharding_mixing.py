@@ -97,3 +97,39 @@ def test_rows_of_the_mix(spark, nothing):
         assert len(held) == plan.passes and sum(len(words(t)) for t in held) == plan.taken
         assert all(text.startswith(t) for t in held) and all(t == text for t in held[:-1])
     assert mixed_rows(docs).columns == docs.columns and mixed_rows(nothing).count() == 0
+
+
+def test_repeated_rows_of_the_mix(spark, monkeypatch):
+    """Equal rows, equal texts in two sources and under two languages: each source's budget is met to the word."""
+    from filecover.llm import mixing
+
+    monkeypatch.setattr(mixing, "TOGETHER", 2)
+    texts = [" ".join(f"w{i}x{k}" for k in range(i % 9 + 2)) for i in range(12)]
+    rows = [(i, t, "en", f"s{i % 2}", 0, "k", "s", 1, 1, "x", "r") for i, t in enumerate(texts)]
+    rows += [rows[3]] * 9 + [rows[4]] * 4 + [(*rows[3][:2], "de", *rows[3][3:])] * 3 + [(*rows[5][:3], "s0", *rows[5][4:])] * 2 + [(None, "no id", "en", None, 0, "k", "s", 1, 1, "x", "r")] * 3
+    docs = spark.createDataFrame(rows, COLUMNS).repartition(3)
+    for share in (0.5, 1.5, 1.9):
+        plan = mix(docs, share).collect()
+        sizes, taken, given = defaultdict(int), defaultdict(int), defaultdict(int)
+        for r in rows:
+            sizes[r[3]] += len(words(r[1]))
+        for r in plan:
+            taken[r.source] += r.taken
+        got = mixed_rows(docs, share=share).collect()
+        for r in got:
+            given[r.source] += len(words(r.text))
+            assert any(t.startswith(r.text) and r.doc_id == i and r.source == s and r.lang == lang for i, t, lang, s, *_ in rows)
+        targets = wanted(sizes, share, 2.0)
+        assert dict(given) == {s: n for s, n in taken.items() if n}
+        assert all(abs(given[s] - t) <= 1 for s, t in targets.items())
+        # No row more often than twice its number, none of several equal ones left out where the whole source is taken.
+        times = Counter((r.doc_id, r.lang, r.source) for r in got)
+        number = Counter((r[0], r[2], r[3]) for r in rows)
+        assert all(times[k] <= 2 * number[k] for k in times)
+        assert Counter(map(tuple, mixed_rows(docs.repartition(5), share=share).collect())) == Counter(map(tuple, got))
+
+
+def test_one_row_five_times(spark):
+    rows = [(1, "a b c d e f g", "en", "s", 0, "k", "s", 1, 1, "x", "r")] * 5 + [(2, "h i j k l m n", "en", "s", 0, "k", "s", 1, 1, "x", "r")]
+    got = mixed_rows(spark.createDataFrame(rows, COLUMNS), share=0.5).collect()
+    assert sum(len(words(r.text)) for r in got) == 21
