@@ -130,13 +130,24 @@ class Terms:
         return hashes, codes
 
     def pairs(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(text, place of a term it holds), distinct and in order."""
-        words = len(self.words) + 1
-        held = np.unique(self.doc * words + self.ids)
-        of = codes[held % words]
-        real, size = of >= 0, int(codes.max(initial=0)) + 1
-        both = np.unique(((held // words)[:, None] * size + of)[real])
-        return both // size, both % size
+        """(text, place of a term it holds), distinct; words without a place are left out first.
+
+        Words are put in an order in which those of one beginning stand together, longer beginnings within shorter ones, so that
+        in a text equal terms are neighbours.
+        """
+        counts = (codes >= 0).any(axis=1)
+        mine = counts[self.ids]
+        order = np.lexsort(codes.T[:0:-1])
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        doc, word = np.divmod(np.unique(self.doc[mine] * (len(order) + 1) + rank[self.ids[mine]]), len(order) + 1)
+        docs, places = [], []
+        for of in codes[order[word]].T:
+            own, place = doc[of >= 0], of[of >= 0]
+            new = np.concatenate([[True], (own[1:] != own[:-1]) | (place[1:] != place[:-1])])[: len(own)]
+            docs.append(own[new])
+            places.append(place[new])
+        return np.concatenate(docs), np.concatenate(places)
 
 
 @dataclass(frozen=True)
@@ -146,9 +157,11 @@ class Lexicon:
     store: HashStore
 
     def hits(self, terms: Terms) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(text, hash of a term it holds), distinct; words that are or begin with a term, and bits of the voters of terms, per text."""
+        """(text, hash of a term it holds), distinct and in order; words that are or begin with a term, and bits of the voters of terms, per text."""
         hashes, codes = terms.named(terms.memory.found_in(self.store))
         doc, code = terms.pairs(codes)
+        order = np.lexsort((code, doc))
+        doc, code = doc[order], code[order]
         hit = (codes >= 0).any(axis=1)
         per_text = np.bincount(terms.doc[hit[terms.ids]], minlength=len(terms.n))
         voters = np.where(codes >= 0, np.arange(codes.shape[1]) + 2, -1)
