@@ -241,7 +241,8 @@ def near_vectors(
     found = _linked(_placed(classes, fitted(classes, size.n, dims, k), dims, threshold), dims, threshold)
     node = lambda a, b: F.struct(F.col(a).alias("id"), F.col(b).alias("mark"))
     links = found.select(node("node", "h1").alias("a"), node("root", "root_mark").alias("b")).where("a != b")
-    roots = components(links.select(F.col("a").alias("key")).distinct(), links)
+    # The least of a block's group stands on the right only, but may be joined to a lesser one elsewhere.
+    roots = components(links.select(F.explode(F.array("a", "b")).alias("key")).distinct(), links)
     counts = found.groupBy("h1", "h2").agg(F.sum("n").alias("n"))
     known = classes.join(counts, ["h1", "h2"], "left").withColumn("key", node("node", "h1")).join(roots, "key", "left")
     totals = written(
