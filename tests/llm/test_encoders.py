@@ -67,7 +67,6 @@ def test_planes_round_trip(planes, tmp_path):
 def test_files(sample, nothing, planes):
     rows, docs = sample
     tokenizer = Tokenizer.from_file(WORDS)
-    tokenizer.encode_special_tokens = True
     coded = [(r[0], [*tokenizer.encode(r[1] or "", add_special_tokens=False).ids, 2]) for r in rows]
     raw = lambda ids: np.array(ids, "<u4").tobytes()
     coded.sort(key=lambda x: (x[0] is not None, x[0] or 0, np.array(x[1], "<u2").tobytes()))

@@ -88,6 +88,9 @@ def test_toxicity(spark):
     held = known[known.held_out]
     assert len(rows) == 1000 and len(held) > 50
     assert (held.predicted == held.toxic).mean() > 0.9
+    # Better than calling every text clean: most toxic ones are found, and what is found is toxic.
+    caught = ((held.predicted == 1) & (held.toxic == 1)).sum()
+    assert caught >= 0.5 * (held.toxic == 1).sum() and caught >= 0.8 * (held.predicted == 1).sum()
     assert ((known.predicted == 1) & (known.toxic == 0)).sum() <= 3
     assert ((rows.score >= 0.5) == (rows.predicted == 1)).all() and rows.score.between(0, 1).all()
 
@@ -131,3 +134,42 @@ def test_rare_toxic_terms_behind_many_frequent_words(spark):
         docs[i] = " ".join([*draw.sample(words, 20), "zzz1", "zzz2"] if i < 312 else draw.sample(words, 20))
     found = predicted(spark, docs, set(range(60)), range(230))
     assert found >= set(range(300, 312)) and not found & set(range(312, 360))
+
+
+def test_rows_of_the_fit_at_any_size():
+    """About as many hashes lie below the bound as are wanted, also where they are one in ten billion."""
+    from filecover.llm.toxicity import _below
+
+    for wanted, total in ((10, 10**11), (50_000, 60_000), (50_000, 10**15)):
+        share = (_below(wanted, total) + (1 << 63)) / 2**64
+        assert share > 0 and abs(share * total - wanted) < 1e-3 * wanted
+
+
+def test_remembered_words_have_the_terms_of_new_ones(monkeypatch):
+    """Terms by slice are the same whether a worker remembers all words, has just met them, or forgets at every slice."""
+    import pyarrow as pa
+
+    from filecover.llm import toxicity as module
+
+    slices = [pa.array(t, pa.large_string()) for t in (["Words, and (more) WORDS!", "", "... -"], ["more other words", "länger längere"], ["words"])]
+
+    def found():
+        out = []
+        for text in slices:
+            terms = module.Terms(text)
+            hashes, codes = terms.named()
+            doc, code = terms.pairs(codes)
+            out.append((terms.n.tolist(), sorted(zip(doc.tolist(), hashes[code].tolist(), strict=True))))
+        return out
+
+    for remembered in (10**6, 0):
+        monkeypatch.setattr(module, "REMEMBERED", remembered)
+        got = found()
+        for text, (_, pairs) in zip(slices, got, strict=True):
+            want = set()
+            for doc, t in enumerate(text.to_pylist()):
+                for w in t.lower().split():
+                    bare = w.strip(module.MARKS)
+                    for term in [bare, *(f"{n}:{bare[:n]}" for n in module.BEGINNINGS if len(bare) > n)] if bare else []:
+                        want.add((doc, xxhash.xxh3_64_intdigest(term)))
+            assert set(pairs) == want
