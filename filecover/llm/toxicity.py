@@ -41,8 +41,8 @@ TERM_ODDS, TERM_SURE = 4.0, 20.0
 #: Rows the classifier is fitted on, at most (about: rows are selected by hash).
 FIT_ROWS = 50_000
 BEGINNINGS = (4, 5, 6)
-#: Words a worker remembers the terms of.
-REMEMBERED = 1_000_000
+#: Words a worker remembers the terms of: with those of a slice about 300 MB, and two workers share an executor's memory.
+REMEMBERED = 250_000
 #: Dependence (nats, given the class) above which two voters are modelled together, and voters per group.
 DEPENDENT, GROUP = 0.01, 3
 MARKS = " .,;:!?\"'()[]{}<>*_-`~–—‘’“”«»¡¿"
