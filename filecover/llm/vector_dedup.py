@@ -7,8 +7,9 @@
    plane halfway between a and b separates them, so the angle between x and y is at least the sum of
    their angles to that plane. Two vectors within the angle of the threshold therefore have one of the two within half
    that angle of the plane, and that one visits the other's cell: x visits b if x.a - x.b <= |a - b| sin(angle / 2).
-4. Homes of a cell are compared with all that are in it (homes and visitors), block by block, by matrix products in double
-   precision. A block returns a row per class that has links: how many, and the least class it is joined to.
+4. Homes of a cell are compared with all that are in it (homes and visitors), block by block, by matrix products: in single
+   precision for all, with a margin that no rounding exceeds, and in double precision where that leaves a pair. A block
+   returns a row per class that has links: how many, and the least class it is joined to.
    Pairs never become rows. A pair that meets in both cells counts once for each side.
 5. Classes are joined to components by the least id.
 
@@ -29,9 +30,10 @@ from .common import hand_back, written
 from .near_dedup import components
 
 #: Classes per cell aimed at, classes of the sample per cell, rounds of k-means, and what all centres may take.
-CELL, SAMPLE, ROUNDS, CENTRES_BYTES = 512, 64, 4, 64 << 20
-#: Homes and members of a block, and similarities worked on at once.
-HOMES, MEMBERS, AT_ONCE = 1024, 4096, 1 << 18
+#: A row that is dealt to a cell costs as much as some thousand products, so cells are no smaller.
+CELL, SAMPLE, ROUNDS, CENTRES_BYTES = 4096, 64, 4, 64 << 20
+#: Homes and members of a block at most, the bytes that the vectors of either may take, and similarities worked on at once.
+HOMES, MEMBERS, BLOCK_BYTES, AT_ONCE = 8192, 16384, 8 << 20, 1 << 18
 #: Stands for an unknown id among classes: the largest, so that known ones come first.
 UNKNOWN = (1 << 63) - 1
 
@@ -147,6 +149,21 @@ def _join(parent: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
             parent[:] = parent[parent]
 
 
+def _products(left: np.ndarray, right: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (rows of the left, of the right) of unit vectors with a product of at least `threshold` in double precision, in pieces.
+
+    A product in single precision differs by less than (dims + 2) units of 2^-24, as the vectors have length 1; the margin is four times that.
+    """
+    margin = (left.shape[1] + 2) * 2.0**-22
+    narrow, other = left.astype(np.float32), np.ascontiguousarray(right.astype(np.float32).T)
+    for start in range(0, len(left), step := max(1, AT_ONCE // max(1, len(right)))):
+        near = narrow[start : start + step] @ other >= threshold - margin
+        if near.any():
+            rows, columns = np.nonzero(near.any(axis=1))[0], np.nonzero(near.any(axis=0))[0]
+            i, j = np.nonzero(left[start + rows] @ right[columns].T >= threshold)
+            yield start + rows[i], columns[j]
+
+
 def _block(table: pa.Table, dims: int, threshold: float) -> pa.Table:
     """Links of one block: per class that has some, their number and the least class (node, mark) it is joined to."""
     columns = {c: table.column(c).to_numpy() for c in ("h1", "h2", "node", "copies", "home", "cell")}
@@ -169,14 +186,12 @@ def _block(table: pa.Table, dims: int, threshold: float) -> pa.Table:
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
     parent = np.arange(len(order))
-    for start in range(0, len(homes), step := max(1, AT_ONCE // max(1, len(members)))):
-        own = homes[start : start + step]
-        i, j = np.nonzero(vectors[own] @ vectors[members].T >= threshold)
-        x, y = own[i], members[j]
+    for i, j in _products(vectors[homes], vectors[members], threshold):
+        x, y = homes[i], members[j]
         other = (columns["h1"][x] != columns["h1"][y]) | (columns["h2"][x] != columns["h2"][y])
         i, j, x, y = i[other], j[other], x[other], y[other]
         np.add.at(counts, x, columns["copies"][y])
-        back = (columns["home"][y] != cell) & ~returned[start + i, slot[j]]
+        back = (columns["home"][y] != cell) & ~returned[i, slot[j]]
         np.add.at(counts, y[back], columns["copies"][x[back]])
         linked[x] = linked[y] = True
         _join(parent, rank[x], rank[y])
@@ -190,11 +205,12 @@ def _block(table: pa.Table, dims: int, threshold: float) -> pa.Table:
 
 def _linked(placed: DataFrame, dims: int, threshold: float) -> DataFrame:
     """(h1, h2, node, n, root, root_mark): what each block found about each class with links."""
+    most_homes, most_members = (max(1, min(n, BLOCK_BYTES // (8 * dims))) for n in (HOMES, MEMBERS))
     sizes = (
         placed.select("home", F.explode(F.concat(F.array("home"), "visits")).alias("cell"))
         .groupBy("cell")
         .agg(F.count(F.when(F.col("home") == F.col("cell"), 1)).alias("homes"), F.count(F.lit(1)).alias("members"))
-        .select("cell", F.ceil(F.col("homes") / HOMES).cast("int").alias("hb"), F.ceil(F.col("members") / MEMBERS).cast("int").alias("mb"))
+        .select("cell", F.ceil(F.col("homes") / most_homes).cast("int").alias("hb"), F.ceil(F.col("members") / most_members).cast("int").alias("mb"))
         .where("hb > 0")
     )
     inside = placed.withColumn("cell", F.explode(F.concat(F.array("home"), "visits"))).join(F.broadcast(sizes), "cell")  # a row per cell

@@ -106,3 +106,29 @@ def test_centres_separate_groups(spark):
     assert np.allclose(np.linalg.norm(centres, axis=1), 1)
     packed = classes.select("vector").toArrow().column("vector").combine_chunks()
     assert ((unit_rows(packed, 6) @ centres.T).max(axis=1) > 0.97).mean() > 0.9
+
+
+def test_vectors_without_clusters_visit_few_cells(spark):
+    """Each visits most cells, so cells are large: rows dealt stay below a few times the input (2,600 vectors visited 5 cells of 512)."""
+    draw = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, draw.normal(size=16).tolist()) for i in range(2600)], "vec_id bigint, embedding array<double>")
+    classes = vector_dedup._classes(df.selectExpr("vec_id", "true as usable", "xxhash64(embedding) as h1", "xxhash64(1, embedding) as h2", "embedding as vector"))
+    k = max(1, 2600 // vector_dedup.CELL)
+    placed = vector_dedup._placed(classes, fitted(classes, 2600, 16, k), 16, 0.9)
+    assert placed.selectExpr("sum(1 + size(visits)) as n").first().n <= 2 * 2600
+
+
+@pytest.mark.parametrize("at_once", [1 << 18, 64])
+def test_pairs_close_to_the_threshold(monkeypatch, at_once):
+    """What single precision leaves is decided in double precision: cosines a billionth above and below."""
+    monkeypatch.setattr(vector_dedup, "AT_ONCE", at_once)
+    draw = np.random.default_rng(6)
+    x = draw.normal(size=(300, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    aside = draw.normal(size=x.shape)
+    aside -= (aside * x).sum(axis=1, keepdims=True) * x
+    aside /= np.linalg.norm(aside, axis=1, keepdims=True)
+    cosine = np.where(np.arange(300) % 2, 0.9 + 1e-9, 0.9 - 1e-9)[:, None]
+    y = cosine * x + np.sqrt(1 - cosine**2) * aside
+    got = {(i, j) for a, b in vector_dedup._products(x, y, 0.9) for i, j in zip(a.tolist(), b.tolist(), strict=True)}
+    assert got == {(i, i) for i in range(1, 300, 2)}
