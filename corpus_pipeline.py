@@ -5,6 +5,8 @@ Each stage takes (spark, docs, sf_dir) and returns rows with the columns of docu
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,7 @@ from filecover.llm.mixing import mixed_rows
 from filecover.llm.near_dedup import one_of_each
 from filecover.llm.repetition import keep_good
 from filecover.llm.suffix_dedup import without_repeats
+from filecover.session import BATCH_BYTES, SETTINGS
 
 
 def _measured(docs: DataFrame) -> DataFrame:
@@ -54,12 +57,22 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     )
 
 
+def _bounded(stage: Callable) -> Callable:
+    """The stage with Arrow batches bounded by bytes: workers outlive a stage, and what batches took stays with them."""
+
+    def bounded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set(BATCH_BYTES, SETTINGS[BATCH_BYTES])
+        return stage(spark, docs, sf_dir)
+
+    return bounded
+
+
 STAGES = [
-    ("quality rules", quality),
-    ("MinHash near-dedup", near_dedup),
-    ("suffix-array dedup", suffix_dedup),
-    ("mixing to target weights", mixing),
-    ("byte-level BPE", encoding),
+    ("quality rules", _bounded(quality)),
+    ("MinHash near-dedup", _bounded(near_dedup)),
+    ("suffix-array dedup", _bounded(suffix_dedup)),
+    ("mixing to target weights", _bounded(mixing)),
+    ("byte-level BPE", _bounded(encoding)),
 ]
 #: SQL can express neither suffix removal to whole characters nor the merges; a brute-force version tests the rows.
 ORACLE_SQL = None

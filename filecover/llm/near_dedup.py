@@ -396,18 +396,16 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     store = write_store(ids.where("doc_id is not null").select(F.col("doc_id").alias("key"), (F.col("n") > 1).cast("long").alias("again")), "kept")
     unknown = not ids.where("doc_id is null").isEmpty()
 
-    def rows(again: int) -> DataFrame:
-        """Kept rows whose id occurs once, or more often; those of unknown ids are among the latter."""
-
-        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                own = batch.column(id_col).cast(pa.int64())
-                there, values, _ = store.find(pc.fill_null(own, 0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
-                null = pc.is_null(own).to_numpy(zero_copy_only=False)
-                chosen = np.where(null, unknown and again == 1, there & (values[:, 0] == again))
-                yield batch.filter(pa.array(chosen))
-
-        return docs.mapInArrow(keep, docs.schema)
+    @F.arrow_udf("long")
+    def again(ids: pa.Array) -> pa.Array:
+        """0 for a kept id that occurs once, 1 if it occurs more often, else null; unknown ids are among the latter."""
+        there, values, _ = store.find(pc.fill_null(ids, 0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+        null = pc.is_null(ids).to_numpy(zero_copy_only=False)
+        return pa.array(np.where(null, 1, values[:, 0]), mask=np.where(null, not unknown, ~there))
+
+    def rows(times: int) -> DataFrame:
+        """Kept rows whose id occurs once (0), or more often (1). Only ids go to Python and back."""
+        return docs.where(again(docs[id_col].cast("long")) == times)
 
     # Texts are filtered where they are read; only rows of repeated ids are shuffled, to keep one of those that are equal.
     same = rows(1).withColumn("__near_text", F.xxhash64(text_col)).dropDuplicates([id_col, "__near_text"]).drop("__near_text")

@@ -80,3 +80,9 @@ def test_one_row_of_each(sample, nothing):
 def test_fixture_has_groups():
     sizes = Counter(shingles(t, 4) for t in sample_texts())
     assert max(sizes.values()) > 1
+
+
+def test_kept_rows_stay_out_of_python(sample):
+    """The last pass, over all columns, gives Python ids only."""
+    plan = one_of_each(sample[1])._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "ArrowEvalPython" in plan

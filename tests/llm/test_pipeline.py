@@ -2,8 +2,10 @@ from collections import Counter
 
 import corpus_pipeline
 import public_tokenizers
+import pyarrow as pa
 
 from filecover.llm.byte_bpe import encoder, vocabulary
+from filecover.session import BATCH_BYTES
 
 from .test_near_dedup import expected as grouped
 from .test_repetition import judged
@@ -54,3 +56,17 @@ def test_stages_against_brute_force(spark):
     want = Counter((r.doc_id, bpe.encode(r.text)) for r in mixed.collect())
     assert Counter((r.doc_id, bytes(r.ids)) for r in stages["byte-level BPE"](spark, mixed, SF).collect()) == want
     assert Counter((r.doc_id, bytes(r.ids)) for r in corpus_pipeline.run(spark, SF).collect()) == want
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    """24 MB of texts in one partition reach Python in batches of 8 MB or so, though the session allows 64."""
+    docs = spark.range(1200).selectExpr("id as doc_id", "repeat('twenty bytes, text. ', 1000) as text").coalesce(1)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"bytes": [batch.nbytes]})
+
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        spark.conf.set(BATCH_BYTES, "64m")
+        stage(spark, spark.read.parquet(f"{SF}/documents.parquet").limit(3), SF)
+        assert max(r.bytes for r in docs.mapInArrow(sizes, "bytes long").collect()) < 9 << 20
