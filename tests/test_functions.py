@@ -101,3 +101,17 @@ def test_exclude(manifest):
 def test_outside_root(manifest):
     files = manifest([("/m/a", 1, 0), ("/m/a/b", 1, 0), ("/m/ab", 1, 0)])
     assert [r["path"] for r in outside_root(files, F.col("path"), "/m/a/").collect()] == ["/m/ab"]
+
+
+def test_nfc_works_in_bounded_pieces(spark):
+    """Names of 6 MB in one batch, nulls among them; registered queries bound batches whatever the session allows."""
+    import unicodedata
+
+    import __spark_entry__ as driver
+    from filecover.session import BATCH_BYTES, SETTINGS
+
+    names = spark.range(3000).coalesce(1).selectExpr("id", "if(id % 7 = 0, null, concat(id, repeat('e\u0301', 700))) as v")
+    got = names.select("v", paths.nfc(F.col("v")).alias("n")).collect()
+    assert len(got) == 3000 and all(r.n == (r.v and unicodedata.normalize("NFC", r.v)) for r in got)
+    spark.conf.set(BATCH_BYTES, "64m")
+    assert driver.queries()["nfc_paths"](spark, "/root/testdata/sf0.001").count() and spark.conf.get(BATCH_BYTES) == SETTINGS[BATCH_BYTES]
