@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, combinations
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, crc_rest, large, per_worker, slices, texts, written
+from .common import FOLD, Words, crc_rest, large, per_worker, slices, texts, written
 from .hash_store import HashStore, write_store
 from .near_dedup import near_duplicates
 
@@ -41,7 +41,7 @@ TERM_ODDS, TERM_SURE = 4.0, 20.0
 #: Rows the classifier is fitted on, at most (about: rows are selected by hash).
 FIT_ROWS = 50_000
 BEGINNINGS = (4, 5, 6)
-#: Words a worker remembers the terms of: with those of a slice about 300 MB, and two workers share an executor's memory.
+#: Long terms a worker remembers the hashes of, at most: about 60 MB.
 REMEMBERED = 250_000
 #: Dependence (nats, given the class) above which two voters are modelled together, and voters per group.
 DEPENDENT, GROUP = 0.01, 3
@@ -52,81 +52,113 @@ VOTERS = (
 )
 
 
-def terms_of(words: list[str]) -> list[tuple[str, ...]]:
-    """The word and its beginnings, marked by their length."""
-    return [(w, *(f"{n}:{w[:n]}" for n in BEGINNINGS if len(w) > n)) for w in words]
-
-
-def term_hash(term: str) -> int:
+def term_hash(term: bytes) -> int:
     return xxhash.xxh3_64_intdigest(term)
 
 
-class WordMemory:
-    """Words a worker has met: without marks, their terms' hashes by kind of term. Forgets all when full."""
+def _u64(data: np.ndarray, at: np.ndarray, width: int = 8) -> np.ndarray:
+    """The little-endian numbers of `width` bytes at places of `data`."""
+    every = np.ndarray((max(0, len(data) - width + 1),), f"<u{width}", data, strides=(1,))
+    return every[at].astype(np.uint64)
+
+
+def _high(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The upper 64 bits of 64-bit products."""
+    half, low = np.uint64(32), np.uint64(0xFFFFFFFF)
+    a0, a1, b0, b1 = a & low, a >> half, b & low, b >> half
+    cross = a1 * b0 + (a0 * b0 >> half)
+    return a1 * b1 + (cross >> half) + ((a0 * b1 + (cross & low)) >> half)
+
+
+def term_hashes(terms: pa.Array) -> np.ndarray:
+    """``term_hash`` of each of the large strings. Those of at most 16 bytes, nearly all, are hashed as arrays: XXH3's rules for short inputs."""
+    n = len(terms)
+    if not n:
+        return np.zeros(0, np.uint64)
+    _, ends, bytes_ = terms.buffers()
+    ends = np.frombuffer(ends, np.int64, n + 1, 8 * terms.offset)
+    data = np.frombuffer(bytes_, np.uint8) if bytes_ else np.zeros(0, np.uint8)
+    start, size = ends[:-1], ends[1:] - ends[:-1]
+    u, out = np.uint64, np.zeros(n, np.uint64)
+
+    few = np.nonzero((size >= 1) & (size <= 3))[0]
+    at, length = start[few], size[few]
+    first, middle, last = (data[at + k].astype(u) for k in (0, length >> 1, length - 1))
+    h = (first << u(16) | middle << u(24) | last | length.astype(u) << u(8)) ^ u(0x87275A9B)
+    h = (h ^ h >> u(33)) * FOLD
+    h = (h ^ h >> u(29)) * u(0x165667B19E3779F9)
+    out[few] = h ^ h >> u(32)
+
+    some = np.nonzero((size >= 4) & (size <= 8))[0]
+    at, length = start[some], size[some]
+    h = (_u64(data, at, 4) << u(32) | _u64(data, at + length - 4, 4)) ^ u(0xC73AB174C5ECD5A2)
+    h = (h ^ (h << u(49) | h >> u(15)) ^ (h << u(24) | h >> u(40))) * u(0x9FB21C651E98DF25)
+    h = (h ^ (h >> u(35)) + length.astype(u)) * u(0x9FB21C651E98DF25)
+    out[some] = h ^ h >> u(28)
+
+    more = np.nonzero((size >= 9) & (size <= 16))[0]
+    at, length = start[more], size[more]
+    low, high = _u64(data, at) ^ u(0x6782737BEA4239B9), _u64(data, at + length - 8) ^ u(0xAF56BC3B0996523A)
+    h = length.astype(u) + low.byteswap() + high + (low * high ^ _high(low, high))
+    h = (h ^ h >> u(37)) * u(0x165667919E3779F9)
+    out[more] = h ^ h >> u(32)
+
+    rest = np.nonzero((size == 0) | (size > 16))[0]
+    if len(rest):
+        out[rest] = per_worker(LongTerms).hashes(terms.take(pa.array(rest)))
+    return out
+
+
+class LongTerms:
+    """Hashes of terms of more than 16 bytes a worker has met. Forgets all when full."""
 
     def __init__(self):
-        self.forget()
-
-    def forget(self) -> None:
-        self.row_of: dict[str, int] = {}  # of words as they stand; -1: marks alone
-        self.bare: dict[str, int] = {}
-        self.hashes = np.zeros((1 << 16, 1 + len(BEGINNINGS)), np.uint64)
-        self.has = np.zeros((1 << 16, 1 + len(BEGINNINGS)), bool)
-        self.in_lexicon: dict[tuple, np.ndarray] = {}  # per lexicon: which terms of the first words are in it
-
-    def rows(self, vocab: pa.Array) -> np.ndarray:
-        """The row of each word."""
-        words = vocab.to_pylist()
-        if len(self.row_of) > REMEMBERED:
-            self.forget()
-        if new := [w for w in words if w not in self.row_of]:
-            self._learn(new)
-        return np.fromiter(map(self.row_of.__getitem__, words), np.int64, len(words))
-
-    def _learn(self, new: list[str]) -> None:
-        bare = pc.utf8_trim(pa.array(new, pa.large_string()), MARKS).to_pylist()
-        fresh = [w for w in dict.fromkeys(bare) if w and w not in self.bare]
-        first = len(self.bare)
-        while first + len(fresh) > len(self.hashes):
-            self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
-            self.has = np.concatenate([self.has, np.zeros_like(self.has)])
-        terms = terms_of(fresh)
-        has = np.arange(self.has.shape[1]) < np.fromiter(map(len, terms), np.int64, len(terms))[:, None]
-        self.has[first : first + len(fresh)] = has
-        self.hashes[first : first + len(fresh)][has] = np.fromiter(map(term_hash, chain.from_iterable(terms)), np.uint64, int(has.sum()))
-        self.bare.update(zip(fresh, range(first, first + len(fresh)), strict=True))
-        self.row_of.update((w, self.bare[b] if b else -1) for w, b in zip(new, bare, strict=True))
+        self.known: dict[bytes, int] = {}
 
-    def found_in(self, store: HashStore) -> np.ndarray:
-        """Which terms of all words met are keys of `store`; each is looked up once."""
-        known = self.in_lexicon.get(store.files, np.zeros((0, self.has.shape[1]), bool))
-        if len(known) < len(self.bare):
-            new = slice(len(known), len(self.bare))
-            there = np.zeros_like(self.has[new])
-            there[self.has[new]] = store.find(self.hashes[new][self.has[new]])[0]
-            known = np.concatenate([known, there])
-            self.in_lexicon = {store.files: known}  # one lexicon is in use at a time
-        return known
+    def hashes(self, terms: pa.Array) -> np.ndarray:
+        if len(self.known) > REMEMBERED:
+            self.known = {}
+        words = terms.cast(pa.large_binary()).to_pylist()
+        self.known.update((w, term_hash(w)) for w in words if len(w) <= 128 and w not in self.known)
+        return np.fromiter((self.known[w] if w in self.known else term_hash(w) for w in words), np.uint64, len(words))
 
 
 class Terms:
-    """Words of a slice without marks, and which texts hold which word."""
+    """Words of a slice without marks, and which texts hold which word.
+
+    `hashes` holds those of a word and of its beginnings (marked by their length) beside one another, `has` which of them there are.
+    """
 
     def __init__(self, text: pa.Array):
         found = Words(pc.utf8_lower(large(text)))
-        self.memory = per_worker(WordMemory)
-        to = self.memory.rows(found.vocab)
         self.n = found.n
-        self.words, place = np.unique(to[to >= 0], return_inverse=True)  # rows of the memory
-        to[to >= 0] = place
-        ids = to[found.ids] if len(found.ids) else np.zeros(0, np.int64)
-        self.ids, self.doc = ids[ids >= 0], found.doc[ids >= 0]  # places among them
+        bare = pc.utf8_trim(found.vocab, MARKS).dictionary_encode()
+        words, to = bare.dictionary, bare.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        empty = pc.equal(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
+        to = np.where(empty, -1, np.cumsum(~empty) - 1)[to] if len(to) else to
+        words = words.filter(pa.array(~empty))
+        letters = pc.utf8_length(words).to_numpy(zero_copy_only=False)
+        self.has = letters[:, None] > np.array([0, *BEGINNINGS])
+        self.hashes = np.zeros(self.has.shape, np.uint64)
+        self.hashes[:, 0] = term_hashes(words)
+        for k, n in enumerate(BEGINNINGS, 1):
+            begins = pc.utf8_slice_codeunits(words.filter(pa.array(self.has[:, k])), 0, n).dictionary_encode()
+            marked = pc.binary_join_element_wise(pa.scalar(f"{n}:", pa.large_string()), begins.dictionary, pa.scalar("", pa.large_string()))
+            self.hashes[self.has[:, k], k] = term_hashes(marked)[begins.indices.to_numpy(zero_copy_only=False)]
+        ids = to[found.ids]
+        self.ids, self.doc = ids[ids >= 0], found.doc[ids >= 0]  # places among the words
+
+    def found_in(self, store: HashStore) -> np.ndarray:
+        """Which terms are keys of `store`."""
+        there = np.zeros_like(self.has)
+        there[self.has] = store.find(self.hashes[self.has])[0]
+        return there
 
     def named(self, has: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the terms, in order; and per word the places of its terms there (-1: none), by kind of term. `has`: which terms count."""
-        has = self.memory.has[self.words] if has is None else has[self.words]
+        has = self.has if has is None else has
         codes = np.full(has.shape, -1, np.int64)
-        hashes, codes[has] = np.unique(self.memory.hashes[self.words][has], return_inverse=True)
+        hashes, codes[has] = np.unique(self.hashes[has], return_inverse=True)
         return hashes, codes
 
     def pairs(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -158,7 +190,7 @@ class Lexicon:
 
     def hits(self, terms: Terms) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(text, hash of a term it holds), distinct and in order; words that are or begin with a term, and bits of the voters of terms, per text."""
-        hashes, codes = terms.named(terms.memory.found_in(self.store))
+        hashes, codes = terms.named(terms.found_in(self.store))
         doc, code = terms.pairs(codes)
         order = np.lexsort((code, doc))
         doc, code = doc[order], code[order]

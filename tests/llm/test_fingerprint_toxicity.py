@@ -173,3 +173,39 @@ def test_remembered_words_have_the_terms_of_new_ones(monkeypatch):
                     for term in [bare, *(f"{n}:{bare[:n]}" for n in module.BEGINNINGS if len(bare) > n)] if bare else []:
                         want.add((doc, xxhash.xxh3_64_intdigest(term)))
             assert set(pairs) == want
+
+
+def test_terms_are_hashed_as_arrays(monkeypatch):
+    """Hashing a slice's words one at a time was most of the work: only terms of more than 16 bytes are, and once per worker."""
+    import pyarrow as pa
+
+    from filecover.llm import common
+    from filecover.llm import toxicity as module
+
+    alone = []
+    plain = module.term_hash
+    monkeypatch.setattr(module, "term_hash", lambda term: alone.append(term) or plain(term))
+    monkeypatch.setattr(common.sys, "_filecover_held", {}, raising=False)
+    words = [f"word{i}"[: 1 + i % 12] for i in range(3000)] + ["ünïcödé", "漢字漢字漢字漢字"] + 2 * ["x" * 17, "z" * 129]
+    for _ in range(2):
+        terms = module.Terms(pa.array([" ".join(words), "x" * 17]))
+        hashes, codes = terms.named()
+        doc, code = terms.pairs(codes)
+        want = {t for w in words for t in (w, *(f"{n}:{w[:n]}" for n in module.BEGINNINGS if len(w) > n))}
+        assert set(hashes[code[doc == 0]].tolist()) == {xxhash.xxh3_64_intdigest(t) for t in want}
+        assert {xxhash.xxh3_64_intdigest(t) for t in ("x" * 17, "4:xxxx", "5:xxxxx", "6:xxxxxx")} == set(hashes[code[doc == 1]].tolist())
+    long = {t.encode() for t in want if len(t.encode()) > 16}
+    assert set(alone) == long and len(alone) == len(long) + 1  # the longest is not remembered
+
+
+def test_hashes_of_terms_of_all_lengths():
+    import pyarrow as pa
+
+    from filecover.llm.toxicity import term_hashes
+
+    terms = ["".join(chr(33 + (7 * i + 11 * k * k + n) % 90) for k in range(n)) for n in range(40) for i in range(50)]
+    terms += [c * n for c in "é漢😀\x00" for n in range(1, 20)] + ["y" * n for n in (128, 129, 240, 241, 5000)]
+    want = [xxhash.xxh3_64_intdigest(t) for t in terms]
+    assert term_hashes(pa.array(terms, pa.large_string())).tolist() == want
+    assert term_hashes(pa.array(terms, pa.large_string()).slice(60, 30)).tolist() == want[60:90]
+    assert term_hashes(pa.array([], pa.large_string())).tolist() == []
