@@ -47,3 +47,28 @@ def test_evidence_never_moves_a_file(spark, manifest):
     assert {r["path"]: r["kind"] for r in kinds.collect()} == {"a/1.jpg": "strong", "b/1.jpg": "conflict", "c.mp4": "weak"}
     assert {r["kind"]: r["files"] for r in evidence_counts(kinds).collect()} == {"strong": 1, "weak": 1, "conflict": 1}
     assert [r["path"] for r in result.missing.collect()] == ["gone.jpg"]
+
+
+def test_evidence_makes_its_scans_once(spark):
+    """Matching and metadata read written scans: each derived its own from the lines before."""
+    from filecover.plans import queries
+
+    sf = "/root/testdata/sf0.001"
+    for query in (queries.evidence, queries.evidence_conflicts):
+        read = query(spark, sf).inputFiles()
+        assert read and not any("lineitem" in file for file in read)
+
+
+def test_copies_of_a_path_are_sorted_by_hash(spark):
+    """Paths begin alike, and labels are the same: sorts that start with them compare whole strings."""
+    import re
+
+    from filecover.operators.dedup import unique_files
+
+    rows = spark.createDataFrame([("a", "p", 2, 1), ("a", "p", 1, 9), ("b", "p", 3, 3), ("a", None, 1, 1), ("a", None, None, 5)], "label string, path string, size long, mtime long")
+    found = unique_files(rows, ["label"])
+    assert found.columns == ["label", "path", "size", "mtime"]
+    assert sorted(map(tuple, found.collect()), key=str) == sorted([("a", "p", 1, 9), ("b", "p", 3, 3), ("a", None, None, 5)], key=str)
+    plan = found._jdf.queryExecution().sparkPlan().toString() + found._jdf.queryExecution().executedPlan().toString()
+    leading = re.findall(r"Sort \[(\w+)", plan)
+    assert leading and not {"label", "path"} & set(leading)

@@ -62,3 +62,21 @@ def test_sizes_of_another_type(spark):
     dest = spark.createDataFrame([("b/x.jpg", 7, 5.0)], "path string, size bigint, mtime double")
     assert audit(source, [Destination("d", dest)]).matches.count() == 1
     assert audit(dest, [Destination("d", source)]).matches.select(F.col("dest_path")).first()[0] == "a/x.jpg"
+
+
+def test_words_stand_in_order_without_lookups(spark):
+    """Blocks with few, many and all of their words; the words of a block came from a search in a map apiece before."""
+    from filecover.operators.key_filter import WORDS, _place, key_filter
+
+    bits = 64 * WORDS * 4
+    rows = spark.range(5).union(spark.range(200_000).where("id % 7 = 0"))
+    found = key_filter(rows, ["id"], bits)
+    want = {}
+    for row in rows.select(_place(["id"], bits).alias("at")).distinct().collect():
+        block = want.setdefault(row.at // (64 * WORDS), [0] * WORDS)
+        block[row.at // 64 % WORDS] |= 1 << row.at % 64
+    got = {r[0]: [w % (1 << 64) for w in r[1]] for r in found.collect()}
+    assert got == want
+    one = key_filter(spark.range(1), ["id"], bits).collect()
+    assert len(one) == 1 and len(one[0][1]) == WORDS and sum(w != 0 for w in one[0][1]) == 1
+    assert "map_from_entries" not in found._jdf.queryExecution().analyzed().toString()
