@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from filecover.operators.audit import Destination, audit
-from filecover.operators.evidence import classify, combine, evidence, evidence_counts, pair_evidence
+from filecover.operators.evidence import classify, combine, conflicts, evidence, evidence_counts, pair_evidence
 
 KEY = "struct<taken_at:bigint,camera_make:string,camera_model:string>"
 T = 1_700_000_000
@@ -72,3 +72,39 @@ def test_copies_of_a_path_are_sorted_by_hash(spark):
     plan = found._jdf.queryExecution().sparkPlan().toString() + found._jdf.queryExecution().executedPlan().toString()
     leading = re.findall(r"Sort \[(\w+)", plan)
     assert leading and not {"label", "path"} & set(leading)
+
+
+def test_conflicts_are_made_once_and_then_sorted(spark):
+    """A sort samples what it deals out: everything below it, the joins too, ran twice before."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def kind(i):
+        made.add(1)
+        return ("conflict", "weak", "strong")[i % 3]
+
+    path = F.format_string("%08x.jpg", F.hash("id"))
+    rows = spark.range(3000).groupBy("id").agg(F.count("*").alias("n")).select(path.alias("path"), kind(F.col("id") + F.col("n")).alias("kind"))
+    plain = rows.where("kind = 'conflict'").select("path")
+    want = sorted(r["path"] for r in plain.collect())
+    made.value = 0
+    assert [r["path"] for r in conflicts(rows).collect()] == want
+    assert made.value == 3000
+
+
+def test_evidence_writes_its_scans_side_by_side(spark, monkeypatch):
+    """Each scan is only written once all three are about to be; one after the other, the first waits in vain."""
+    from threading import Barrier
+
+    from filecover import scratch
+    from filecover.plans import queries
+
+    sf, at_once, made = "/root/testdata/sf0.001", Barrier(len(queries.CARD_SCANS)), scratch.new_folder
+
+    def new_folder(session, purpose):
+        at_once.wait(timeout=60)
+        return made(session, purpose)
+
+    want = sorted(r["path"] for r in queries.evidence_conflicts(spark, sf).collect())
+    monkeypatch.setattr(scratch, "new_folder", new_folder)
+    assert [r["path"] for r in queries.evidence_conflicts(spark, sf).collect()] == want
